@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_crf, simhash
+from tidemark.llm import cdc_dedup, langid, quality_crf, simhash
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_substring_dedup": cdc_dedup.op2_substring_dedup,
     "op3_quality_rules": quality_crf.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
 }
