@@ -34,7 +34,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = None
     while True:
         new = materialize(_small_star(_large_star(now)), name)
-        found = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        found = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         discard(now)
         now = new
         if found == state or found[0] == 0:
