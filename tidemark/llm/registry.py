@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import cdc_dedup, langid, quality_crf, simhash
+from tidemark.llm import cdc_dedup, langid, license_scan, mixing_cube, quality_crf, sharding, simhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_substring_dedup": cdc_dedup.op2_substring_dedup,
     "op3_quality_rules": quality_crf.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
+    "op6_mixing": mixing_cube.op6_mixing,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_license_scan": license_scan.op8_license_scan,
 }
 ORACLES: dict[str, str] = {}
