@@ -5,7 +5,8 @@ once more with probability pi, the rate's fraction. Which documents get the extr
 flight phase: three open documents at a time, their probabilities move along the null-space vector of the constraints
 (document count, word count) until one becomes 0 or 1, so both totals stay exactly as expected. Flights run in blocks of
 about BLOCK documents of one source; the at most two documents each leaves open fly again among themselves, until a
-source has two at most, which land by a seeded coin.
+source fits in one block. There its LAND largest open documents wait while the others fly, and the small problem that
+remains lands at once: a seeded draw among the choices whose words are within SLACK of the target.
 
 Everything depends on the rows alone (hashes of ids and sizes, never the partitioning): reruns agree.
 
@@ -30,7 +31,7 @@ from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure, free_name, materialize
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-BLOCK, SEED, TEXT_SEED = 2_000, 17, 42
+BLOCK, LAND, SLACK, SEED, TEXT_SEED = 2_000, 10, 0.001, 17, 42
 
 
 def sized(documents: DataFrame, *, text_col: str = "text", out: str = "size") -> DataFrame:
@@ -113,10 +114,36 @@ def flight(pi: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
     return out
 
 
+def land(pi: np.ndarray, size: np.ndarray, coin: float, slack: float) -> np.ndarray:
+    """0 or 1 for each of at most LAND + 2 documents: drawn by probability among the choices whose words are off by at
+    most `slack`, or by the least possible; among these the counts off by the least."""
+    n = len(pi)
+    choice = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    off = np.abs(choice @ size.astype(float) - pi @ size)
+    near = np.flatnonzero(off <= max(slack, off.min()) + 1e-9)
+    count = np.abs(choice[near].sum(1) - pi.sum())
+    near = near[count <= count.min() + 1e-9]
+    weight = np.exp((np.log(np.where(choice[near] == 1, pi, 1 - pi))).sum(1))
+    at = np.searchsorted(np.cumsum(weight), coin * weight.sum(), "right")
+    return choice[near[min(int(at), len(near) - 1)]].astype(float)
+
+
 def _fly(level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "size", "pi"], kind="stable")
-        pdf["pi"] = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), _uniforms(pdf["r"].to_numpy(), level))
+        pdf = pdf.sort_values(["r", "size", "pi"], kind="stable").reset_index(drop=True)
+        pi, size, coin = pdf["pi"].to_numpy().copy(), pdf["size"].to_numpy(), _uniforms(pdf["r"].to_numpy(), level)
+        if not pdf["last"].iloc[0]:
+            pdf["pi"] = flight(pi, size, coin)
+            return pdf
+        # The source's last flight: its largest open documents wait for the landing, where they can offset each other.
+        open_ = np.flatnonzero((pi > 0) & (pi < 1))
+        wait = open_[np.argsort(-size[open_], kind="stable")[:LAND]]
+        fly = np.setdiff1d(np.arange(len(pi)), wait)
+        pi[fly] = flight(pi[fly], size[fly], coin[fly])
+        rest = np.flatnonzero((pi > 0) & (pi < 1))
+        if len(rest):
+            pi[rest] = land(pi[rest], size[rest], float(coin[rest[0]]), SLACK * float(pdf["target"].iloc[0]))
+        pdf["pi"] = pi
         return pdf
 
     return run
@@ -128,22 +155,19 @@ def copies(rows: DataFrame, tables: DataFrame) -> DataFrame:
     small = tables.select("source", "source_size", "n_docs", "target").withColumnRenamed("source", "_source")
     known = rows.join(small, rows["source"].eqNullSafe(small["_source"]), "left").drop("_source")
     known = known.withColumn("sure", F.floor(F.least(rate, F.lit(CAP)) + 1e-12).cast("int")).withColumn("pi", F.greatest(F.lit(0.0), F.least(rate, F.lit(CAP)) - F.col("sure")))
-    sizes = [r.n for r in tables.agg(F.max("n_docs").alias("n")).collect()]
-    blocks, level, done = F.ceil(F.col("n_docs") / BLOCK), 0, []
-    now, most = known, sizes[0] or 0
+    most = tables.agg(F.max("n_docs")).first()[0] or 0
+    blocks, level, done, now = F.ceil(F.col("n_docs") / BLOCK).cast("long"), 0, [], known
     while True:
-        block = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), "r"), F.greatest(F.lit(1), blocks).cast("long"))
-        flown = now.withColumn("block", block).groupBy("source", "block").applyInPandas(_fly(level), now.withColumn("block", block).schema).drop("block")
-        flown = materialize(flown, "mix")
+        own = F.greatest(F.lit(1), blocks)
+        dealt = now.withColumn("last", own == 1).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), "r"), own))
+        flown = materialize(dealt.groupBy("source", "block").applyInPandas(_fly(level), dealt.schema).drop("block", "last"), "mix")
         most = -(-most // BLOCK)
+        closed = F.col("pi").isin(0.0, 1.0)
+        done.append(flown.where(closed))
         if most <= 1:
-            landed = F.when(F.col("pi").isin(0.0, 1.0), F.col("pi")).otherwise((F.pmod(F.xxhash64(F.lit("land"), F.lit(SEED), "r"), F.lit(1 << 30)) < F.col("pi") * (1 << 30)).cast("double"))
-            done.append(flown.withColumn("pi", landed))
             break
-        done.append(flown.where(F.col("pi").isin(0.0, 1.0)))
         # At most two of each block stay open; they fly again in blocks of what is left.
-        now, level, most = flown.where(~F.col("pi").isin(0.0, 1.0)), level + 1, 2 * most
-        blocks = F.ceil(2 * blocks / BLOCK)
+        now, level, most, blocks = flown.where(~closed), level + 1, 2 * most, F.ceil(2 * blocks / BLOCK).cast("long")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

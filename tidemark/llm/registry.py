@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import cdc_dedup, langid, license_scan, mixing_cube, quality_crf, sharding, simhash
+from tidemark.llm import cdc_dedup, langid, license_scan, mixing_cube, quality_crf, sharding, simhash, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -12,5 +12,7 @@ QUERIES = {
     "op6_mixing": mixing_cube.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_warc": warc.op9_warc,
 }
-ORACLES: dict[str, str] = {}
+#: Where SQL can express the whole result.
+ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
