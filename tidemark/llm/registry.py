@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import cdc_dedup, langid, license_scan, mixing_cube, quality_crf, sharding, simhash, warc
+from tidemark.llm import cdc_dedup, imatch, langid, license_scan, mixing_cube, quality_crf, sharding, simhash, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_warc": warc.op9_warc,
+    "op10_imatch": imatch.op10_imatch,
 }
 #: Where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
+ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL, "op10_imatch": imatch.OP10_SQL}
