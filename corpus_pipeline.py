@@ -1,13 +1,60 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, source mixing, sampled segmentation."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, source mixing, sampled segmentation.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() applies them to documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import cdc_dedup, mixing_cube, piece_sampling, quality_crf, simhash
+from tidemark.llm.shared import materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the line model is fitted on a bounded sample of labelled documents."""
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.filter_documents(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    return cdc_dedup.remove_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing_cube.mix(docs)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of each document, by its key: a document that is taken twice is segmented alike."""
+    return piece_sampling.encode(docs, piece_sampling.load())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("source mix", source_mix),
+    ("segmentation", segmentation),
+]
+
+#: SQL cannot express a fitted line model, balanced sampling or lattice sampling.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

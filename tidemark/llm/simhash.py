@@ -10,16 +10,20 @@ group spreads over many tasks. A unit emits links that connect its members (a sp
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other. Repeated
 rows have equal fingerprints and one component. A null id never becomes a component id unless the whole component has
 null ids. An empty table gives an empty table. Other columns are ignored, or carried through by `keep_one`.
+
+`similar_groups` serves similarities of shingle sets, at which 64 bits cannot tell documents apart cheaply: wider prints,
+the same tiles.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
@@ -27,6 +31,8 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import configure, free_name, materialize
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: For similarities: bits of the prints over distinct words and over shingles, and the choices of bits that deal them.
+WORD_BITS, SHINGLE_BITS, BANDS, BAND_BITS, DEVIATIONS = 128, 1024, 16, 16, 1.5
 BLOCKS = 5
 TILE = 4096
 #: Masks of the 5 blocks of 13, 13, 13, 13 and 12 bits.
@@ -46,15 +52,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     np.cumsum([len(w) + 1 for w in words], out=at[1:])
     hashing = xxhash.xxh64_intdigest
     hashes = np.fromiter([hashing(line[a:b], SEED) for a, b in zip(at[:-shingle].tolist(), (at[shingle:] - 1).tolist(), strict=True)], np.uint64, len(words) - shingle + 1)
-    return _majority(hashes)
+    return int(_majority(hashes[:, None])[0])
 
 
-def _majority(hashes: np.ndarray) -> int:
-    n, set_bits = len(hashes), np.zeros(64, np.int64)
-    for start in range(0, n, 1 << 14):
-        part = np.unpackbits(hashes[start : start + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += part.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """hashes: a row of 64-bit words for each feature -> the words whose bits are set in over half the rows."""
+    n, width = hashes.shape
+    set_bits = np.zeros(64 * width, np.int64)
+    for start in range(0, n, 255):  # sums of up to 255 bits fit in a byte
+        rows = np.ascontiguousarray(hashes[start : start + 255]).astype("<u8").view(np.uint8)
+        set_bits += np.add.reduce(np.unpackbits(rows, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_bits > n, bitorder="little").view("<u8")
 
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,16 +80,19 @@ def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs within the radius, by tiles in order of population count."""
+    """Positions of the pairs of fingerprints (rows of 64-bit words) within the radius; both sides in order of population count."""
     a, b = [], []
-    pl, pr = np.bitwise_count(left), np.bitwise_count(right)
+    pl, pr = np.bitwise_count(left).sum(1, dtype=np.int32), np.bitwise_count(right).sum(1, dtype=np.int32)
     step = 512
     for i in range(0, len(left), step):
         for j in range(0, len(right), step):
             x, y = pl[i : i + step], pr[j : j + step]
             if int(x[0]) > int(y[-1]) + radius or int(y[0]) > int(x[-1]) + radius:
                 continue
-            p, q = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, j : j + step]) <= radius)
+            differ = np.zeros((len(x), len(y)), np.uint16)
+            for k in range(left.shape[1]):
+                differ += np.bitwise_count(left[i : i + step, k, None] ^ right[None, j : j + step, k])
+            p, q = np.nonzero(differ <= radius)
             a.append(p + i)
             b.append(q + j)
     none = np.zeros(0, np.int64)
@@ -89,13 +100,12 @@ def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Links that connect what (a, b) connect: each of n members with the least member it reaches."""
+    """For each of n members the least member that the links (a, b) reach."""
     root = np.arange(n)
     while True:
-        low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
+        np.minimum.at(new, root[a], root[b])
+        np.minimum.at(new, root[b], root[a])
         new = new[new]
         if (new == root).all():
             return root
@@ -104,7 +114,7 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _links_of_unit(node: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """side 0: one tile against itself; otherwise rows of side 1 against those of side 2."""
-    order = np.lexsort((fp, np.bitwise_count(fp)))
+    order = np.argsort(np.bitwise_count(fp).sum(1, dtype=np.int32), kind="stable")
     node, fp, side = node[order], fp[order], side[order]
     if side[0] == 0:
         a, b = near(fp, fp, radius)
@@ -117,63 +127,64 @@ def _links_of_unit(node: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: i
     return node[own], node[root[own]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """nodes(node long, fp long) with distinct fp -> (u, v): links that connect all fingerprints within the radius."""
+def block_keys(radius: int) -> Column:
+    """For a 64-bit fingerprint fp: every choice of BLOCKS - radius blocks; fingerprints within the radius share one at least."""
     masks = [sum(_BLOCK_MASKS[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - radius)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
-    dealt = nodes.select("node", "fp", F.explode(keys).alias("key"))
+    return F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: int = TILE) -> DataFrame:
+    """nodes(node long, words... long), distinct -> (u, v): links that connect all fingerprints within the radius that share a key."""
+    dealt = nodes.select("node", *words, F.explode(keys).alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = dealt.join(many, "key")
-    small = sized.where(F.col("n") <= tile).select("key", F.lit(0).alias("side"), "node", "fp")
-    # A large key: tiles by population count and hash, and a unit for each pair of tiles within the radius.
+    small = sized.where(F.col("n") <= tile).select("key", F.lit(0).alias("side"), "node", *words)
+    # A large key: tiles by population count and hash, and a unit for each pair of tiles that can hold a link.
     cut = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    part = F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.lit(1 << 20)) % cut
-    pop = F.bit_count("fp").cast("int")
-    large = sized.where(F.col("n") > tile).select("key", "node", "fp", pop.alias("pop"), part.cast("int").alias("part"), cut.alias("cut"))
-    gap = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("gap")
-    large = large.select("*", gap).select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
+    step = radius + 1
+    pop = F.floor(sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])) / step).cast("int")
+    large = sized.where(F.col("n") > tile).select("key", "node", *words, pop.alias("pop"), (F.pmod(F.xxhash64(F.lit("tile"), "node"), cut)).cast("int").alias("part"), cut.alias("cut"))
+    large = large.select("*", F.explode(F.array(*[F.lit(g) for g in (-1, 0, 1)])).alias("gap")).select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
     here, there = F.struct("pop", "part"), F.struct((F.col("pop") + F.col("gap")).alias("pop"), F.col("other").alias("part"))
-    large = large.select(
-        F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("key"), F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int").alias("side"), "node", "fp"
-    )
+    side = F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int")
+    large = large.select(F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("key"), side.alias("side"), "node", *words)
     units = small.unionByName(large).repartition("key").sortWithinPartitions("key")
 
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, node, fp, side = (np.concatenate(x) for x in zip(*held, strict=True))
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        size = np.diff(cuts)
+        one = cuts[:-1][size == 2]
+        two = one + 1
+        ok = (np.bitwise_count(fp[one] ^ fp[two]).sum(1, dtype=np.int32) <= radius) & ((side[one] == 0) | (side[one] != side[two]))
+        us, vs = [node[one[ok]]], [node[two[ok]]]
+        for a, b in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
+            u, v = _links_of_unit(node[a:b], fp[a:b], side[a:b], radius)
+            us.append(u)
+            vs.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
     def run(batches):
-        held: list[tuple] = []
-
-        def flush():
-            key, node, fp, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            size = np.diff(cuts)
-            us, vs = [], []
-            one = cuts[:-1][size == 2]
-            two = one + 1
-            ok = (np.bitwise_count(fp[one] ^ fp[two]) <= radius) & ((side[one] == 0) | (side[one] != side[two]))
-            us.append(node[one[ok]])
-            vs.append(node[two[ok]])
-            for a, b in zip(cuts[:-1][size > 2], cuts[1:][size > 2], strict=True):
-                u, v = _links_of_unit(node[a:b], fp[a:b], side[a:b], radius)
-                us.append(u)
-                vs.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).astype(np.int64)), pa.array(np.concatenate(vs).astype(np.int64))], ["u", "v"])
-
-        last, rows = None, 0
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, last = 0, None
         for batch in batches:
-            key, side, node, fp = (tx.column(batch, c).to_numpy() for c in ("key", "side", "node", "fp"))
-            new = (key, node, fp.view(np.uint64), side)
+            key, node, side = (tx.column(batch, c).to_numpy() for c in ("key", "node", "side"))
+            new = (key, node, np.column_stack([tx.column(batch, w).to_numpy() for w in words]).view(np.uint64), side)
             if not len(key):
                 continue
-            if held and rows > 1 << 16 and key[-1] != last:  # flush whole keys; the open one stays
+            if held and rows > 1 << 15 and key[-1] != last:  # whole units only; the open one stays
                 stop = int(np.searchsorted(key, key[-1]))
                 held.append(tuple(x[:stop] for x in new))
-                yield flush()
+                yield flush(held)
                 held, rows, new = [], 0, tuple(x[stop:] for x in new)
             held.append(new)
-            rows += len(new[0])
-            last = key[-1]
+            rows, last = rows + len(new[0]), key[-1]
         if held:
-            yield flush()
+            yield flush(held)
 
     return units.mapInArrow(run, "u long, v long").distinct()
 
@@ -184,7 +195,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     distinct = materialize(prints.groupBy("fp").agg(F.min("i").alias("node"), F.count("*").alias("n")), "simhash")
     # One id may carry several fingerprints (repeated ids) or be null: nodes are numbered by a hash where the id is not unique.
     nodes = distinct.select("fp", F.col("fp").alias("node"))
-    found = components(links(nodes, radius), "simhash")
+    found = components(links(nodes, block_keys(radius), ["fp"], radius), "simhash")
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
@@ -192,15 +203,85 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     return out.select(F.col("i").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that with the least id (repeated rows of it: one), with all its columns."""
-    ids = near_duplicates(documents, id_col=id_col, text_col=text_col, radius=radius)
-    firsts = ids.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    kept = documents.join(firsts, documents[id_col].eqNullSafe(firsts["_first"]), "left_semi")
-    if not {f.dataType.typeName() for f in documents.schema} & {"map"}:
-        number = free_name(documents, "n")
-        kept = kept.withColumn(number, F.xxhash64(*[F.col(c) for c in documents.columns])).dropDuplicates([id_col, number]).drop(number)
-    return kept
+def _wide(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row a print of WORD_BITS bits over its distinct words and one of SHINGLE_BITS bits over its shingles."""
+    low = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+    starts, ends = tx.spans(tx.WORD_BYTES[low], at)
+    rows, hashes = tx.rows_of(starts, at), tx.SpanHashes(low)(starts, ends)
+    first, windows = tx.window_hashes(hashes, rows, shingle)
+    n = len(at) - 1
+    word_at, window_at = np.searchsorted(rows, np.arange(n + 1)), np.searchsorted(rows[first], np.arange(n + 1))
+    words, shingles = np.zeros((n, WORD_BITS // 64), np.uint64), np.zeros((n, SHINGLE_BITS // 64), np.uint64)
+    for k in range(n):
+        own = hashes[word_at[k] : word_at[k + 1]]
+        if not len(own):
+            continue
+        part = windows[window_at[k] : window_at[k + 1]]
+        if not len(part):  # fewer words than a shingle: the whole sequence
+            part = tx.mix(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64))
+        words[k], shingles[k] = _spread(np.unique(own), WORD_BITS // 64), _spread(part, SHINGLE_BITS // 64)
+    return words, shingles
+
+
+def _spread(hashes: np.ndarray, count: int) -> np.ndarray:
+    """A fingerprint of count 64-bit words, each word from hashes of its own."""
+    offsets = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _majority(tx.mix(hashes[:, None] + offsets[None, :]))
+
+
+def _band_keys() -> Column:
+    """BANDS random choices of BAND_BITS bits of the word print."""
+    rng = np.random.Generator(np.random.PCG64(31))
+    keys = []
+    for band in range(BANDS):
+        masks = [0] * (WORD_BITS // 64)
+        for bit in rng.choice(WORD_BITS, BAND_BITS, replace=False).tolist():
+            masks[bit // 64] |= 1 << (bit % 64)
+        keys.append(F.xxhash64(F.lit(band), *[F.col(f"w{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(masks)]))
+    return F.array(*keys)
+
+
+def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(i, th, first_i, first_th): for each document (id and XXH64 of its text) the least one of its group of near-duplicates.
+
+    Documents are linked if SHINGLE_BITS-bit prints over their shingles differ in no more bits than at the given Jaccard
+    similarity, plus DEVIATIONS standard deviations: the angle between sets of similarity s has the cosine 2s / (1 + s). Which
+    prints are compared is dealt by BANDS random choices of BAND_BITS bits of a second print, over distinct words, on which
+    such documents differ in about 1 bit of 14: all choices miss a pair in about 3 of 1000 cases.
+    """
+    configure(documents.sparkSession)
+    docs = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    wide, deep = [f"w{k}" for k in range(WORD_BITS // 64)], [f"s{k}" for k in range(SHINGLE_BITS // 64)]
+
+    def run(batches):
+        for batch in batches:
+            for part, data, at in tx.chunks(batch, "t"):
+                words, shingles = (x.view(np.int64) for x in _wide(data, at, shingle))
+                th = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tx.text_list(data, at)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([tx.column(part, "i"), pa.array(th), *(pa.array(np.ascontiguousarray(c)) for c in (*words.T, *shingles.T))], ["i", "th", *wide, *deep])
+
+    kind = docs.schema["i"].dataType.simpleString()
+    prints = materialize(docs.mapInArrow(run, f"i {kind}, th long, " + ", ".join(f"{c} long" for c in (*wide, *deep))).withColumn("node", F.xxhash64(*wide, *deep)), "simhash")
+    nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in (*wide, *deep)], F.min(F.struct("i", "th")).alias("least")), "simhash")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(SHINGLE_BITS * share + DEVIATIONS * math.sqrt(SHINGLE_BITS * share * (1 - share)))
+    found = components(links(nodes, _band_keys(), deep, radius), "simhash")
+    rooted = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
+    return prints.select("i", "th", "node").join(first, "node").select("i", "th", F.col("first.i").alias("first_i"), F.col("first.th").alias("first_th"))
+
+
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least id, with all its columns.
+
+    Texts without a word are near-duplicates of each other. Rows with the same id and text are one document.
+    """
+    groups = similar_groups(documents, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    firsts = groups.select(F.col("first_i").alias("_i"), F.col("first_th").alias("_th")).distinct()
+    name = free_name(documents, "th")
+    hashed = documents.withColumn(name, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = hashed.join(firsts, hashed[id_col].eqNullSafe(firsts["_i"]) & (hashed[name] == firsts["_th"]), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
