@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure
@@ -259,7 +260,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_i
     spark = documents.sparkSession
     configure(spark)
     rest = [c for c in documents.columns if c not in (text_col, "n_pieces", "pieces", "lossless")]
-    schema = documents.select(*rest).schema.add("n_pieces", "long").add("pieces", "array<int>").add("lossless", "boolean")
+    schema = documents.select(*rest).schema.add("n_pieces", "long").add("pieces", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     shared = spark.sparkContext.broadcast(vocabulary)  # the vocabulary's size is fixed
 
