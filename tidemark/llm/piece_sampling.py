@@ -280,7 +280,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_i
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> DataFrame:
     """The rows with their text again."""
     configure(encoded.sparkSession)
-    schema = encoded.schema.add(text_col, "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
