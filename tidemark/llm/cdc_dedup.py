@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure, free_name
+from tidemark.llm.shared import configure, free_names
 
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK = 16, 2, 16, 256
 #: Bytes of neighbouring repeated chunks from which they are a passage.
@@ -111,9 +111,9 @@ def passages(spans: list[tuple[int, int]], least: int = MIN_RUN) -> list[tuple[i
 
 def _joined(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     spans = repeated_spans(documents, id_col=id_col, text_col=text_col)
-    name = free_name(documents, "spans")
-    own = spans.select(F.col("i").alias("_i"), F.col("th").alias("_th"), F.col("spans").alias(name))
-    return documents.join(own, documents[id_col].eqNullSafe(own["_i"]) & (F.xxhash64(documents[text_col]) == own["_th"]), "left").drop("_i", "_th"), name
+    name, i, th = free_names(documents, "spans", "i", "th")
+    own = spans.select(F.col("i").alias(i), F.col("th").alias(th), F.col("spans").alias(name))
+    return documents.join(own, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(th)), "left").drop(i, th), name
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure, free_name, materialize
+from tidemark.llm.shared import configure, free_name, free_names, materialize
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 BLOCK, LAND, SLACK, SEED, TEXT_SEED = 2_000, 10, 0.001, 17, 42
@@ -185,14 +185,13 @@ def allocate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: each row as often as it is taken."""
     plan = allocate(documents, id_col=id_col, text_col=text_col, source_col=source_col)
-    name = free_name(documents, "copies")
+    i, th, own, times, rows = free_names(documents, "i", "th", "own", "copies", "rows")
     # Rows with the same id and text are one key: their copies add up, and one of them is repeated that often.
-    mine = plan.groupBy("i", "th").agg(F.sum("copies").alias(name), F.count("*").alias("_rows")).where(F.col(name) > 0)
-    mine = mine.withColumnRenamed("i", "_i").withColumnRenamed("th", "_th")
-    hashed = documents.withColumn("_text_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    both = hashed.join(mine, hashed[id_col].eqNullSafe(mine["_i"]) & (hashed["_text_hash"] == mine["_th"]))
-    each = both.where("_rows = 1").unionByName(both.where("_rows > 1").dropDuplicates(["_i", "_th"]))
-    return each.select(*documents.columns, F.explode(F.array_repeat(F.lit(1), F.col(name).cast("int"))).alias("_copy")).select(*documents.columns)
+    mine = plan.groupBy(F.col("i").alias(i), F.col("th").alias(th)).agg(F.sum("copies").alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
+    hashed = documents.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    both = hashed.join(mine, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(th)))
+    each = both.where(F.col(rows) == 1).unionByName(both.where(F.col(rows) > 1).dropDuplicates([i, th]))
+    return each.select(*documents.columns, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))).alias(own)).select(*documents.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

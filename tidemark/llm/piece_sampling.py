@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure
+from tidemark.llm.shared import configure, free_names
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF, SHARPNESS, SEED = 10.0, 0.6, 5
@@ -263,18 +263,19 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_i
     schema = documents.select(*rest).schema.add("n_pieces", "long").add("pieces", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     shared = spark.sparkContext.broadcast(vocabulary)  # the vocabulary's size is fixed
+    text, row_key = free_names(documents, "text_", "key_")
 
     def run(batches):
         lattices, decode = _worker(shared.value)
         for batch in batches:
-            for part, data, at in tx.chunks(batch, "_text"):
+            for part, data, at in tx.chunks(batch, text):
                 texts = [t.decode(errors="surrogateescape") for t in tx.text_list(data, at)]
-                ids, offsets = sample(texts, tx.column(part, "_key").to_numpy().view(np.uint64), lattices)
+                ids, offsets = sample(texts, tx.column(part, row_key).to_numpy().view(np.uint64), lattices)
                 back, ends = decode(ids, offsets)
                 same = np.array_equal(ends, at) and tx.per_row(back != data, at) == 0
                 yield pa.RecordBatch.from_arrays([*(tx.column(part, c) for c in rest), pa.array(np.diff(offsets)), _lists(ids, offsets), pa.array(np.broadcast_to(same, len(part)).astype(bool))], schema.names)
 
-    return documents.select(*rest, F.col(text_col).alias("_text"), key.alias("_key")).mapInArrow(run, schema)
+    return documents.select(*rest, F.col(text_col).alias(text), key.alias(row_key)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ Only bucket counts (BUCKETS at most) and the matrix (BUCKETS x shards) are on th
 fixed. Row order comes from seeded hashes of the row: reruns agree, whatever the partitioning.
 
 Defined results: null texts have size OVERHEAD and the CRC of no bytes. Repeated rows are dealt out as rows of their
-own; rows equal in every key column are interchangeable. An empty table gives an empty table. All columns are kept.
+own; rows equal in every key column are interchangeable. An empty table gives an empty table. All columns are kept;
+columns named shard and slot are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import free_name, materialize
+from tidemark.llm.shared import free_names, materialize
 
 SHARDS, OVERHEAD, SEED = 40, 16, 23
 BUCKETS, BUCKET_ROWS, SLICE_ROWS, SLICES = 4096, 2_000, 2_000, 4096
@@ -58,7 +59,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int)
 def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); keys: columns that tell rows apart."""
     spark = rows.sparkSession
-    h, b, r, g = (free_name(rows, x) for x in ("h", "bucket", "rank", "slice"))
+    h, b, r, g, b2, ends, shard2, g2, before_ = free_names(rows, "h", "bucket", "rank", "slice", "bucket2", "ends", "shard2", "slice2", "before")
     rows = rows.withColumn(h, F.xxhash64(F.lit(seed), *keys))
     total = rows.count()
     if not total:
@@ -69,21 +70,21 @@ def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = SHARDS,
     for x in rows.groupBy(b).count().collect():  # at most BUCKETS rows
         counts[x[0]] = x[1]
     cumulative = np.cumsum(communication_matrix(counts, shards, seed), axis=1)
-    matrix = spark.createDataFrame([(k, [int(c) for c in line]) for k, line in enumerate(cumulative)], "_bucket int, ends array<long>")
+    matrix = spark.createDataFrame([(k, [int(c) for c in line]) for k, line in enumerate(cumulative)], f"{b2} int, {ends} array<long>")
     # Permute locally: rank in the bucket by a second hash of the row.
     rows = rows.withColumn(r, F.row_number().over(Window.partitionBy(b).orderBy(F.xxhash64(F.lit("local"), F.lit(seed), h), *keys)) - 1)
-    rows = rows.join(F.broadcast(matrix), rows[b] == matrix["_bucket"])
-    rows = rows.withColumn("shard", F.size(F.filter("ends", lambda end: end <= F.col(r))).cast("int")).drop("_bucket", "ends")
+    rows = rows.join(F.broadcast(matrix), F.col(b) == F.col(b2))
+    rows = rows.withColumn("shard", F.size(F.filter(ends, lambda end: end <= F.col(r))).cast("int")).drop(b2, ends)
     slices = int(min(SLICES, max(4, -(-total // (shards * SLICE_ROWS)))))
     rows = rows.withColumn(g, F.pmod(F.xxhash64(F.lit("slice"), F.lit(seed), h, r, b), F.lit(slices)).cast("int"))
     rows = materialize(rows, "shards")
     # Permute again: slices of a shard come in order, and within a slice the rank by a third hash.
     sizes = rows.groupBy("shard", g).count()
-    before = sizes.select(F.col("shard").alias("_shard"), F.col(g).alias("_slice"), (F.sum("count").over(Window.partitionBy("shard").orderBy(g)) - F.col("count")).alias("_before"))
+    before = sizes.select(F.col("shard").alias(shard2), F.col(g).alias(g2), (F.sum("count").over(Window.partitionBy("shard").orderBy(g)) - F.col("count")).alias(before_))
     rank = F.row_number().over(Window.partitionBy("shard", g).orderBy(F.xxhash64(F.lit("again"), F.lit(seed), h, r, b), b, r)) - 1
     rows = rows.withColumn("slot", rank)
-    rows = rows.join(before, (rows["shard"] == before["_shard"]) & (rows[g] == before["_slice"]))
-    return rows.withColumn("slot", (F.col("slot") + F.col("_before")).cast("long")).drop(h, b, r, g, "_shard", "_slice", "_before")
+    rows = rows.join(before, (F.col("shard") == F.col(shard2)) & (F.col(g) == F.col(g2)))
+    return rows.withColumn("slot", (F.col("slot") + F.col(before_)).cast("long")).drop(h, b, r, g, shard2, g2, before_)
 
 
 def write_shards(rows: DataFrame, keys: list[str], path: str, shards: int = SHARDS) -> None:

@@ -54,3 +54,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in have:
         wanted = "_" + wanted
     return wanted
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    return [free_name(df, w) for w in wanted]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.components import components
-from tidemark.llm.shared import configure, free_name, materialize
+from tidemark.llm.shared import configure, free_names, materialize
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: For similarities: bits of the prints over distinct words and over shingles, and the choices of bits that deal them.
@@ -277,10 +277,10 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Texts without a word are near-duplicates of each other. Rows with the same id and text are one document.
     """
     groups = similar_groups(documents, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    firsts = groups.select(F.col("first_i").alias("_i"), F.col("first_th").alias("_th")).distinct()
-    name = free_name(documents, "th")
+    name, i, th = free_names(documents, "own", "i", "th")
+    firsts = groups.select(F.col("first_i").alias(i), F.col("first_th").alias(th)).distinct()
     hashed = documents.withColumn(name, F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    kept = hashed.join(firsts, hashed[id_col].eqNullSafe(firsts["_i"]) & (hashed[name] == firsts["_th"]), "left_semi")
+    kept = hashed.join(firsts, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(name) == F.col(th)), "left_semi")
     return kept.dropDuplicates([id_col, name]).drop(name)
 
 
