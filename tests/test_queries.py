@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, catalogue_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
