@@ -15,7 +15,6 @@ results. Ties go to the language with more training rows, then to the smaller co
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,7 +30,6 @@ DICTIONARY_BYTES, SMALL_BYTES, SMALL_COUNT = 32 << 10, 6 << 10, 6
 LEVEL, SMALL_LEVEL, MARGIN = 5, 9, 3
 UNKNOWN = "und"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -73,7 +71,7 @@ class Classifier:
     def __call__(self, text: bytes) -> tuple[str, float, bool, int]:
         """Language, score, rejected, margin in bytes."""
         known = normal(text)
-        if not known or not (known.isascii() or _ANY_LETTER.search(known.decode(errors="replace"))):
+        if not known or not (known.isascii() or any(map(str.isalpha, known.decode(errors="replace")))):
             return UNKNOWN, 0.0, False, 0
         if not self.codes:
             return UNKNOWN, 0.0, True, 0
