@@ -25,6 +25,23 @@ def test_trailing_frame_is_half_open(spark):
     assert got == [("a", 0, 0), ("a", 5, 1), ("a", 10, 2), ("a", 10, 2), ("b", 10, 0)]
 
 
+def test_hot_keys_are_split_without_changing_frames(spark, monkeypatch):
+    rows = spark.createDataFrame([("hot" if k % 4 else f"k{k % 12}", (k * 7919) % 1000, k) for k in range(600)] + [(None, k, -k) for k in range(100)], "k string, t long, v long")
+    f = lambda: sorted(map(str, pit.over_frames(rows, ["k"], "t", 50, lambda w: {"n": F.count(F.lit(1)).over(w(50)), "m": F.max("v").over(w(20)), "d": pit.distinct_in(F.col("v") % 5, w(50))}).collect()))
+    whole = f()
+    monkeypatch.setattr(pit, "HOT_ROWS", 50)
+    assert pit.split_hot(rows, ["k"], "t", 50).select("k", "_part").distinct().where("k = 'hot'").count() > 5
+    assert f() == whole and len(whole) == 700
+
+
+def test_running_totals_in_both_orders(spark):
+    groups = spark.createDataFrame([(float((k * 31) % 997), k % 7) for k in range(900)], "s double, n int").dropDuplicates(["s"])
+    rows = [(r.s, r.n) for r in groups.collect()]
+    up = {r.s: r.x for r in evaluation.running_totals(groups, "s", {"x": "n"}).collect()}
+    down = {r.s: r.x for r in evaluation.running_totals(groups, "s", {"x": "n"}, descending=True).collect()}
+    assert up == {s: sum(n for t, n in rows if t <= s) for s, _ in rows} and down == {s: sum(n for t, n in rows if t >= s) for s, _ in rows}
+
+
 def test_available_counts_against_brute_force(spark):
     events = [(k, "a" if k % 3 else "b", k * 7 % 50, k * 7 % 50 + (k % 5) * 9) for k in range(60)]
     df = spark.createDataFrame(events, "event_id long, customer string, t long, available long")

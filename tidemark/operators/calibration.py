@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import hash_uniform
 from tidemark.operators.drift import nearest_rank
+from tidemark.operators.evaluation import running_totals
 
 
 def bad_values(df: DataFrame, numeric: Sequence[str] = (), positive: Sequence[str] = (), text: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +37,7 @@ def category_weights(df: DataFrame, category: str, given: Sequence[str] = ()) ->
     """(given..., value, weight): shares of the categories, within each combination of the given columns."""
     per = df.where(F.col(category).isNotNull()).groupBy(*given, F.col(category).alias("value")).agg(F.count("*").alias("_n"))
     total = per.groupBy(*given).agg(F.sum("_n").alias("_t"))
-    both = per.join(total, list(given)) if given else per.join(F.broadcast(total))
+    both = per.join(total, list(given)) if given else per.withColumn("_t", total.scalar())
     return both.select(*given, "value", (F.col("_n") / F.col("_t")).alias("weight"))
 
 
@@ -78,12 +79,10 @@ def descriptors(labels: DataFrame, label: str, at: str, available: str) -> DataF
     n = delay.count()
     middle = nearest_upper(delay, "d", n // 2)
     counts = labels.agg(F.count("*").alias("rows"), F.avg(F.col(label).cast("double")).alias("prevalence"))
-    return counts.join(F.broadcast(delay.agg(F.min("d").alias("delay_min"), F.max("d").alias("delay_max")))).join(F.broadcast(middle))
+    return counts.select("rows", "prevalence", delay.agg(F.min("d")).scalar().alias("delay_min"), delay.agg(F.max("d")).scalar().alias("delay_max"), middle.scalar().alias("delay_median"))
 
 
 def nearest_upper(df: DataFrame, value: str, at: int) -> DataFrame:
     """One row, delay_median: the value at position `at` (from 0) of the sorted values."""
-    from pyspark.sql import Window
-
-    run = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy(value)))
+    run = running_totals(df.groupBy(value).agg(F.count("*").alias("_n")), value, {"_upto": "_n"})
     return run.where(F.col("_upto") > at).agg(F.min(value).alias("delay_median"))

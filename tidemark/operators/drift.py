@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.evaluation import running_totals
+
 BINS, SMOOTHING, ALIGN = 10, 1e-6, 101
 THRESHOLDS = {"psi": 0.20, "wasserstein": 0.10, "js": 0.10}
 MIN_ROWS = 30
@@ -30,8 +32,7 @@ def bin_of(value: Column, edges: Sequence[float]) -> Column:
 def _shares(rows: DataFrame, side: str, key: Column) -> DataFrame:
     """(key, r, c): smoothed shares of each key in the reference (side 0) and in the current rows (side 1)."""
     counts = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.sum((F.col(side) == 0).cast("long")).alias("_r"), F.sum((F.col(side) == 1).cast("long")).alias("_c"))
-    totals = counts.agg(F.sum("_r").alias("_r_all"), F.sum("_c").alias("_c_all"))
-    return counts.join(F.broadcast(totals)).select("key", (F.col("_r") / F.col("_r_all")).alias("r"), (F.col("_c") / F.col("_c_all")).alias("c"))
+    return counts.select("key", (F.col("_r") / counts.agg(F.sum("_r")).scalar()).alias("r"), (F.col("_c") / counts.agg(F.sum("_c")).scalar()).alias("c"))
 
 
 def psi(rows: DataFrame, value: str, side: str, bins: int = BINS) -> DataFrame:
@@ -74,21 +75,19 @@ def report(rows: DataFrame, side: str, numeric: Sequence[str], categorical: Sequ
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    sizes = rows.agg(F.sum((F.col(side) == 0).cast("long")).alias("_r"), F.sum((F.col(side) == 1).cast("long")).alias("_c"))
+    least = rows.agg(F.least(F.sum((F.col(side) == 0).cast("long")), F.sum((F.col(side) == 1).cast("long")))).scalar()
     limit = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])[F.col("metric")]
-    enough = (F.col("_r") >= MIN_ROWS) & (F.col("_c") >= MIN_ROWS)
-    return out.join(F.broadcast(sizes)).select("field", "metric", "value", (enough & (F.col("value") >= limit)).alias("alert"))
+    return out.select("field", "metric", "value", ((least >= MIN_ROWS) & (F.col("value") >= limit)).alias("alert"))
 
 
 def nearest_rank(rows: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
     """(q, value): the value at position round((n - 1) q), halves to even, of the sorted values.
 
-    Values are counted first; the running sum is over distinct values.
+    Values are counted first; the running sum is over distinct values, by ranges.
     """
     per = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    run = per.withColumn("_upto", F.sum("_n").over(Window.orderBy(value)))
-    total = per.agg(F.sum("_n").alias("_t"))
-    wanted = rows.sparkSession.createDataFrame([(float(q),) for q in quantiles], "q double").join(F.broadcast(total))
-    wanted = wanted.select("q", F.bround((F.col("_t") - 1) * F.col("q")).cast("long").alias("_at"))
-    hit = run.join(F.broadcast(wanted), F.col("_upto") > F.col("_at"))
+    run = running_totals(per, value, {"_upto": "_n"})
+    wanted = rows.sparkSession.createDataFrame([(float(q),) for q in quantiles], "q double")
+    wanted = wanted.select("q", F.bround((per.agg(F.sum("_n")).scalar() - 1) * F.col("q")).cast("long").alias("_at"))
+    hit = run.join(F.broadcast(wanted), (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
     return hit.groupBy("q").agg(F.min(value).alias("value"))

@@ -33,6 +33,23 @@ def global_rank(rows: DataFrame, order: Sequence[Column], out: str, *, split: Co
     return ranked.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_r", "_in", "_before")
 
 
+def running_totals(groups: DataFrame, key: str, sums: dict[str, str], *, descending: bool = False) -> DataFrame:
+    """groups (one row for each key) with running sums in the order of the key: out name -> summed column.
+
+    The key is cut into RANGES ranges; each range's window adds the totals of the ranges before it.
+    """
+    order = -F.col(key).cast("double") if descending else F.col(key).cast("double")
+    ranged = groups.withColumn("_key", order)
+    bounds = ranged.agg(F.percentile_approx("_key", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
+    ranged = ranged.withColumn("_range", _range_of(F.col("_key"), sorted(set(bounds))))
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    carried = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows at most
+    before = totals.select("_r", *[F.sum(f"_t_{n}").over(carried).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}).drop("_key", "_range", "_r", *[f"_b_{n}" for n in sums])
+
+
 def _range_of(key: Column, bounds: Sequence[float]) -> Column:
     """How many of the sorted bounds lie below the key, by two levels of about the square root of their number; null is -1."""
     if not bounds:
@@ -66,13 +83,12 @@ def pr_auc(rows: DataFrame, score: str, label: str, id_: str) -> DataFrame:
 def threshold_sweep(rows: DataFrame, score: str, label: str, fpr: float, recall: float) -> DataFrame:
     """One row: the threshold of the best F1, of the best recall at a false-positive rate, and of the best precision at a recall.
 
-    Scores are grouped before the running sums, so the window is over distinct scores.
+    Scores are grouped before the running sums, so the sums are over distinct scores.
     """
     per = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    total = per.agg(F.sum("_p").alias("P"), F.sum("_n").alias("T"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per.select(F.col(score).alias("threshold"), F.sum("_p").over(down).alias("tp"), F.sum(F.col("_n") - F.col("_p")).over(down).alias("fp"))
-    run = run.join(F.broadcast(total))  # one row
+    per = per.withColumn("_f", F.col("_n") - F.col("_p"))
+    run = running_totals(per, score, {"tp": "_p", "fp": "_f"}, descending=True).withColumnRenamed(score, "threshold")
+    run = run.withColumns({"P": per.agg(F.sum("_p")).scalar(), "T": per.agg(F.sum("_n")).scalar()})
     precision, rec = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("P")
     f1 = F.when(F.col("tp") > 0, 2 * precision * rec / (precision + rec)).otherwise(0.0)
     run = run.select("threshold", precision.alias("precision"), rec.alias("recall"), f1.alias("f1"), (F.col("fp") / (F.col("T") - F.col("P"))).alias("fpr"))

@@ -6,13 +6,16 @@ frames of a window; where T differs from the row's time, rows are joined by key
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, MICROS
 
+#: A key is hot above both: so many rows, and such a share of all rows.
+HOT_ROWS, HOT_SHARE = 1_000_000, 1e-4
+
 
 def trailing(by: Sequence[str], order: str, width: int | None = None):
     """The frame [T - width, T) of earlier rows; None: all earlier rows."""
@@ -20,8 +23,37 @@ def trailing(by: Sequence[str], order: str, width: int | None = None):
     return window.rangeBetween(Window.unboundedPreceding if width is None else -width, -1)
 
 
+def split_hot(rows: DataFrame, by: Sequence[str], order: str, widest: int) -> DataFrame:
+    """rows with _part and _ghost: a window over (by, _part) sees, for its own rows, all that frames up to `widest` hold.
+
+    A key with more than HOT_ROWS rows, and more than a HOT_SHARE of all, is cut by time into parts of twice the widest
+    frame; each row near a part's end also stands in the next part as a ghost. Fewer than 1 / HOT_SHARE keys can be
+    hot, which bounds the list that is broadcast. Other keys, and tables that are small as a whole, stay in one part.
+    """
+    total = rows.count()  # for a bare scan, from the files' footers
+    if total <= HOT_ROWS:
+        return rows.withColumns({"_part": F.lit(0).cast("long"), "_ghost": F.lit(False)})
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_n")).where((F.col("_n") > HOT_ROWS) & (F.col("_n") > total * HOT_SHARE)).select(*[F.col(c).alias(f"_hot_{c}") for c in by], F.lit(True).alias("_hot"))
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]
+    on = same[0]
+    for more in same[1:]:
+        on &= more
+    marked = rows.join(F.broadcast(hot), on, "left").drop(*[f"_hot_{c}" for c in by])
+    step = 2 * widest
+    part = F.when(F.col("_hot"), F.floor(F.col(order) / step)).otherwise(0).cast("long")
+    late = F.col("_hot") & (F.pmod(F.col(order), F.lit(step)) >= step - widest)
+    places = F.when(late, F.array(F.struct(part.alias("_part"), F.lit(False).alias("_ghost")), F.struct((part + 1).alias("_part"), F.lit(True).alias("_ghost")))).otherwise(F.array(F.struct(part.alias("_part"), F.lit(False).alias("_ghost"))))
+    return marked.withColumn("_x", F.explode(places)).select(*rows.columns, "_x.*")
+
+
+def over_frames(rows: DataFrame, by: Sequence[str], order: str, widest: int, columns: Callable[[Callable[[int], WindowSpec]], dict[str, Column]]) -> DataFrame:
+    """rows with columns over trailing frames, hot keys split by time; `columns` gets a function from width to frame."""
+    parts = split_hot(rows, by, order, widest)
+    return parts.withColumns(columns(lambda width: trailing([*by, "_part"], order, width))).where(~F.col("_ghost")).drop("_part", "_ghost")
+
+
 def trailing_counts(rows: DataFrame, by: Sequence[str], order: str, widths: dict[str, int]) -> DataFrame:
-    return rows.withColumns({name: F.count(F.lit(1)).over(trailing(by, order, w)) for name, w in widths.items()})
+    return over_frames(rows, by, order, max(widths.values()), lambda f: {name: F.count(F.lit(1)).over(f(w)) for name, w in widths.items()})
 
 
 def distinct_in(value: Column, frame) -> Column:
@@ -111,4 +143,4 @@ def temporal_split(at: Column, train_end: int, validation_end: int, gap: int) ->
     return F.when(at < train_end - gap, "train").when((at >= train_end) & (at < validation_end - gap), "validation").when(at >= validation_end, "test")
 
 
-__all__ = ["DAY", "MICROS", "assign_interval", "available_counts", "days_since", "distinct_in", "latest_as_of", "range_join", "running_max", "seen_in", "temporal_split", "trailing", "trailing_counts"]
+__all__ = ["DAY", "HOT_ROWS", "HOT_SHARE", "MICROS", "assign_interval", "available_counts", "days_since", "distinct_in", "latest_as_of", "over_frames", "range_join", "running_max", "seen_in", "split_hot", "temporal_split", "trailing", "trailing_counts"]

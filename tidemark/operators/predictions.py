@@ -46,8 +46,8 @@ def calibration_error(rows: DataFrame, score: str, label: Column, bins: int = 10
 
 def drops(metrics: DataFrame, model: str, metric: str, baseline: str) -> DataFrame:
     """Per model: the metric, and its relative drop against the baseline model's."""
-    base = metrics.where(F.col(model) == baseline).agg(F.max(metric).alias("_b"))
-    return metrics.join(F.broadcast(base)).select(model, metric, F.try_divide(F.col("_b") - F.col(metric), F.col("_b")).alias("drop"))
+    base = metrics.where(F.col(model) == baseline).agg(F.max(metric)).scalar()
+    return metrics.select(model, metric, F.try_divide(base - F.col(metric), base).alias("drop"))
 
 
 def train_baseline(rows: DataFrame, features: Sequence[str], label: str, kind: str = "logistic"):

@@ -44,8 +44,7 @@ def rule_violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def partition_skew(rows: DataFrame, part: Column) -> DataFrame:
     """(part, n, share) for each partition."""
     per = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("_t"))
-    return per.join(F.broadcast(total)).select("part", "n", (F.col("n") / F.col("_t")).alias("share"))
+    return per.select("part", "n", (F.col("n") / per.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def inversions(rows: DataFrame, key: str, delivered: Sequence[str], time: str) -> DataFrame:

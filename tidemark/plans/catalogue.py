@@ -60,27 +60,35 @@ SELECT event_id, round(CAST(coalesce(s1, 0) AS DOUBLE), 6) AS amount_1h, round(C
  round(CAST(s30 AS DOUBLE) / n30, 6) AS avg_30d, m7 AS max_7d, round(amount / (CAST(s30 AS DOUBLE) / n30), 6) AS amount_vs_avg FROM f""")
 def w01_txn_amounts(spark, d):
     e = payment_events(spark, d).withColumn("x", F.col("amount").cast("decimal(20,6)"))
-    f = lambda w: pit.trailing(["customer"], "t", w)
     zero = F.lit(0).cast("decimal(20,6)")
-    total = lambda w: F.round(F.coalesce(F.sum("x").over(f(w)), zero).cast("double"), 6)
-    e = e.withColumn("avg", F.sum("x").over(f(30 * DAY)).cast("double") / F.count("x").over(f(30 * DAY)))
-    return e.select("event_id", total(HOUR).alias("amount_1h"), total(DAY).alias("amount_24h"), total(7 * DAY).alias("amount_7d"), F.round("avg", 6).alias("avg_30d"), F.max("amount").over(f(7 * DAY)).alias("max_7d"), F.round(F.when(F.col("avg") != 0, F.col("amount") / F.col("avg")), 6).alias("amount_vs_avg"))
+
+    def columns(f):
+        total = lambda w: F.round(F.coalesce(F.sum("x").over(f(w)), zero).cast("double"), 6)
+        mean = F.sum("x").over(f(30 * DAY)).cast("double") / F.count("x").over(f(30 * DAY))
+        return {"amount_1h": total(HOUR), "amount_24h": total(DAY), "amount_7d": total(7 * DAY), "avg": F.when(F.count("x").over(f(30 * DAY)) > 0, mean), "max_7d": F.max("amount").over(f(7 * DAY))}
+
+    out = pit.over_frames(e, ["customer"], "t", 30 * DAY, columns)
+    return out.select("event_id", "amount_1h", "amount_24h", "amount_7d", F.round("avg", 6).alias("avg_30d"), "max_7d", F.round(F.when(F.col("avg") != 0, F.col("amount") / F.col("avg")), 6).alias("amount_vs_avg"))
 
 
 @query("w02_distinct_in_frame", f"WITH {EV} SELECT event_id, " + ", ".join(f"count(DISTINCT {c}) OVER {_frame(w)} AS {n}" for n, c, w in (("categories_1d", "category", DAY), ("categories_30d", "category", 30 * DAY), ("devices_1d", "device", DAY), ("devices_30d", "device", 30 * DAY))) + " FROM ev")
 def w02_distinct_in_frame(spark, d):
-    f = lambda w: pit.trailing(["customer"], "t", w)
-    n = lambda c, w: pit.distinct_in(F.col(c), f(w)).cast("long")
-    return payment_events(spark, d).select("event_id", n("category", DAY).alias("categories_1d"), n("category", 30 * DAY).alias("categories_30d"), n("device", DAY).alias("devices_1d"), n("device", 30 * DAY).alias("devices_30d"))
+    def columns(f):
+        n = lambda c, w: pit.distinct_in(F.col(c), f(w)).cast("long")
+        return {"categories_1d": n("category", DAY), "categories_30d": n("category", 30 * DAY), "devices_1d": n("device", DAY), "devices_30d": n("device", 30 * DAY)}
+
+    return pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns).select("event_id", "categories_1d", "categories_30d", "devices_1d", "devices_30d")
 
 
 @query("w02_new_value_flags", f"""WITH {EV} SELECT event_id,
  device IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.device = e.device) AS new_device,
  NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.category = e.category) AS new_category FROM ev e""")
 def w02_new_value_flags(spark, d):
-    frame = pit.trailing(["customer"], "t", 30 * DAY)
-    new = lambda c: F.coalesce(~pit.seen_in(F.col(c), frame), F.lit(False))
-    return payment_events(spark, d).select("event_id", new("device").alias("new_device"), new("category").alias("new_category"))
+    def columns(f):
+        new = lambda c: F.coalesce(~pit.seen_in(F.col(c), f(30 * DAY)), F.lit(False))
+        return {"new_device": new("device"), "new_category": new("category")}
+
+    return pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns).select("event_id", "new_device", "new_category")
 
 
 @query("w09_days_since_last", f"WITH {EV} SELECT event_id, round(coalesce((t - max(t) OVER (PARTITION BY customer ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / {DAY}.0, -1.0), 9) AS days_since_last FROM ev")
@@ -100,8 +108,9 @@ def j02_pit_available_counts(spark, d):
 @query("j03_customers_per_device", f"""WITH {EV} SELECT e.event_id, count(DISTINCT p.customer) AS customers_24h
 FROM ev e LEFT JOIN ev p ON p.device IS NOT DISTINCT FROM e.device AND p.t < e.t AND p.t >= e.t - {DAY} GROUP BY e.event_id""")
 def j03_customers_per_device(spark, d):
-    frame = pit.trailing(["device"], "t", DAY)  # a window's partitions treat null as equal to null
-    return payment_events(spark, d).select("event_id", pit.distinct_in(F.col("customer"), frame).cast("long").alias("customers_24h"))
+    # A window's partitions treat null as equal to null.
+    out = pit.over_frames(payment_events(spark, d), ["device"], "t", DAY, lambda f: {"customers_24h": pit.distinct_in(F.col("customer"), f(DAY)).cast("long")})
+    return out.select("event_id", "customers_24h")
 
 
 VERSIONS = f"""v AS (SELECT o_orderkey AS k, o_custkey AS c, epoch_us(o_orderdate) AS t, o_totalprice AS amount, unnest([
@@ -387,7 +396,7 @@ def a27_degree_triangles(spark, d):
     e = _device_edges(spark, d)
     und = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     degree = und.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
-    return graph.triangles(e).join(F.broadcast(degree.agg(F.max("d").alias("max_degree"), F.count("*").alias("nodes"))))
+    return graph.triangles(e).select("triangles", degree.agg(F.max("d")).scalar().alias("max_degree"), degree.agg(F.count("*")).scalar().alias("nodes"))
 
 
 def _copies(spark, d):
@@ -405,7 +414,8 @@ COPIES = "x AS (SELECT event_id, user_id, event_type, value, 'a' AS src FROM eve
 def o05_exact_dedup(spark, d):
     rows = _copies(spark, d)
     unique, conflicts = records.exact_dedup(rows.drop("src"), "event_id")
-    return rows.agg(F.count("*").alias("rows")).join(unique.agg(F.count("*").alias("unique_rows"))).join(conflicts.agg(F.count("*").alias("conflicts")))
+    count = lambda x: x.agg(F.count("*")).scalar()
+    return rows.agg(F.count("*").alias("rows")).select("rows", count(unique).alias("unique_rows"), count(conflicts).alias("conflicts"))
 
 
 @query("o06_winner_dedup", f"WITH {COPIES} SELECT event_id, arg_min(value, src) AS value, array_to_string(list_sort(list(DISTINCT src)), ',') AS contributors, count(*) AS copies, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'least_source_order' END AS reason FROM x GROUP BY event_id")
@@ -545,11 +555,12 @@ def t07_chaos(spark, d):
  device IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.device = e.device) AS nd FROM ev e)
 SELECT event_id, round(least(1.0, greatest(0.0, (4 * nd::INT + least(c, 10) / 10 + greatest(0.0, CASE WHEN a IS NULL OR amount / a = 0 THEN 1.0 ELSE amount / a END - 1) / 10) / 7)), 6) AS score FROM f""")
 def f08_heuristic_score(spark, d):
-    e = payment_events(spark, d)
-    month, hour = pit.trailing(["customer"], "t", 30 * DAY), pit.trailing(["customer"], "t", HOUR)
-    new = F.coalesce(~pit.seen_in(F.col("device"), month), F.lit(False))
-    f = e.select("event_id", new.alias("nd"), F.count(F.lit(1)).over(hour).alias("c"), F.try_divide("amount", F.avg("amount").over(month)).alias("r"))
-    return f.select("event_id", F.round(heuristic_score(F.col("nd"), F.lit(False), F.col("c"), F.col("r")), 6).alias("score"))
+    def columns(f):
+        new = F.coalesce(~pit.seen_in(F.col("device"), f(30 * DAY)), F.lit(False))
+        return {"nd": new, "c": F.count(F.lit(1)).over(f(HOUR)), "r": F.try_divide("amount", F.avg("amount").over(f(30 * DAY)))}
+
+    out = pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns)
+    return out.select("event_id", F.round(heuristic_score(F.col("nd"), F.lit(False), F.col("c"), F.col("r")), 6).alias("score"))
 
 
 @query("n08_label_policy")
