@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import hash_uniform
 from tidemark.functions.registry import REGISTRY
+from tidemark.functions.shipping import ship_package
 
 #: Phases in order, the chance to move on after each action, and the mark of each phase.
 PHASES = ("PROBE", "RAMP", "EXPLOIT", "COOL")
@@ -46,6 +47,7 @@ def evolve(campaigns: DataFrame, most_actions: int, seed: int = 42) -> DataFrame
                         phase += 1
             yield pd.DataFrame(out, columns=["campaign_id", "step", "phase", "at", "intensity"])
 
+    ship_package(campaigns.sparkSession)
     return campaigns.select("campaign_id", "started", "ends").mapInPandas(run, "campaign_id string, step int, phase string, at long, intensity double")
 
 

@@ -5,7 +5,6 @@ Numbers that sums of doubles would make inexact are summed as decimals, or round
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, MICROS, hash_uniform, heuristic_score, micros, shard_index
+from tidemark.functions.shipping import shared_dir
 from tidemark.operators import drift, evaluation, generate, graph, labels, ledger, quality, records, replay
 from tidemark.operators import point_in_time as pit
 from tidemark.sources.tables import payment_events, read, sql_over
@@ -530,8 +530,7 @@ def t01_stream_velocity(spark, d):
     schema = read(spark, d, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
     e = e.select("event_id", F.col("user_id").alias("customer"), F.col("ts").cast("timestamp").alias("event_time"), F.col("value").cast("decimal(20,6)").alias("amount"), F.get_json_object("props", "$.k").alias("device"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
-    path = f"{base}/velocity-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/velocity-{uuid.uuid4().hex[:12]}"
     stream.write(stream.velocity(e), f"{path}/out", f"{path}/state").awaitTermination()
     out = spark.read.schema("window_start timestamp, window_end timestamp, customer long, n long, total decimal(30,6), devices long").parquet(f"{path}/out")
     return out.select(F.unix_micros("window_start").alias("window_start"), "customer", "n", F.round(F.col("total").cast("double"), 6).alias("total"))

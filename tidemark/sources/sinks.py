@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import canonical_json, shard_index
+from tidemark.functions.shipping import write_bytes
 from tidemark.operators.records import fingerprint
 
 
@@ -33,7 +34,7 @@ def write_partitions(df: DataFrame, key: str, kind: str, path: str, shards: int,
     written = df.sparkSession.read.parquet(path)
     counts = {f"{r.partition_id}/{r.logical_type}": r["count"] for r in written.groupBy("partition_id", "logical_type").count().collect()}
     manifest = {"shards": shards, "rows": counts, "fingerprint": fingerprint(df).first()["fingerprint"]}
-    _write_text(df.sparkSession, f"{path}/_manifest.json", json.dumps(manifest, sort_keys=True))
+    write_bytes(df.sparkSession, f"{path}/_manifest.json", json.dumps(manifest, sort_keys=True).encode())
     return manifest
 
 
@@ -45,16 +46,6 @@ def read_partitions(spark: SparkSession, path: str, *, shard: int | None = None,
     return out if columns is None else out.select(*columns)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file beside the data, on the data's file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
 def append_iceberg(df: DataFrame, table: str) -> None:
     """Append with added columns; Iceberg's package must be on the class path."""
     try:
