@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import DAY, MICROS, hash_uniform, micros
+from tidemark.functions.exprs import DAY, hash_uniform, micros
 from tidemark.operators import calibration, campaigns, delivery, graph, predictions, quality
-from tidemark.plans.catalogue import EV, HOUR, LINK, MID, SC, SHARD, U, _device_edges, _scored, query
+from tidemark.plans.catalogue import EV, HOUR, LINK, MID, SC, U, _device_edges, _scored, query
 from tidemark.sources.tables import payment_events, read
 
 
@@ -214,6 +214,3 @@ def u05_baseline_model(spark, d):
     features = ["amount", "hour", "dev"]
     model = predictions.train_baseline(rows, features, "y")
     return predictions.predict(model, rows, features).select("event_id", F.round("score", 6).alias("score"))
-
-
-__all__ = ["MICROS", "SHARD"]
