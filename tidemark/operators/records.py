@@ -42,11 +42,12 @@ def merge_records(base: DataFrame, added: DataFrame, key: Sequence[str], prefer_
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: an order-insensitive digest of the table's rows, with their number.
 
-    Row digests are counted by bucket of their first two bytes and chained: each bucket hashes its sorted digests, and
-    the result hashes the 65,536 buckets' hashes, so no task holds the whole table.
+    Equal rows are counted first, so copies fold on the map side. Buckets by the digests' first two bytes hash their sorted
+    digests with counts, and the result hashes the 65,536 buckets' hashes; no task holds the whole table.
     """
-    digests = df.select(row_digest(df, columns).alias("_d"))
-    per = digests.groupBy(F.substring("_d", 1, 4).alias("_b")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("_h"), F.count("*").alias("_n"))
+    digests = df.groupBy(row_digest(df, columns).alias("_d")).agg(F.count("*").alias("_n"))
+    entry = F.concat_ws(":", "_d", F.col("_n").cast("string"))
+    per = digests.groupBy(F.substring("_d", 1, 4).alias("_b")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(entry))), 256).alias("_h"), F.sum("_n").alias("_n"))
     return per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"])), 256).alias("fingerprint"))
 
 

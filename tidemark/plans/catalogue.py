@@ -424,7 +424,7 @@ def o06_winner_dedup(spark, d):
     return out.select("event_id", "value", F.array_join("contributors", ",").alias("contributors"), "copies", "reason")
 
 
-@query("a38_fingerprint", """WITH r AS (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation), b AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS x, count(*) AS n FROM r GROUP BY 1)
+@query("a38_fingerprint", """WITH r AS (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation), c AS (SELECT h, count(*) AS n FROM r GROUP BY 1), b AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS x, sum(n) AS n FROM c GROUP BY 1)
 SELECT sum(n)::BIGINT AS rows, sha256(string_agg(x, '' ORDER BY b)) AS fingerprint FROM b""")
 def a38_fingerprint(spark, d):
     return records.fingerprint(read(spark, d, "nation"))
