@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import exprs
-from tidemark.operators import drift, evaluation, generate, graph, labels, ledger, quality, records, replay
+from tidemark.functions import exprs, registry
+from tidemark.operators import drift, evaluation, generate, graph, labels, ledger, quality, records, replay, workflow
 from tidemark.operators import point_in_time as pit
-from tidemark.sources import sinks, tables
+from tidemark.sources import config, sinks, tables
 
 
 def one(df):
@@ -208,6 +209,54 @@ def test_typed_scan_masks_and_partitions(spark, tmp_path):
         sinks.write_typed(df, schema, f"{tmp_path}/t")
 
 
+def test_resume_writes_only_what_is_missing(spark, tmp_path):
+    df = spark.range(60).select("id")
+    assert sinks.resume_partitions(df, "id", f"file://{tmp_path}/r", 3) == [0, 1, 2]
+    assert sinks.resume_partitions(df, "id", f"file://{tmp_path}/r", 3) == []
+    assert spark.read.parquet(f"file://{tmp_path}/r").count() == 60
+
+
+@dataclass(frozen=True)
+class Inner:
+    rate: float = 0.5
+
+
+@dataclass(frozen=True)
+class Settings:
+    seed: int
+    inner: Inner = Inner()
+
+
+def test_settings_are_strict():
+    assert config.parse(Settings, {"seed": 1, "inner": {"rate": 1}}) == Settings(1, Inner(1.0))
+    for bad in ({}, {"seed": "x"}, {"seed": 1, "more": 2}, {"seed": 1, "inner": {"no": 1}}, {"seed": True}):
+        with pytest.raises(ValueError):
+            config.parse(Settings, bad)
+
+
+def test_workflow_fields_must_match(spark):
+    parents = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "k string, v int, w string")
+    rows = spark.createDataFrame([("a", 1, None), ("b", 3, None)], "k string, v int, w string")
+    assert [(r.key, r.detail) for r in workflow.mismatched(rows, parents, "k", ["v", "w"], "copy").collect()] == [("b", "v,w")]
+
+
+def test_extensions_by_name():
+    own = registry.Registry()
+    own.add("metric", "m", 1)
+    assert own.get("metric", "m") == 1
+    for bad in (("metric", "m"), ("metric", " "), ("nothing", "m")):
+        with pytest.raises(ValueError):
+            own.add(*bad, 2)
+    with pytest.raises(ValueError):
+        own.get("metric", "x")
+
+
+def test_command_line_lists_queries(capsys):
+    from tidemark.__main__ import main
+
+    assert main(["list"]) == 0 and "w01_txn_counts" in capsys.readouterr().out
+
+
 def test_sql_needs_its_source(spark):
     assert tables.sql_over(spark.range(3), "SELECT count(*) AS n FROM {source}").first().n == 3
     with pytest.raises(ValueError):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, hash_uniform, micros
-from tidemark.operators import calibration, campaigns, delivery, graph, predictions, quality
+from tidemark.operators import calibration, campaigns, delivery, graph, predictions, quality, workflow
 from tidemark.plans.catalogue import EV, HOUR, LINK, MID, SC, U, _device_edges, _scored, query
 from tidemark.sources.tables import payment_events, read
 
@@ -214,3 +214,38 @@ def u05_baseline_model(spark, d):
     features = ["amount", "hour", "dev"]
     model = predictions.train_baseline(rows, features, "y")
     return predictions.predict(model, rows, features).select("event_id", F.round("score", 6).alias("score"))
+
+
+@query("j17_workflow_checks", """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 3) SELECT 'dangling' AS rule, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'order', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE epoch_us(l_shipdate) < epoch_us(o_orderdate)""")
+def j17_workflow_checks(spark, d):
+    o, l = read(spark, d, "orders"), read(spark, d, "lineitem")
+    lost = workflow.dangling(l, "l_orderkey", o.where("o_orderkey % 10 <> 3"), "o_orderkey", "dangling")
+    both = l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", micros(F.col("o_orderdate")).alias("a"), micros(F.col("l_shipdate")).alias("b"))
+    found = lost.unionByName(workflow.out_of_order(both, "l_orderkey", ["a", "b"], "order"))
+    return calibration.zero_filled(found, "rule", ["dangling", "order"]).withColumnRenamed("value", "rule")
+
+
+@query("j10_source_prefix", f"WITH {EV}, k AS (SELECT * FROM ev WHERE available <= {MID}) SELECT (SELECT count(*) FROM k) AS facts, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT customer FROM k)) AS customers")
+def j10_source_prefix(spark, d):
+    known = workflow.prefix(payment_events(spark, d), F.col("available"), MID, [("customers", read(spark, d, "customer"), "customer", "c_custkey")])
+    return known["facts"].agg(F.count("*").alias("facts")).select("facts", known["customers"].agg(F.count("*")).scalar().alias("customers"))
+
+
+@query("a35_fault_rates", f"SELECT 'late' AS fault, 0.02::DOUBLE AS requested, round(avg(({U.format('late', 'event_id')} < 0.02)::INT), 12) AS realised, sum(({U.format('late', 'event_id')} < 0.02)::INT)::BIGINT AS rows FROM events")
+def a35_fault_rates(spark, d):
+    hit = hash_uniform("late", F.col("event_id")) < 0.02
+    return workflow.requested_and_realised(read(spark, d, "events"), {"late": hit}, {"late": 0.02}).withColumn("realised", F.round("realised", 12))
+
+
+@query("a23_performance_delta", f"WITH m AS (SELECT event_type AS name, avg(value) FILTER (epoch_us(ts) < {MID}) AS a, avg(value) FILTER (epoch_us(ts) >= {MID}) AS b FROM events GROUP BY 1) SELECT name, round(a, 9) AS reference, round(b, 9) AS current, round(b - a, 9) AS delta, coalesce(abs(b - a) >= 0.5, false) AS alert FROM m")
+def a23_performance_delta(spark, d):
+    e = read(spark, d, "events").withColumn("later", micros(F.col("ts")) >= MID)
+    half = lambda later: e.where(F.col("later") == later).groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("v"))
+    return workflow.compare(half(False), half(True), "name", "v", 0.5).withColumns({c: F.round(c, 9) for c in ("reference", "current", "delta")})
+
+
+@query("g07_campaign_members", f"WITH {LINK}, m AS (SELECT tm // {DAY} AS campaign, tm, unnest([src, dst]) AS m FROM ed) SELECT campaign, array_to_string(list_sort(list(DISTINCT m)), ',') AS members, CAST(count(*) / 2 AS BIGINT) AS n_rows, min(tm) AS first_at, max(tm) AS last_at FROM m GROUP BY 1")
+def g07_campaign_members(spark, d):
+    e = _device_edges(spark, d).withColumn("campaign", F.floor(F.col("at") / DAY))
+    return workflow.members(e, "campaign", ["src", "dst"], "at").withColumn("members", F.array_join("members", ",")).select("campaign", "members", "n_rows", "first_at", "last_at")

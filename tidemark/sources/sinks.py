@@ -38,6 +38,34 @@ def write_partitions(df: DataFrame, key: str, kind: str, path: str, shards: int,
     return manifest
 
 
+def resume_partitions(df: DataFrame, key: str, path: str, shards: int) -> list[int]:
+    """Write the shards that are not there yet, each with a marker of its rows' fingerprint; returns those written.
+
+    A shard whose marker equals the fingerprint of its rows is left alone, so a run that was cut off can be repeated.
+    """
+    spark = df.sparkSession
+    sharded = df.withColumn("partition_id", shard_index(F.col(key), shards))
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    wrote = []
+    for shard in range(shards):
+        rows = sharded.where(F.col("partition_id") == shard).drop("partition_id")
+        mark = f"{path}/shard={shard}/_fingerprint-{fingerprint(rows).first()['fingerprint'][:32]}"
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(mark)):
+            rows.write.mode("overwrite").parquet(f"{path}/shard={shard}")
+            write_bytes(spark, mark, b"")
+            wrote.append(shard)
+    return wrote
+
+
+def maintain_iceberg(spark: SparkSession, table: str, older_than: str, *, dry_run: bool = True) -> list[str]:
+    """The maintenance calls for a table; they run only where dry_run is off."""
+    catalog = table.split(".")[0]
+    calls = [f"CALL {catalog}.system.expire_snapshots(table => '{table}', older_than => TIMESTAMP '{older_than}')", f"CALL {catalog}.system.rewrite_data_files(table => '{table}')", f"CALL {catalog}.system.remove_orphan_files(table => '{table}', older_than => TIMESTAMP '{older_than}')"]
+    for call in [] if dry_run else calls:
+        spark.sql(call)
+    return calls
+
+
 def read_partitions(spark: SparkSession, path: str, *, shard: int | None = None, kind: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Partition and column pruning do the selection."""
     out = spark.read.parquet(path)
