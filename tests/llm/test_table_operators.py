@@ -259,3 +259,15 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         if k in (1, 2):
             assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in was.collect()}
     assert docs.where("not lossless").count() == 0 and docs.count() > 0
+
+
+def test_attach_joins_hot_and_cold_keys(spark, monkeypatch):
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)
+    rows = [(k, 1 if k % 3 else k) for k in range(300)] + [(k, 2) for k in range(300, 330)]
+    df = spark.createDataFrame(rows, "i long, key long").withColumn("s", F.xxhash64("i"))
+    summary = df.groupBy("key").agg(F.min("i").alias("least"), F.count("*").alias("n")).where("key <> 6")
+    want = Counter((i, k, min(a for a, b in rows if b == k)) for i, k in rows if k != 6)
+    assert Counter((r.i, r.key, r.least) for r in shared.attach(df, summary, "key", "n", "s").collect()) == want

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.shipping import shared_dir, ship_package
 
 #: Rows in one Arrow batch: with long texts, Spark's default of 10,000 would not fit in a Python worker.
 ARROW_ROWS = 256
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and give the workers this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -58,3 +52,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return [free_name(df, w) for w in wanted]
+
+
+#: Keys with more rows than this, and more than one HOT_KEYS-th of all, are joined by broadcast: HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 300, 10_000
+
+
+def attach(rows: DataFrame, summary: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """rows with the columns of summary (one row for each key, with `count`, the key's rows) but for the count.
+
+    Rows of a hot key get them from a broadcast list of bounded length, and are dealt by `spread` from then on; so no task
+    gathers a hot key. Keys without a summary are dropped.
+    """
+    values = [c for c in summary.columns if c not in (key, count)]
+    total = summary.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    hot = summary.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_hot_values"))
+    cold = summary.where(~is_hot).select(F.lit(True).alias("_cold"), F.col(key).alias("_key"), F.struct(*values).alias("_values"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = marked.withColumn("_is_cold", F.col("_hot").isNull()).withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.col(spread)))
+    both = dealt.join(cold, (F.col("_is_cold") == F.col("_cold")) & (F.col("_dealt") == F.col("_key")), "left")
+    found = F.when(F.col("_is_cold"), F.col("_values")).otherwise(F.col("_hot_values"))
+    out = both.where(~F.col("_is_cold") | F.col("_cold")).withColumn("_found", found)
+    return out.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.components import components
-from tidemark.llm.shared import configure, free_names, materialize
+from tidemark.llm.shared import attach, configure, free_names, materialize
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: For similarities: bits of the prints over distinct words and over shingles, and the choices of bits that deal them.
@@ -196,10 +196,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     # One id may carry several fingerprints (repeated ids) or be null: nodes are numbered by a hash where the id is not unique.
     nodes = distinct.select("fp", F.col("fp").alias("node"))
     found = components(links(nodes, block_keys(radius), ["fp"], radius), "simhash")
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    out = prints.join(by_print, "fp")
+    rooted = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", "n", F.coalesce("root", "fp").alias("root")), "simhash")
+    least = rooted.groupBy("root").agg(F.min("node").alias("component_id"), F.count("*").alias("prints"))
+    by_print = attach(rooted, least, "root", "prints", "fp").select("fp", "component_id", "n")
+    out = attach(prints.withColumn("spread", F.xxhash64("i")), by_print, "fp", "n", "spread")
     return out.select(F.col("i").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -262,13 +262,14 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema["i"].dataType.simpleString()
     prints = materialize(docs.mapInArrow(run, f"i {kind}, th long, " + ", ".join(f"{c} long" for c in (*wide, *deep))).withColumn("node", F.xxhash64(*wide, *deep)), "simhash")
-    nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in (*wide, *deep)], F.min(F.struct("i", "th")).alias("least")), "simhash")
+    nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in (*wide, *deep)], F.min(F.struct("i", "th")).alias("least"), F.count("*").alias("n")), "simhash")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(SHINGLE_BITS * share + DEVIATIONS * math.sqrt(SHINGLE_BITS * share * (1 - share)))
     found = components(links(nodes, _band_keys(), deep, radius), "simhash")
-    rooted = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
-    return prints.select("i", "th", "node").join(first, "node").select("i", "th", F.col("first.i").alias("first_i"), F.col("first.th").alias("first_th"))
+    rooted = materialize(nodes.select("node", "least", "n").join(found, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "simhash")
+    first = attach(rooted, rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")), "root", "members", "node").select("node", "first", "n")
+    out = attach(prints.select("i", "th", "node", F.xxhash64("i").alias("spread")), first, "node", "n", "spread")
+    return out.select("i", "th", F.col("first.i").alias("first_i"), F.col("first.th").alias("first_th"))
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
