@@ -234,6 +234,39 @@ def test_similar_documents_are_grouped(spark, empty, ugly):
     assert ids[5] == 1 and ids[6] == 0 and ids[9] == 1 and ids[1] == 1 and sum(ids[k] for k in (2, 3, 4)) + ids[None] <= 2
 
 
+def test_appended_and_truncated_copies_are_grouped_and_no_others(spark):
+    """Pairs whose shingle sets have a similarity of exactly 0.8, 0.85, 0.9 by a contiguous edit, and just under 0.8."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], set()
+    for size, edits in ((104, (25, 17, 11, 26)), (404, (100, 70, 44, 101))):
+        for extra in edits:
+            for shape in range(60):
+                base, more, k = text(size), text(extra), 2 * len(rows)
+                edited = [[*base, *more], [*more, *base]][shape % 2]  # appended or put before; the shorter one is the truncated copy
+                pair = [" ".join(base), " ".join(edited)]
+                rows.append(((k, pair[shape % 3 > 0]), (k + 1, pair[shape % 3 == 0])))
+                want |= {k} if extra not in (26, 101) else {k, k + 1}
+    df = spark.createDataFrame([r for pair in rows for r in pair], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).select("doc_id").collect()} == want
+
+
+def test_groups_equal_brute_force_over_shingle_sets(spark, documents):
+    rows = documents.select("doc_id", "text").collect()
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in words]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), r.doc_id), r.doc_id)
+    assert {r.i: r.first_i for r in simhash.similar_groups(documents).collect()} == {r.doc_id: least[find(k)] for k, r in enumerate(rows)}
+
+
 # segmentation
 
 

@@ -11,8 +11,8 @@ Defined results: a null or empty text, or one without words, has fingerprint zer
 rows have equal fingerprints and one component. A null id never becomes a component id unless the whole component has
 null ids. An empty table gives an empty table. Other columns are ignored, or carried through by `keep_one`.
 
-`similar_groups` serves similarities of shingle sets, at which 64 bits cannot tell documents apart cheaply: wider prints,
-the same tiles.
+`similar_groups` serves similarities of shingle sets, at which 64 bits cannot tell documents apart cheaply: minima of
+hashes of the shingles deal the documents, the same tiles compare wider prints, and the sets decide what prints leave open.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import attach, configure, free_names, materialize
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: For similarities: bits of the prints over distinct words and over shingles, and the choices of bits that deal them.
-WORD_BITS, SHINGLE_BITS, BANDS, BAND_BITS, DEVIATIONS = 128, 1024, 16, 16, 1.5
+#: For similarities: bits of the prints over shingles, the minima in a band, and the share of pairs at the similarity that
+#: may share no band.
+SHINGLE_BITS, BAND_MINIMA, MISSED = 1024, 4, 1e-4
+#: Standard deviations of a print's distance below which a pair is linked unseen, and above which it is not looked at.
+SURE, DOUBT = 6, 8
 BLOCKS = 5
 TILE = 4096
 #: Masks of the 5 blocks of 13, 13, 13, 13 and 12 bits.
@@ -79,8 +82,11 @@ def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(run, f"i {docs.schema['i'].dataType.simpleString()}, fp long")
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of fingerprints (rows of 64-bit words) within the radius; both sides in order of population count."""
+def near(left: np.ndarray, right: np.ndarray, radius: int, roots: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of fingerprints (rows of 64-bit words) within the radius; both sides in order of population count.
+
+    roots: what each side's fingerprints are known to belong to; pairs within one root are left out.
+    """
     a, b = [], []
     pl, pr = np.bitwise_count(left).sum(1, dtype=np.int32), np.bitwise_count(right).sum(1, dtype=np.int32)
     step = 512
@@ -92,7 +98,10 @@ def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
             differ = np.zeros((len(x), len(y)), np.uint16)
             for k in range(left.shape[1]):
                 differ += np.bitwise_count(left[i : i + step, k, None] ^ right[None, j : j + step, k])
-            p, q = np.nonzero(differ <= radius)
+            found = differ <= radius
+            if roots is not None:
+                found &= roots[0][i : i + step, None] != roots[1][None, j : j + step]
+            p, q = np.nonzero(found)
             a.append(p + i)
             b.append(q + j)
     none = np.zeros(0, np.int64)
@@ -112,19 +121,24 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _links_of_unit(node: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """side 0: one tile against itself; otherwise rows of side 1 against those of side 2."""
+def _links_of_unit(node: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """side 0: one tile against itself; otherwise rows of side 1 against those of side 2. Ends of links, and whether they are sure."""
     order = np.argsort(np.bitwise_count(fp).sum(1, dtype=np.int32), kind="stable")
     node, fp, side = node[order], fp[order], side[order]
-    if side[0] == 0:
-        a, b = near(fp, fp, radius)
-    else:
-        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        a, b = near(fp[one], fp[two], radius) if len(one) and len(two) else (one[:0], two[:0])
-        a, b = one[a], two[b]
-    root = spanning(a, b, len(node))
+    one, two = (np.arange(len(node)),) * 2 if side[0] == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    if not len(one) or not len(two):
+        return node[:0], node[:0], np.zeros(0, bool)
+    a, b = near(fp[one], fp[two], radius if sure is None else sure)
+    root = spanning(one[a], two[b], len(node))
     own = np.flatnonzero(root != np.arange(len(node)))
-    return node[own], node[root[own]]
+    u, v = node[own], node[root[own]]
+    if sure is None:
+        return u, v, np.ones(len(u), bool)
+    a, b = near(fp[one], fp[two], radius, (root[one], root[two]))
+    a, b = node[one[a]], node[two[b]]
+    if side[0] == 0:  # found both ways
+        a, b = a[a < b], b[a < b]
+    return np.append(u, np.minimum(a, b)), np.append(v, np.maximum(a, b)), np.arange(len(u) + len(a)) < len(u)
 
 
 def block_keys(radius: int) -> Column:
@@ -137,8 +151,12 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: int = TILE) -> DataFrame:
-    """nodes(node long, words... long), distinct -> (u, v): links that connect all fingerprints within the radius that share a key."""
+def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: int = TILE, sure: int | None = None) -> DataFrame:
+    """nodes(node long, words... long), distinct -> (u, v): links that connect all fingerprints within the radius that share a key.
+
+    With `sure`, (u, v, sure): such links for that lesser radius, and besides them every pair within the radius, u < v, that
+    they leave unconnected.
+    """
     dealt = nodes.select("node", *words, F.explode(keys).alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = dealt.join(many, "key")
@@ -154,6 +172,8 @@ def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: i
     large = large.select(F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("key"), side.alias("side"), "node", *words)
     units = small.unionByName(large).repartition("key").sortWithinPartitions("key")
 
+    names = ["u", "v"] if sure is None else ["u", "v", "sure"]
+
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, node, fp, side = (np.concatenate(x) for x in zip(*held, strict=True))
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
@@ -161,12 +181,13 @@ def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: i
         one = cuts[:-1][size == 2]
         two = one + 1
         ok = (np.bitwise_count(fp[one] ^ fp[two]).sum(1, dtype=np.int32) <= radius) & ((side[one] == 0) | (side[one] != side[two]))
-        us, vs = [node[one[ok]]], [node[two[ok]]]
+        one, two = one[ok], two[ok]
+        certain = np.bitwise_count(fp[one] ^ fp[two]).sum(1, dtype=np.int32) <= (radius if sure is None else sure)
+        us, vs, ss = [np.minimum(node[one], node[two])], [np.maximum(node[one], node[two])], [certain]
         for a, b in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
-            u, v = _links_of_unit(node[a:b], fp[a:b], side[a:b], radius)
-            us.append(u)
-            vs.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            for held_, x in zip((us, vs, ss), _links_of_unit(node[a:b], fp[a:b], side[a:b], radius, sure), strict=True):
+                held_.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ss)[: len(names)]], names)
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -186,7 +207,7 @@ def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: i
         if held:
             yield flush(held)
 
-    return units.mapInArrow(run, "u long, v long").distinct()
+    return units.mapInArrow(run, "u long, v long" if sure is None else "u long, v long, sure boolean").distinct()
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -203,24 +224,39 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     return out.select(F.col("i").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row a print of WORD_BITS bits over its distinct words and one of SHINGLE_BITS bits over its shingles."""
+def _features(data: np.ndarray, at: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """For each row the sorted distinct hashes of its shingles; of fewer words than a shingle the whole sequence; no word: none."""
     low = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
     starts, ends = tx.spans(tx.WORD_BYTES[low], at)
     rows, hashes = tx.rows_of(starts, at), tx.SpanHashes(low)(starts, ends)
     first, windows = tx.window_hashes(hashes, rows, shingle)
     n = len(at) - 1
     word_at, window_at = np.searchsorted(rows, np.arange(n + 1)), np.searchsorted(rows[first], np.arange(n + 1))
-    words, shingles = np.zeros((n, WORD_BITS // 64), np.uint64), np.zeros((n, SHINGLE_BITS // 64), np.uint64)
+    out = []
     for k in range(n):
-        own = hashes[word_at[k] : word_at[k + 1]]
-        if not len(own):
-            continue
-        part = windows[window_at[k] : window_at[k + 1]]
-        if not len(part):  # fewer words than a shingle: the whole sequence
+        own, part = hashes[word_at[k] : word_at[k + 1]], windows[window_at[k] : window_at[k + 1]]
+        if len(own) and not len(part):
             part = tx.mix(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64))
-        words[k], shingles[k] = _spread(np.unique(own), WORD_BITS // 64), _spread(part, SHINGLE_BITS // 64)
-    return words, shingles
+        out.append(np.unique(part))
+    return out
+
+
+def _wide(features: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of features the hashes of `bands` bands of BAND_MINIMA minima each, and a print of SHINGLE_BITS bits.
+
+    Two sets of similarity s have equal minima with probability s, and so a band in common with that of s ** BAND_MINIMA.
+    """
+    turns, odd = np.random.Generator(np.random.PCG64(31)).integers(0, 1 << 63, (2, bands * BAND_MINIMA), dtype=np.uint64)
+    odd = odd << np.uint64(1) | np.uint64(1)
+    least, prints = np.zeros((len(features), len(odd)), np.uint64), np.zeros((len(features), SHINGLE_BITS // 64), np.uint64)
+    for k, own in enumerate(features):
+        if len(own):
+            least[k] = np.minimum.reduce([((own[j : j + 4096, None] ^ turns) * odd).min(0) for j in range(0, len(own), 4096)])
+            prints[k] = _spread(own, SHINGLE_BITS // 64)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(features), bands))
+    for j in range(BAND_MINIMA):
+        keys = tx.mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, j::BAND_MINIMA])
+    return keys, prints
 
 
 def _spread(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -229,49 +265,62 @@ def _spread(hashes: np.ndarray, count: int) -> np.ndarray:
     return _majority(tx.mix(hashes[:, None] + offsets[None, :]))
 
 
-def _band_keys() -> Column:
-    """BANDS random choices of BAND_BITS bits of the word print."""
-    rng = np.random.Generator(np.random.PCG64(31))
-    keys = []
-    for band in range(BANDS):
-        masks = [0] * (WORD_BITS // 64)
-        for bit in rng.choice(WORD_BITS, BAND_BITS, replace=False).tolist():
-            masks[bit // 64] |= 1 << (bit % 64)
-        keys.append(F.xxhash64(F.lit(band), *[F.col(f"w{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(masks)]))
-    return F.array(*keys)
-
-
 def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(i, th, first_i, first_th): for each document (id and XXH64 of its text) the least one of its group of near-duplicates.
 
-    Documents are linked if SHINGLE_BITS-bit prints over their shingles differ in no more bits than at the given Jaccard
-    similarity, plus DEVIATIONS standard deviations: the angle between sets of similarity s has the cosine 2s / (1 + s). Which
-    prints are compared is dealt by BANDS random choices of BAND_BITS bits of a second print, over distinct words, on which
-    such documents differ in about 1 bit of 14: all choices miss a pair in about 3 of 1000 cases.
+    Documents are linked if their sets of shingles have at least the given Jaccard similarity. Which are compared is dealt by
+    bands of minima of the sets, as many as miss a pair at that similarity in MISSED of cases, whatever the edit's shape, and
+    pairs more alike in fewer. The distance of SHINGLE_BITS-bit prints tells pairs that are SURE standard deviations within
+    what is expected at the similarity (its angle has the cosine 2s / (1 + s)), which are linked, and those DOUBT beyond,
+    which are not; the sets themselves decide all pairs between that such links do not connect.
     """
     configure(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    wide, deep = [f"w{k}" for k in range(WORD_BITS // 64)], [f"s{k}" for k in range(SHINGLE_BITS // 64)]
+    deep = [f"s{k}" for k in range(SHINGLE_BITS // 64)]
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(min(similarity, 0.99) ** BAND_MINIMA)))
 
     def run(batches):
         for batch in batches:
             for part, data, at in tx.chunks(batch, "t"):
-                words, shingles = (x.view(np.int64) for x in _wide(data, at, shingle))
+                keys, prints = (x.view(np.int64) for x in _wide(_features(data, at, shingle), bands))
                 th = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tx.text_list(data, at)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([tx.column(part, "i"), pa.array(th), *(pa.array(np.ascontiguousarray(c)) for c in (*words.T, *shingles.T))], ["i", "th", *wide, *deep])
+                lists = pa.ListArray.from_arrays(np.arange(len(th) + 1, dtype=np.int32) * bands, pa.array(np.ascontiguousarray(keys).ravel()))
+                yield pa.RecordBatch.from_arrays([tx.column(part, "i"), pa.array(th), lists, *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], ["i", "th", "bands", *deep])
 
     kind = docs.schema["i"].dataType.simpleString()
-    prints = materialize(docs.mapInArrow(run, f"i {kind}, th long, " + ", ".join(f"{c} long" for c in (*wide, *deep))).withColumn("node", F.xxhash64(*wide, *deep)), "simhash")
-    nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in (*wide, *deep)], F.min(F.struct("i", "th")).alias("least"), F.count("*").alias("n")), "simhash")
+    prints = materialize(docs.mapInArrow(run, f"i {kind}, th long, bands array<long>, " + ", ".join(f"{c} long" for c in deep)).withColumn("node", F.xxhash64("bands", *deep)), "simhash")
+    nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", *deep)], F.min(F.struct("i", "th")).alias("least"), F.count("*").alias("n")), "simhash")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(SHINGLE_BITS * share + DEVIATIONS * math.sqrt(SHINGLE_BITS * share * (1 - share)))
-    found = components(links(nodes, _band_keys(), deep, radius), "simhash")
+    mean, deviation = SHINGLE_BITS * share, math.sqrt(SHINGLE_BITS * share * (1 - share))
+    pairs = materialize(links(nodes, F.col("bands"), deep, round(mean + DOUBT * deviation), sure=round(mean - SURE * deviation)), "simhash")
+    linked = pairs.where("sure").select("u", "v").unionByName(_verified(docs, nodes, pairs.where("not sure"), shingle, similarity))
+    found = components(linked, "simhash")
     rooted = materialize(nodes.select("node", "least", "n").join(found, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "simhash")
     first = attach(rooted, rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")), "root", "members", "node").select("node", "first", "n")
     out = attach(prints.select("i", "th", "node", F.xxhash64("i").alias("spread")), first, "node", "n", "spread")
     return out.select("i", "th", F.col("first.i").alias("first_i"), F.col("first.th").alias("first_th"))
 
 
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs of nodes whose sets of shingles have the similarity, worked out from the texts of their least documents."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = nodes.select("node", F.col("least.i").alias("wi"), F.col("least.th").alias("wth")).join(ends, "node", "left_semi")
+    hashed = docs.withColumn("th", F.xxhash64(F.coalesce("t", F.lit(""))))
+    texts = hashed.join(wanted, F.col("i").eqNullSafe(F.col("wi")) & (F.col("th") == F.col("wth"))).select("node", "t").dropDuplicates(["node"])
+
+    def run(batches):
+        for batch in batches:
+            for part, data, at in tx.chunks(batch, "t"):
+                own = _features(data, at, shingle)
+                ends_at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([tx.column(part, "node"), pa.ListArray.from_arrays(ends_at, pa.array(np.concatenate(own).view(np.int64)))], ["node", "own"])
+
+    sets = materialize(texts.mapInArrow(run, "node long, own array<long>"), "simhash")
+    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").where(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v")
+
+
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, that with the least id, with all its columns.
 
