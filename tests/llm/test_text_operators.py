@@ -91,6 +91,32 @@ def test_insertions_shift_no_later_cut():
     assert len(chunk(a) - chunk(b)) <= 3
 
 
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x5600))), "".join(map(chr, range(0x0E01, 0x0E2F))), "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_shifted_passages_without_spaces_are_found(spark, alphabet):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices(alphabet, k=n))
+    rows, size = [], 600
+    for k in range(30):
+        passage = text(size)
+        rows += [(2 * k, text(rng.randint(40, 400)) + passage + text(90)), (2 * k + 1, text(rng.randint(40, 400)) + passage + text(90))]
+    got = {r.doc_id: r for r in cdc_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = len(text(size).encode())
+    assert all(not got[2 * k].repeats and 0.4 * whole < got[2 * k + 1].repeated_bytes <= whole for k in range(30))
+
+
+def test_unspaced_cuts_depend_on_their_own_row_alone():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("語日本のはをが漢字 ", (9, 9, 9, 9, 9, 9, 9, 9, 9, 1), k=rng.randint(0, 300))) for _ in range(60)]
+    data, at = tx.buffer_of(pa.array(texts))
+    begin, end = cdc_dedup.cut_points(data, at)
+    for k, t in enumerate(texts):
+        alone = cdc_dedup.cut_points(*tx.buffer_of(pa.array([t])))
+        mine = (begin >= at[k]) & (begin < at[k + 1])
+        assert (begin[mine] - at[k]).tolist() == alone[0].tolist() and (end[mine] - at[k]).tolist() == alone[1].tolist()
+        for a in alone[0]:
+            t.encode()[a:].decode()
+
+
 def test_repeated_passages_are_found_and_clean_texts_left(spark, ugly, empty):
     got = {r.doc_id: r for r in cdc_dedup.report(ugly).collect()}
     assert got[11].repeated_bytes > 0.6 * len(PASSAGE) and "quite another beginning" in got[11].kept_text and "finish" in got[11].kept_text

@@ -1,8 +1,10 @@
 """Removal of repeated passages by content-defined chunking.
 
-A gear rolling hash over the bytes cuts each text into variable chunks. A cut can fall only where a word starts, if the
-hash of the WINDOW bytes before it has CUT_BITS zero bits and no other such place lies within MIN_CHUNK bytes before it;
-longer stretches are cut after MAX_CHUNK bytes. Cuts depend on nearby bytes alone, so an insertion shifts no later cut.
+A gear rolling hash over the bytes cuts each text into variable chunks. A cut falls where a word starts, if the hash of
+the WINDOW bytes before it has CUT_BITS zero bits, and at any code point with no space in the UNSPACED bytes before it, if
+the hash has UNSPACED_BITS zero bits (text of scripts without spaces, long runs); but not where another such place lies
+within MIN_CHUNK bytes before it. These cuts depend on nearby bytes alone, so an insertion shifts no later one. A stretch
+without a cut for MAX_CHUNK bytes (a run of one character, say) is cut into pieces counted from its start.
 Chunks are deduplicated by a 64-bit digest and their length: the first occurrence, by id, text hash and position, stays. Later
 occurrences are removed where a run of neighbouring repeated chunks reaches MIN_RUN bytes; a shorter run is taken for
 chance and left alone.
@@ -26,6 +28,8 @@ from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure, free_names
 
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK = 16, 2, 16, 256
+#: Bytes without a space after which cuts need no word start, and the zero bits they need: there are more places for them.
+UNSPACED, UNSPACED_BITS = 32, 3
 #: Bytes of neighbouring repeated chunks from which they are a passage.
 MIN_RUN = 100
 SEED = 42
@@ -42,6 +46,15 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _unspaced(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The starts of code points with UNSPACED bytes and more before them, and none of those a space."""
+    edge = np.concatenate([[-1], np.flatnonzero(space), [len(data)]])
+    long = np.flatnonzero(np.diff(edge) > UNSPACED + 1)
+    first, size = edge[long] + 1 + UNSPACED, edge[long + 1] - edge[long] - 1 - UNSPACED
+    places = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    return places[(data[places] & 0xC0) != 0x80]
+
+
 def cut_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk starts and ends; the chunks of a row cover it."""
     n = len(data)
@@ -50,7 +63,10 @@ def cut_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     space = tx.SPACES[data]
     word = np.flatnonzero(~space[1:] & space[:-1]) + 1
     # The top bits depend on all WINDOW bytes; those of the row before are hidden by the minimum at a row's start.
-    hot = word[(gear(data)[word - 1] >> np.uint16(16 - CUT_BITS)) == 0]
+    h, inner = gear(data), _unspaced(data, space)
+    inner = inner[inner - at[tx.rows_of(inner, at)] >= UNSPACED]
+    hot = word[(h[word - 1] >> np.uint16(16 - CUT_BITS)) == 0]
+    hot = np.union1d(hot, inner[(h[inner - 1] >> np.uint16(16 - UNSPACED_BITS)) == 0])
     hot = hot[hot - at[tx.rows_of(hot, at)] >= MIN_CHUNK]
     if len(hot):
         hot = hot[np.append(True, np.diff(hot) >= MIN_CHUNK)]
