@@ -372,3 +372,8 @@ def test_tags_add_labels_and_base_stays():
 
 def test_long_text_is_read_whole():
     assert license_scan.scan(LONG + "MIT license", license_scan.automaton())[1] == 1
+
+
+def test_malformed_expressions_keep_all_their_identifiers():
+    names, family = license_scan.evaluate("(MIT OR Apache-2.0 OR BSD-3-Clause OR ISC OR Zlib")
+    assert names == {"mit", "apache-2.0", "bsd-3-clause", "isc", "zlib"} and family is None

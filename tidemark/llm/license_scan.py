@@ -94,7 +94,7 @@ def evaluate(expression: str) -> tuple[set[str], str | None]:
     try:
         postfix = to_postfix(expression)
     except ValueError:
-        return {t.lower() for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", expression)[:8] if family_of(t) < 4}, None
+        return {t.lower() for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", expression) if family_of(t) < 4}, None
     stack: list[int] = []
     names: set[str] = set()
     for k, token in enumerate(postfix):
