@@ -49,6 +49,18 @@ def test_language_edges(spark, ugly, empty, documents):
     assert {r.lang_pred for r in langid.identify(ugly, langid.Model(())).collect()} == {"und"}
 
 
+def test_rare_languages_and_those_of_long_texts_are_learned(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)]
+        rows += [(f"l{k:02}", " ".join(rng.choices(words, k=4000 if k == 69 else 80))) for _ in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert [code for code, _, _ in model.languages] == [f"l{k:02}" for k in range(70)]
+    classify = langid.Classifier(model)
+    assert all(classify(t.encode()[:500])[0] == code for code, t in rows[-20:])
+
+
 # chunk dedup
 
 

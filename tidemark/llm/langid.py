@@ -5,8 +5,8 @@ gives the fewest bytes wins. Where the two best differ by at most MARGIN bytes t
 disjoint smaller dictionaries of each language and their sums decide; a margin that stays narrow marks the answer as
 rejected.
 
-Dictionaries are filled from a bounded sample: at most SAMPLE_TEXTS distinct texts of SAMPLE_CHARS code points at most
-for each of the LANGUAGES most frequent languages, chosen by a hash of the text.
+Every language with a labelled text is learned. Dictionaries are filled from a bounded sample: at most SAMPLE_TEXTS distinct
+texts of each language, chosen by a hash of the text, and of each its first SAMPLE_CHARS code points.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not rejected. Repeated rows get equal
 results. Ties go to the language with more training rows, then to the smaller code. With no usable label every text is
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure
 
-SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 200, 20_000, 64
+SAMPLE_TEXTS, SAMPLE_CHARS = 200, 20_000
 DICTIONARY_BYTES, SMALL_BYTES, SMALL_COUNT = 32 << 10, 6 << 10, 6
 LEVEL, SMALL_LEVEL, MARGIN = 5, 9, 3
 UNKNOWN = "und"
@@ -45,8 +45,8 @@ def normal(text: bytes) -> bytes:
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("t"))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    rows = rows.where("t <> ''").withColumn("h", F.xxhash64("t")).withColumn("t", F.substring("t", 1, SAMPLE_CHARS))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").collect()
     if not counts:
         return Model(())
     # A threshold on the hash leaves about four times the wanted distinct texts of each language; copies fold before the sort.
