@@ -12,9 +12,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset: on one machine a temporary one, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,6 +34,7 @@ def ship_package(spark: SparkSession) -> None:
     data = packed.getvalue()
     path = f"{shared_dir(spark)}/{root.name}-{hashlib.sha256(data).hexdigest()[:12]}.zip"
     write_bytes(spark, path, data)
+    delete_at_exit(spark, path)
     context.addPyFile(path)
     context._tidemark_shipped = True
 
@@ -44,3 +47,14 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.write(bytearray(data))
     finally:
         out.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The files at path, which must be there, go when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
