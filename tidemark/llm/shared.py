@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.shipping import shared_dir, ship_package
+from tidemark.functions.shipping import delete, delete_at_exit, shared_dir, ship_package
 
 #: Rows in one Arrow batch: with long texts, Spark's default of 10,000 would not fit in a Python worker.
 ARROW_ROWS = 256
@@ -23,23 +25,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
+class Stored:
+    """A table in the shared folder: its lineage ends at files that outlive executors.
+
+    The files go with discard(), called once nothing reads them any more, or else when the driver ends.
+    """
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self._spark = df.sparkSession
+        self.path = fresh_path(self._spark, name)
+        df.write.parquet(self.path)
+        delete_at_exit(self._spark, self.path)
+        self.rows = self._spark.read.schema(df.schema).parquet(self.path)
 
+    def discard(self) -> None:
+        delete(self._spark, self.path)
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a stored table that is read until the driver ends."""
+    return Stored(df, name).rows
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -58,20 +63,27 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 HOT_ROWS, HOT_KEYS = 300, 10_000
 
 
-def attach(rows: DataFrame, summary: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, keys: str | Sequence[str], count: str, spread: str, *, total: int | None = None, keep: bool = False) -> DataFrame:
     """rows with the columns of summary (one row for each key, with `count`, the key's rows) but for the count.
 
     Rows of a hot key get them from a broadcast list of bounded length, and are dealt by `spread` from then on; so no task
-    gathers a hot key. Keys without a summary are dropped.
+    gathers a hot key. Keys without a summary are dropped, or with `keep` get nulls; null keys have no summary. total: the sum
+    of the counts, where it is known; it is asked for otherwise.
     """
-    values = [c for c in summary.columns if c not in (key, count)]
-    total = summary.agg(F.sum(count)).first()[0] or 0
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    values = [c for c in summary.columns if c not in (*keys, count)]
+    total = (summary.agg(F.sum(count)).first()[0] or 0) if total is None else total
     is_hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
-    hot = summary.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_hot_values"))
-    cold = summary.where(~is_hot).select(F.lit(True).alias("_cold"), F.col(key).alias("_key"), F.struct(*values).alias("_values"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = marked.withColumn("_is_cold", F.col("_hot").isNull()).withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.col(spread)))
-    both = dealt.join(cold, (F.col("_is_cold") == F.col("_cold")) & (F.col("_dealt") == F.col("_key")), "left")
+    hot = summary.where(is_hot).select(*[F.col(k).alias(f"_hot{j}") for j, k in enumerate(keys)], F.struct(*values).alias("_hot_values"))
+    cold = summary.where(~is_hot).select(F.lit(True).alias("_cold"), *[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)], F.struct(*values).alias("_values"))
+    marked = rows.join(F.broadcast(hot), _all(F.col(k) == F.col(f"_hot{j}") for j, k in enumerate(keys)), "left")
+    dealt = marked.withColumn("_is_cold", F.col("_hot0").isNull()).withColumn("_dealt", F.when(F.col("_hot0").isNull(), F.col(keys[0])).otherwise(F.col(spread).cast(rows.schema[keys[0]].dataType)))
+    same = _all([F.col("_is_cold") == F.col("_cold"), F.col("_dealt") == F.col("_key0"), *[F.col(k) == F.col(f"_key{j}") for j, k in enumerate(keys) if j]])
+    both = dealt.join(cold, same, "left")
     found = F.when(F.col("_is_cold"), F.col("_values")).otherwise(F.col("_hot_values"))
-    out = both.where(~F.col("_is_cold") | F.col("_cold")).withColumn("_found", found)
+    out = (both if keep else both.where(~F.col("_is_cold") | F.col("_cold"))).withColumn("_found", found)
     return out.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.components import components
-from tidemark.llm.shared import attach, configure, free_names, materialize
+from tidemark.llm.shared import Stored, attach, configure, free_names, materialize
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: For similarities: bits of the prints over shingles, the minima in a band, and the share of pairs at the similarity that
@@ -158,8 +158,8 @@ def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: i
     they leave unconnected.
     """
     dealt = nodes.select("node", *words, F.explode(keys).alias("key"))
-    many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = dealt.join(many, "key")
+    many = dealt.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("n", F.col("rows"))
+    sized = attach(dealt, many, "key", "rows", "node")
     small = sized.where(F.col("n") <= tile).select("key", F.lit(0).alias("side"), "node", *words)
     # A large key: tiles by population count and hash, and a unit for each pair of tiles that can hold a link.
     cut = F.ceil(F.col("n") / F.lit(tile)).cast("int")
@@ -292,17 +292,19 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     nodes = materialize(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", *deep)], F.min(F.struct("i", "th")).alias("least"), F.count("*").alias("n")), "simhash")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     mean, deviation = SHINGLE_BITS * share, math.sqrt(SHINGLE_BITS * share * (1 - share))
-    pairs = materialize(links(nodes, F.col("bands"), deep, round(mean + DOUBT * deviation), sure=round(mean - SURE * deviation)), "simhash")
-    linked = pairs.where("sure").select("u", "v").unionByName(_verified(docs, nodes, pairs.where("not sure"), shingle, similarity))
-    found = components(linked, "simhash")
+    pairs = Stored(links(nodes, F.col("bands"), deep, round(mean + DOUBT * deviation), sure=round(mean - SURE * deviation)), "simhash")
+    sets = _sets(docs, nodes, pairs.rows.where("not sure"), shingle)
+    found = components(pairs.rows.where("sure").select("u", "v").unionByName(_verified(pairs.rows.where("not sure"), sets.rows, similarity)), "simhash")
+    pairs.discard()
+    sets.discard()
     rooted = materialize(nodes.select("node", "least", "n").join(found, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "simhash")
     first = attach(rooted, rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")), "root", "members", "node").select("node", "first", "n")
     out = attach(prints.select("i", "th", "node", F.xxhash64("i").alias("spread")), first, "node", "n", "spread")
     return out.select("i", "th", F.col("first.i").alias("first_i"), F.col("first.th").alias("first_th"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): the pairs of nodes whose sets of shingles have the similarity, worked out from the texts of their least documents."""
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> Stored:
+    """(node, own): the sets of shingles of the nodes in pairs, worked out from the texts of their least documents."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = nodes.select("node", F.col("least.i").alias("wi"), F.col("least.th").alias("wth")).join(ends, "node", "left_semi")
     hashed = docs.withColumn("th", F.xxhash64(F.coalesce("t", F.lit(""))))
@@ -315,7 +317,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
                 ends_at = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([tx.column(part, "node"), pa.ListArray.from_arrays(ends_at, pa.array(np.concatenate(own).view(np.int64)))], ["node", "own"])
 
-    sets = materialize(texts.mapInArrow(run, "node long, own array<long>"), "simhash")
+    return Stored(texts.mapInArrow(run, "node long, own array<long>"), "simhash")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of nodes whose sets of shingles have the similarity."""
     a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "u").join(b, "v").where(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v")
