@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), and every byte outside words becomes one space; the automaton runs over these words, so a
 phrase is found wherever its words stand consecutively. Where an identifier tag is found, the expression after it in the
 original text is parsed with AND, OR, WITH and brackets, and evaluated to a licence family: OR takes the freer side, AND
-the stricter, WITH an exception loosens strong copyleft to weak.
+the stricter, WITH an exception loosens strong copyleft to weak and changes no other family, an unknown one least of all.
 
 Defined results: a null or empty text, or one without words, has no places, null first and last words, empty labels and
 score 0. Overlapping places all count. A malformed expression gives the identifiers it names and no family. Repeated rows
@@ -41,16 +41,18 @@ NOTICES = {
 }
 TAGS = ("spdx license identifier", "license identifier")
 _TAG = re.compile(r"(?:SPDX-)?License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-#: Families from freest to strictest, and the identifiers that begin with a key.
+#: Families from freest to strictest, and whose identifiers are a key, or a key with more after a hyphen.
 FAMILIES = ("public-domain", "permissive", "weak-copyleft", "strong-copyleft", "unknown")
+WEAK, STRONG = 2, 3
 FAMILY_OF = {"cc0": 0, "unlicense": 0, "0bsd": 0, "mit": 1, "apache": 1, "bsd": 1, "isc": 1, "zlib": 1, "bsl": 1, "cc-by-sa": 3, "cc-by": 1, "lgpl": 2, "mpl": 2, "epl": 2, "cddl": 2, "agpl": 3, "gpl": 3}
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
 def family_of(identifier: str) -> int:
-    name = identifier.lower()
-    return max(((len(k), v) for k, v in FAMILY_OF.items() if name.startswith(k)), default=(0, 4))[1]
+    """The family's place in FAMILIES: that of the longest key that is the identifier, or the part of it before a hyphen."""
+    name = identifier.lower().removesuffix("+")
+    return max(((len(k), v) for k, v in FAMILY_OF.items() if name == k or name.startswith(f"{k}-")), default=(0, 4))[1]
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -105,7 +107,7 @@ def evaluate(expression: str) -> tuple[set[str], str | None]:
             stack.append(family_of(token))
             continue
         b, a = stack.pop(), stack.pop()
-        stack.append(min(a, b) if token == "or" else max(a, b) if token == "and" else min(a, 2))
+        stack.append(min(a, b) if token == "or" else max(a, b) if token == "and" else WEAK if a == STRONG else a)
     return names, FAMILIES[stack[0]]
 
 
