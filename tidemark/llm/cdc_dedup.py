@@ -5,11 +5,12 @@ the WINDOW bytes before it has CUT_BITS zero bits, and at any code point with no
 the hash has UNSPACED_BITS zero bits (text of scripts without spaces, long runs); but not where another such place lies
 within MIN_CHUNK bytes before it. These cuts depend on nearby bytes alone, so an insertion shifts no later one. A stretch
 without a cut for MAX_CHUNK bytes (a run of one character, say) is cut into pieces counted from its start.
-Chunks are deduplicated by a 64-bit digest and their length: the first occurrence, by id, text hash and position, stays. Later
-occurrences are removed where a run of neighbouring repeated chunks reaches MIN_RUN bytes; a shorter run is taken for
-chance and left alone.
+Chunks are deduplicated by 96 bits of their digest, seeded by their length: the first occurrence, by id, text hash and
+position, stays (of 1e12 different chunks, two share a digest in less than 1 of 100,000 corpora). Later occurrences are
+removed where a run of neighbouring repeated chunks reaches MIN_RUN bytes; a shorter run is taken for chance and left alone.
 
-Digest counts and first occurrences are pre-aggregated; the join back lets Spark split a digest that many rows share.
+Digest counts and first occurrences are pre-aggregated, and the digests that occur again are stored; rows of a digest that
+many share get the first occurrence from a bounded broadcast list, so that no task gathers them.
 
 Defined results: null and empty texts have no chunks and pass unchanged. Repeated rows (same id and text) count as one
 document and are cut alike. Null ids sort first. An empty table gives an empty table. `remove_repeats` keeps all columns.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure, free_names
+from tidemark.llm.shared import attach, configure, free_names, materialize
 
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK = 16, 2, 16, 256
 #: Bytes without a space after which cuts need no word start, and the zero bits they need: there are more places for them.
@@ -33,6 +34,8 @@ UNSPACED, UNSPACED_BITS = 32, 3
 #: Bytes of neighbouring repeated chunks from which they are a passage.
 MIN_RUN = 100
 SEED = 42
+#: Bits of a chunk's size beside its start; no chunk has as many as 2 ** PLACE bytes.
+PLACE = 16
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -88,7 +91,7 @@ def _source(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunk_table(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, th, start, size, digest): a row for each chunk; th is the text's XXH64."""
+    """(i, th, place, digest, check): a row for each chunk; th is the text's XXH64, place is start << PLACE | size in bytes."""
     configure(documents.sparkSession)
     docs = _source(documents, id_col, text_col)
 
@@ -97,21 +100,26 @@ def chunk_table(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for part, data, at in tx.chunks(batch, "t"):
                 begin, end = cut_points(data, at)
                 row = tx.rows_of(begin, at)
-                whole, hashing = data.tobytes(), xxhash.xxh3_64_intdigest
-                digest = np.fromiter([hashing(whole[a:b], b - a) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64, len(begin)).view(np.int64)
+                whole, hashing = data.tobytes(), xxhash.xxh3_128_digest
+                digest = np.frombuffer(b"".join([hashing(whole[a:b], b - a) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 th = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tx.text_list(data, at)], np.uint64).view(np.int64)
                 ids = tx.column(part, "i").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(th[row]), pa.array((begin - at[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(digest)], ["i", "th", "start", "size", "digest"])
+                place = (begin - at[row]) << PLACE | (end - begin)
+                columns = [ids, pa.array(th[row]), pa.array(place), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["i", "th", "place", "digest", "check"])
 
-    return docs.mapInArrow(run, f"i {docs.schema['i'].dataType.simpleString()}, th long, start int, size int, digest long")
+    return docs.mapInArrow(run, f"i {docs.schema['i'].dataType.simpleString()}, th long, place long, digest long, check int")
 
 
 def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(i, th, spans): for each document the sorted (start, size) in bytes of chunks that occur earlier in the corpus."""
     chunks = chunk_table(documents, id_col=id_col, text_col=text_col)
-    first = chunks.groupBy("digest").agg(F.min(F.struct("i", "th", "start")).alias("first"), F.max(F.struct("i", "th", "start")).alias("last")).where("not (first <=> last)").select("digest", "first")
-    later = chunks.join(first, "digest").where("not (struct(i, th, start) <=> first)")
-    return later.groupBy("i", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    own = F.struct("i", "th", "place")
+    first = chunks.groupBy("digest", "check").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.count("*").alias("n"))
+    again = materialize(first.where("not (first <=> last)").select("digest", "check", "first", "n"), "chunks")
+    later = attach(chunks, again, ["digest", "check"], "n", "place").where("not (struct(i, th, place) <=> first)")
+    span = F.struct(F.shiftright("place", PLACE).cast("int").alias("start"), F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("size"))
+    return later.groupBy("i", "th").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 def passages(spans: list[tuple[int, int]], least: int = MIN_RUN) -> list[tuple[int, int]]:

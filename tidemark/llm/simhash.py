@@ -159,7 +159,7 @@ def links(nodes: DataFrame, keys: Column, words: list[str], radius: int, tile: i
     """
     dealt = nodes.select("node", *words, F.explode(keys).alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("n", F.col("rows"))
-    sized = attach(dealt, many, "key", "rows", "node")
+    sized = attach(dealt, many, "key", "rows", "node", total=dealt.count())
     small = sized.where(F.col("n") <= tile).select("key", F.lit(0).alias("side"), "node", *words)
     # A large key: tiles by population count and hash, and a unit for each pair of tiles that can hold a link.
     cut = F.ceil(F.col("n") / F.lit(tile)).cast("int")
