@@ -14,7 +14,8 @@ Targets: sources in code-point order, null last, weigh 3, 1, 2 in turn and share
 2 times its source's words and the excess is reshared by weight.
 
 Defined results: null text has size 0, and a document of size 0 is taken 0 words. A source without words has target 0.
-Repeated rows are documents of their own. An empty table gives an empty table. `mix` keeps all columns and repeats rows;
+Repeated rows are documents of their own: equal ones are numbered, so that they fall into different blocks. An empty table
+gives an empty table. `mix` keeps all columns and repeats rows;
 rows equal in id and text are there one document taken as often as all of them together.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure, free_name, free_names, materialize
+from tidemark.llm.shared import Stored, attach, configure, free_name, free_names, materialize, numbered
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 BLOCK, LAND, SLACK, SEED, TEXT_SEED = 2_000, 10, 0.001, 17, 42
@@ -57,9 +58,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     Only sums reach the driver: in each round the sources above their cap are fixed there, and the rest is reshared.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source, already aggregated
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1)
-    table = materialize(totals.withColumn("weight", weight), "mix")
+    # Sources are numbered in ranges, since there may be as many as documents; the ranges' sizes are few.
+    order = F.col("source").asc_nulls_last()
+    ranged = Stored(totals.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "mix")
+    before = ranged.rows.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + F.col("_before")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (number % len(WEIGHTS)).cast("int"))
+    placed = ranged.rows.join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    table = materialize(placed.select("source", "source_size", "n_docs", weight.alias("weight")), "mix")
+    ranged.discard()
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, cap = 0.0, F.col("source_size") * CAP
     while True:
@@ -152,8 +159,9 @@ def _fly(level: int):
 def copies(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """rows(source, size, r, ...) with r a hash of the row -> with source_size, target and copies (0, 1 or 2)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    small = tables.select("source", "source_size", "n_docs", "target").withColumnRenamed("source", "_source")
-    known = rows.join(small, rows["source"].eqNullSafe(small["_source"]), "left").drop("_source")
+    key = F.coalesce(F.concat(F.lit("."), F.col("source").cast("string")), F.lit(""))
+    small = tables.select(key.alias("_source"), "source_size", "n_docs", "target", F.col("n_docs").alias("_rows"))
+    known = attach(rows.withColumn("_source", key), small, "_source", "_rows", "r").drop("_source")
     known = known.withColumn("sure", F.floor(F.least(rate, F.lit(CAP)) + 1e-12).cast("int")).withColumn("pi", F.greatest(F.lit(0.0), F.least(rate, F.lit(CAP)) - F.col("sure")))
     most = tables.agg(F.max("n_docs")).first()[0] or 0
     blocks, level, done, now = F.ceil(F.col("n_docs") / BLOCK).cast("long"), 0, [], known
@@ -177,8 +185,8 @@ def copies(rows: DataFrame, tables: DataFrame) -> DataFrame:
 def allocate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(i, th, size, source_size, target, copies) for each document; th is a hash of the text."""
     plain = documents.select(F.col(id_col).alias("i"), F.col(source_col).alias("source"), F.col(text_col).alias("t"))
-    rows = materialize(sized(plain, text_col="t"), "mix")
-    keyed = rows.withColumn("r", F.xxhash64(F.lit(SEED), "i", "th"))
+    rows = materialize(numbered(sized(plain, text_col="t"), "copy"), "mix")
+    keyed = rows.withColumn("r", F.xxhash64(F.lit(SEED), "i", "th", "copy")).drop("copy")
     return copies(keyed, targets(rows))
 
 

@@ -87,3 +87,20 @@ def attach(rows: DataFrame, summary: DataFrame, keys: str | Sequence[str], count
 
 def _all(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+#: Equal rows that one task numbers at a time.
+FOLD = 10_000
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """rows with `out`, which numbers equal rows from 0, so that no two rows are equal.
+
+    Equal rows fold into one with their number on the map side; a group of more than FOLD unfolds in many tasks.
+    """
+    n, block = free_names(rows, "n", "block")
+    per = rows.groupBy(*rows.columns).agg(F.count("*").alias(n))
+    few = per.where(F.col(n) <= FOLD).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(out))
+    many = per.where(F.col(n) > FOLD).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / FOLD))).alias(block))
+    each = F.sequence(F.col(block) * FOLD, F.least(F.col(n), (F.col(block) + 1) * FOLD) - 1)
+    return few.unionByName(many.repartition(F.col(block), *[F.col(c) for c in rows.columns]).select(*rows.columns, F.explode(each).alias(out)))
