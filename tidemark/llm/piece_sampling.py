@@ -1,10 +1,11 @@
 """Sampled SentencePiece segmentation: forward filtering and backward sampling over the piece lattice, and its decoding.
 
-A text is cut before each space and around line ends into segments, which no piece of the vocabulary crosses; a segment
-of over SEGMENT code points is cut there too. A segment's lattice has an arc for each piece that matches; a character
+A text is cut before each space and around line ends into segments, which no piece of the vocabulary crosses. A segment's
+lattice has an arc for each piece that matches; a character
 without a piece of its own is spelled by byte pieces. Forward filtering sums the weights of all paths to each position;
 backward sampling then draws the arcs from the end with exactly the probability of the whole segmentation. Segments are
-independent given the text, so a text's segmentation is drawn from the law over its lattice.
+independent given the text, so a text's segmentation is drawn from the law over its lattice. Sums are scaled down every RESCALE
+positions, so a segment may have any length; memory grows with the longest one (a run of text without a space).
 
 The draws come from counters keyed by the row's key and the segment's place in the row: the same row is always segmented
 alike, whatever its batch, task or neighbours. No normalisation is applied, so decoding gives back the exact text.
@@ -12,7 +13,8 @@ alike, whatever its batch, task or neighbours. No normalisation is applied, so d
 The vocabulary file has ranks (byte-pair merges), not probabilities; a piece of rank r weighs (r + ZIPF) ** -SHARPNESS.
 
 Defined results: null and empty texts have no pieces and count as lossless; they decode to an empty text. Repeated rows
-are segmented alike. A null key is a key of its own. An empty table gives an empty table. `encode` keeps other columns.
+are segmented alike. A null key is a key of its own. An empty table gives an empty table. `encode` keeps other columns, but
+replaces any that are named n_pieces, pieces or lossless.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ from tidemark.llm.shared import configure, free_names
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF, SHARPNESS, SEED = 10.0, 0.6, 5
-SEGMENT = 64
-#: Segments whose lattices a worker keeps.
-KEPT = 300_000
+RESCALE = 64
+#: Segments whose lattices a worker keeps, and the most arcs they may have together.
+KEPT, KEPT_ARCS = 300_000, 6_000_000
 SPACE = "▁"
 #: Stands for a literal U+2581, which must not match the space mark of a piece.
 LITERAL = ""
-_SEGMENTS = re.compile(r"\n| ?[^ \n]{1,%d}| " % SEGMENT)
+_SEGMENTS = re.compile(r"\n| ?[^ \n]+| ")
 
 
 def _extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -160,9 +162,15 @@ class Lattices:
         forward = np.zeros(n + len(segments))
         forward[start + np.arange(len(segments))] = 1.0
         steps = np.searchsorted(depth[to], np.arange(1, int(size.max()) + 2))
-        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            np.add.at(forward, to[a:b], forward[before[a:b]] * weight[a:b])
-        chance = forward[before] * weight / forward[to]
+        chance = np.empty(len(to))
+        for at, (a, b) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True), 1):
+            mass = forward[before[a:b]] * weight[a:b]
+            np.add.at(forward, to[a:b], mass)
+            chance[a:b] = mass / forward[to[a:b]]
+            if at % RESCALE == 0:  # all that later arcs come from, by one factor in each segment
+                on = np.flatnonzero(size > at)
+                near = (start[on] + on)[:, None] + np.arange(max(0, at - vocabulary.longest), at + 1)
+                forward[near] /= forward[near].max(axis=1, keepdims=True)
         first_node = np.zeros(nodes, bool)
         first_node[start + np.arange(len(segments))] = True
         from_ = np.concatenate([from_, np.array(chain_from, np.int64)])
@@ -197,7 +205,7 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 
 def sample(texts: list[str], seeds: np.ndarray, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after the other, and the offsets of the texts in them."""
-    if len(lattices.known) > KEPT:
+    if len(lattices.known) > KEPT or lattices.arcs > KEPT_ARCS:
         lattices.clear()
     by_text = [_SEGMENTS.findall(t) for t in texts]
     flat = [s for own in by_text for s in own]
