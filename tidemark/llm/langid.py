@@ -6,7 +6,9 @@ disjoint smaller dictionaries of each language and their sums decide; a margin t
 rejected.
 
 Every language with a labelled text is learned. Dictionaries are filled from a bounded sample: at most SAMPLE_TEXTS distinct
-texts of each language, chosen by a hash of the text, and of each its first SAMPLE_CHARS code points.
+texts of each language, chosen by a hash of the text, and of each a slice that starts at a place the hash chooses; slices share
+SAMPLE_CHARS code points equally. All dictionaries together have at most MODEL_BYTES bytes: beyond 900 languages each gets less.
+Predictions encode whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not rejected. Repeated rows get equal
 results. Ties go to the language with more training rows, then to the smaller code. With no usable label every text is
@@ -19,14 +21,15 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure
 
-SAMPLE_TEXTS, SAMPLE_CHARS = 200, 20_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 200, 400_000
 DICTIONARY_BYTES, SMALL_BYTES, SMALL_COUNT = 32 << 10, 6 << 10, 6
+MODEL_BYTES = 64 << 20
 LEVEL, SMALL_LEVEL, MARGIN = 5, 9, 3
 UNKNOWN = "und"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,20 +48,28 @@ def normal(text: bytes) -> bytes:
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.where("t <> ''").withColumn("h", F.xxhash64("t")).withColumn("t", F.substring("t", 1, SAMPLE_CHARS))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").collect()
+    rows = rows.where("t <> ''").withColumn("h", F.xxhash64("t"))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").collect()  # a row for each language
     if not counts:
         return Model(())
-    # A threshold on the hash leaves about four times the wanted distinct texts of each language; copies fold before the sort.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.l, min(1.0, 4.0 * SAMPLE_TEXTS / max(1, r.d)))])
-    some = rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(share[F.col("l")], F.lit(0.0)) * (1 << 30)).groupBy("l", "h").agg(F.min("t").alias("t"))
-    texts = {r.l: [r2.t for r2 in some.where(F.col("l") == r.l).orderBy("h").limit(SAMPLE_TEXTS).collect()] for r in counts}
+    # A threshold on the hash leaves about four times the wanted distinct texts of each language; copies fold before they are ranked.
+    wanted = {r.l: (min(1.0, 4.0 * SAMPLE_TEXTS / max(1, r.d)), SAMPLE_CHARS // min(SAMPLE_TEXTS, max(1, r.d))) for r in counts}
+    about = F.create_map(*[F.lit(x) for l, (share, chars) in wanted.items() for x in (l, F.struct(F.lit(share).alias("share"), F.lit(chars).alias("chars")))])[F.col("l")]
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(about["share"], F.lit(0.0)) * (1 << 30))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1).cast("long"), F.length("t") - about["chars"] + 1)).cast("int") + 1
+    some = some.groupBy("l", "h").agg(F.min(F.substring("t", start, about["chars"])).alias("t"))
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= SAMPLE_TEXTS)
+    texts: dict[str, list[str]] = {r.l: [] for r in counts}
+    for r in ranked.orderBy("l", "k").collect():  # at most SAMPLE_TEXTS slices and about SAMPLE_CHARS code points of each language
+        texts[r.l].append(r.t)
+    room = min(1.0, MODEL_BYTES / ((DICTIONARY_BYTES + SMALL_COUNT * SMALL_BYTES) * len(counts)))
+    large, little = int(DICTIONARY_BYTES * room), int(SMALL_BYTES * room)
     out = []
     for r in counts:
-        per = max(200, (DICTIONARY_BYTES + SMALL_COUNT * SMALL_BYTES) // max(1, len(texts[r.l])))
+        per = max(200, (large + SMALL_COUNT * little) // max(1, len(texts[r.l])))
         whole = b" ".join(normal(t.encode())[: 4 * per] for t in texts[r.l])
-        small = [whole[k : k + SMALL_BYTES] for k in range(0, SMALL_COUNT * SMALL_BYTES, SMALL_BYTES)]
-        out.append((r.l, whole[:DICTIONARY_BYTES], tuple(x for x in small if len(x) >= 64) or (whole,)))
+        small = [whole[k : k + little] for k in range(0, SMALL_COUNT * little, little)]
+        out.append((r.l, whole[:large], tuple(x for x in small if len(x) >= 64) or (whole[:large],)))
     return Model(tuple(out))
 
 
