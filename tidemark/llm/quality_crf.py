@@ -1,17 +1,23 @@
 """Quality rules by line labelling: a linear-chain CRF marks each line as content or boilerplate.
 
 Viterbi decoding gives a document's best label sequence; the share of its words that stand on content lines decides
-retention. Weights are fitted here, on a bounded sample of labelled documents (SAMPLE_DOCS of each class, texts up to
-SAMPLE_CHARS code points, the first SAMPLE_LINES lines of each); counts and decoding cover every line of every whole text.
+retention. The model is fitted here, on whole texts of a bounded sample of labelled documents (SAMPLE_DOCS of each class).
+Only documents are labelled, so line labels are hidden: by turns, the labels' probabilities are worked out under the model
+and shifted, document by document, until the expected content share is at least GOOD in a good document and at most BAD in a
+bad one (posterior regularisation); and the weights move towards these probabilities. The share from which a document is kept
+is fitted too: the highest that rejects at most LOST of the good documents in the sample. Counts and decoding cover every line
+of every whole text.
 
 Defined results: a null or empty text has no words, so it fails the base rules and is not kept; it has content share 0.
 Repeated rows get equal results. Lines without a word carry no label. An empty table gives an empty table. Without
-labels of both classes the fixed START weights are used. Columns other than id and text are carried through untouched
-by `filter_documents` and ignored by `score_documents`.
+labels of both classes the fixed START model is used. An id with labels of both classes counts as bad. Columns other than id
+and text are carried through untouched by `filter_documents` and ignored by `score_documents`.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +27,10 @@ from tidemark.llm import arrow_text as tx
 from tidemark.llm.shared import configure, free_name
 
 SAMPLE_DOCS = 300
-SAMPLE_LINES = 40
-SAMPLE_CHARS = 20_000
-#: Content share at and above which a document is kept.
-MIN_SHARE = 0.3
+#: Expected content shares of good documents (at least) and of bad ones (at most) while fitting, and the good ones that may be lost.
+GOOD, BAD, LOST = 0.9, 0.1, 0.005
+#: Turns of fitting, steps of a turn, their length, and the weight of the penalty on large weights.
+TURNS, STEPS, RATE, RIDGE = 6, 15, 0.1, 1e-3
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
 SYMBOLS = np.zeros(256, bool)
@@ -36,8 +42,18 @@ _DIGIT[ord("0") : ord("9") + 1] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b"!?=~_^{}[]\\/@+")] = True
 FEATURES = ("bias", "symbols", "upper case", "digits", "odd punctuation", "repeated words", "repeated line", "one-word line", "long words", "doubled words")
-#: Emission weights towards content, and transition weights [from][to] with 0 boilerplate, 1 content.
-START = (np.array([2.0, -12.0, -6.0, -4.0, -12.0, -3.0, -1.0, -0.3, -1.0, -6.0]), np.array([[0.8, -0.8], [-0.8, 0.8]]))
+
+
+@dataclass(frozen=True)
+class Crf:
+    """Emission weights towards content, transition weights [from][to] with 0 boilerplate and 1 content, and the least share kept."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+    least_share: float
+
+
+START = Crf(np.array([2.0, -12.0, -6.0, -4.0, -12.0, -3.0, -1.0, -0.3, -1.0, -6.0]), np.array([[0.8, -0.8], [-0.8, 0.8]]), 0.3)
 
 
 def line_table(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -134,89 +150,119 @@ def viterbi(scores: list[float], moves: list[list[float]]) -> list[int]:
     return out[::-1]
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.2, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximise the conditional likelihood of the label sequences by gradient steps (Adam); forward-backward in batches."""
-    sequences = [(x, y) for x, y in sequences if len(y)]
-    if not sequences:
-        return START
-    size, longest, width = len(sequences), max(len(y) for _, y in sequences), len(FEATURES)
-    x, y, there = np.zeros((size, longest, width)), np.zeros((size, longest), int), np.zeros((size, longest), bool)
-    for k, (a, b) in enumerate(sequences):
-        x[k, : len(b)], y[k, : len(b)], there[k, : len(b)] = a, b, True
-    n_all = there.sum()
-    both = there[:, 1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-    theta = np.concatenate([START[0], START[1].ravel()])
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices of logarithms."""
+    return np.logaddexp(a[:, :, :1] + b[:, :1, :], a[:, :, 1:] + b[:, 1:, :])
+
+
+def _products(steps: np.ndarray, longest: int) -> np.ndarray:
+    """At each place the product of the steps of at least the `longest` places up to it, by doubling."""
+    out, width = steps, 1
+    while width < longest:
+        out = np.concatenate([out[:width], _times(out[:-width], out[width:])])
+        width *= 2
+    return out
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of label 1 of each line, and of each pair of labels [before][after] with the line before (0 at a document's start).
+
+    scores are for 1 against 0; document numbers the lines' documents, in order. A document's first step forgets the label
+    before it, so all documents go through the products at once.
+    """
+    n = len(scores)
+    first = np.append(True, document[1:] != document[:-1])
+    longest = int(np.diff(np.append(np.flatnonzero(first), n)).max(initial=1))
+    emit = np.stack([np.zeros(n), scores], 1)
+    step = np.where(first[:, None, None], 0.0, moves) + emit[:, None, :]
+    forward = _products(step, longest)[:, 0]
+    after = np.append(step[1:], np.zeros((1, 2, 2)), 0)
+    after[np.append(first[1:], True)] = 0.0
+    backward = _products(after[::-1].transpose(0, 2, 1), longest)[::-1][:, 0]
+    both = forward + backward
+    one = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+    pair = np.concatenate([np.zeros((1, 2)), forward[:-1]])[:, :, None] + step + backward[:, None, :]
+    pair = np.exp(pair - np.logaddexp.reduce(pair.reshape(n, 4), axis=1)[:, None, None])
+    pair[first] = 0.0
+    return one, pair
+
+
+def _shifted(scores: np.ndarray, moves: np.ndarray, document: np.ndarray, words: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals after the least shift of each document's scores with which its expected content share keeps its bound."""
+    total = np.bincount(document, words)
+
+    def share(shift: np.ndarray) -> np.ndarray:
+        return np.bincount(document, words * marginals(scores + shift[document], moves, document)[0]) / total
+
+    now = share(np.zeros(len(good)))
+    off = np.where(good, now < GOOD, now > BAD)
+    low, high = np.zeros(len(good)), np.full(len(good), 64.0)
+    for _ in range(12):
+        middle = (low + high) / 2
+        got = share(np.where(off, np.where(good, middle, -middle), 0.0))
+        enough = np.where(good, got >= GOOD, got <= BAD)
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return marginals(scores + np.where(off, np.where(good, high, -high), 0.0)[document], moves, document)
+
+
+def fit(x: np.ndarray, words: np.ndarray, document: np.ndarray, good: np.ndarray) -> Crf:
+    """The model for lines with features x and `words` words; document numbers their documents, of which `good` are good."""
+    width = len(FEATURES)
+    theta = np.concatenate([START.weights, START.moves.ravel()])
     m = v = np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        w, move = theta[:width], theta[width:].reshape(2, 2)
-        emit = np.stack([np.zeros((size, longest)), x @ w], -1)
-        fwd, bwd = np.zeros((size, longest, 2)), np.zeros((size, longest, 2))
-        fwd[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            nxt = np.logaddexp.reduce(fwd[:, t - 1, :, None] + move, axis=1) + emit[:, t]
-            fwd[:, t] = np.where(there[:, t, None], nxt, fwd[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            prev = np.logaddexp.reduce(move + (bwd[:, t + 1] + emit[:, t + 1])[:, None, :], axis=2)
-            bwd[:, t] = np.where(there[:, t + 1, None], prev, 0)
-        total = np.logaddexp.reduce(fwd[:, -1], axis=1)
-        p1 = np.exp(fwd[..., 1] + bwd[..., 1] - total[:, None]) * there
-        g = np.zeros_like(theta)
-        g[:width] = np.einsum("kt,ktf->f", (y - p1) * there, x)
-        if longest > 1:
-            pair = np.exp(fwd[:, :-1, :, None] + move + (emit[:, 1:] + bwd[:, 1:])[:, :, None, :] - total[:, None, None, None])
-            g[width:] = (seen - (pair * both[..., None, None]).sum((0, 1))).ravel()
-        g = g / n_all - ridge * theta
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:width], theta[width:].reshape(2, 2)
-
-
-def line_labels(x: np.ndarray, quality: int) -> np.ndarray:
-    """Line labels from a document's class: boilerplate are, in a good document, repeated lines, and in a bad one, lines that show any symptom."""
-    x = x / x[:, :1]
-    symptom = x[:, [FEATURES.index(f) for f in ("symbols", "upper case", "odd punctuation", "repeated words", "doubled words")]].max(axis=1, initial=0)
-    return np.where(x[:, FEATURES.index("repeated line")] > 0, 0, 1 if quality else symptom < 0.25).astype(int)
-
-
-def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Weights from at most SAMPLE_DOCS documents of each quality class, chosen by a hash of the id.
-
-    The sample is the only data that reaches the driver; its size does not depend on the corpus.
+    for turn in range(TURNS):
+        wanted, pairs = _shifted(x @ theta[:width], theta[width:].reshape(2, 2), document, words, good)
+        for step in range(turn * STEPS + 1, (turn + 1) * STEPS + 1):
+            one, pair = marginals(x @ theta[:width], theta[width:].reshape(2, 2), document)
+            g = np.concatenate([x.T @ (wanted - one), (pairs - pair).sum(0).ravel()]) / len(x) - RIDGE * theta
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    moves = theta[width:].reshape(2, 2)
+    scores, cuts = (x @ theta[:width]).tolist(), np.searchsorted(document, np.arange(len(good) + 1)).tolist()
+    label = np.array([s for a, b in zip(cuts, cuts[1:], strict=False) for s in viterbi(scores[a:b], moves.tolist())], dtype=np.float64)
+    share = np.sort((np.bincount(document, words * label) / np.bincount(document, words))[good])
+    return Crf(theta[:width], moves, float(min(share[int(LOST * len(share))], 0.5)) if len(share) else START.least_share)
+
+
+def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """The model from at most SAMPLE_DOCS documents of each quality class, chosen by a hash of the id.
+
+    The sample is the only data that reaches the driver; its number of documents does not depend on the corpus.
     """
-    lab = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col("quality").cast("int").alias("q"), F.xxhash64(F.lit("crf"), F.col(id_col)).alias("h"))
-    picked = [r for q in (0, 1) for r in lab.where(F.col("q") == q).orderBy("h", "i").limit(SAMPLE_DOCS).collect()]
-    if len({r.q for r in picked}) < 2:
-        return START
-    spark = documents.sparkSession
-    want = spark.createDataFrame([(r.i, r.q) for r in picked], "i long, q int").dropDuplicates(["i"])
-    docs = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
-    rows = docs.join(F.broadcast(want), "i").groupBy("i", "q").agg(F.min("t").alias("t")).collect()  # at most 2 * SAMPLE_DOCS rows
-    sequences = []
-    for r in sorted(rows, key=lambda r: r.i):
+    lab = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col("quality").cast("int")).alias("q"))
+    lab = lab.withColumn("h", F.xxhash64(F.lit("crf"), "i"))
+    want = lab.where("q = 0").orderBy("h", "i").limit(SAMPLE_DOCS).unionByName(lab.where("q = 1").orderBy("h", "i").limit(SAMPLE_DOCS))
+    docs = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") > 0)
+    rows = docs.join(F.broadcast(want), "i").groupBy("i", "q", "h").agg(F.min("t").alias("t")).collect()  # at most 2 * SAMPLE_DOCS rows
+    x, words, good = [], [], []
+    for r in sorted(rows, key=lambda r: (r.h, str(r.i))):
         got = line_table(*tx.buffer_of(pa.array([r.t])))
-        x = got["x"][:SAMPLE_LINES]
-        sequences.append((x, line_labels(x, r.q)))
-    return fit(sequences) if len({int(b) for _, y in sequences for b in y}) == 2 else START
+        if len(got["x"]):
+            x.append(got["x"])
+            words.append(got["line_words"])
+            good.append(r.q == 1)
+    if len(set(good)) < 2:
+        return START
+    document = np.repeat(np.arange(len(x)), [len(a) for a in x])
+    return fit(np.concatenate(x), np.concatenate(words).astype(np.float64), document, np.array(good))
 
 
-def _verdicts(data: np.ndarray, at: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+def _verdicts(data: np.ndarray, at: np.ndarray, model: Crf) -> dict[str, np.ndarray]:
     got = line_table(data, at)
-    n, moves = len(at) - 1, model[1].tolist()
-    scores, cuts = (got["x"] @ model[0]).tolist(), np.searchsorted(got["line_row"], np.arange(n + 1)).tolist()
+    n, moves = len(at) - 1, model.moves.tolist()
+    scores, cuts = (got["x"] @ model.weights).tolist(), np.searchsorted(got["line_row"], np.arange(n + 1)).tolist()
     label = np.array([s for a, b in zip(cuts, cuts[1:], strict=False) for s in viterbi(scores[a:b], moves)], dtype=np.float64)
     content = np.bincount(got["line_row"], weights=label * got["line_words"], minlength=n)
     got["content_share"] = content / np.maximum(got["n_words"], 1)
     got["base_failed"] = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PERCENT * got["n_words"])
-    got["kept"] = ~got["base_failed"] & (got["content_share"] >= MIN_SHARE)
+    got["kept"] = ~got["base_failed"] & (got["content_share"] >= model.least_share)
     return got
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, model: Crf, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, counts, base_failed, kept, content_share."""
     configure(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -232,7 +278,7 @@ def score_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray],
     return out.withColumnRenamed("i", id_col)
 
 
-def filter_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str = "text") -> DataFrame:
+def filter_documents(documents: DataFrame, model: Crf, *, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns."""
     configure(documents.sparkSession)
     text = free_name(documents, "t")
