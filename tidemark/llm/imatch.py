@@ -5,13 +5,15 @@ of the lexicon stands in at least 1 of RAREST documents, so the lexicon has at m
 distinct terms of a document, however large the corpus: that is the bound of the only data that is gathered (one array).
 Each term belongs to a random choice of SUBSETS subsets: subsets of group g keep 1 of 2 * 4 ** (g + 1) terms, so that
 short and long texts both have subsets with a few of their terms. A subset's hash is the MD5 of the text's distinct terms in
-it, sorted; "" if there are none. The fingerprint joins the hashes. Likeness is 1 for equal fingerprints, else the share
-of subsets that agree among those that are not empty on both sides.
+it, sorted; "" if there are none. A text with fewer than LEAST terms in the subsets has, in place of all hashes, that of all
+its distinct terms, or without any of its own text: it is like equal ones alone. The fingerprint joins the hashes. Likeness is
+1 for equal fingerprints, else the share of subsets that agree among those that are not empty on both sides.
 
 Everything is DataFrame functions. Document frequencies are pre-aggregated on the map side. The next document is found
-by ranges of ids: within a range by a window, and across its end by a copy of the next range's first row.
+by ranges of (id, hash of the text), cut at places from a sample of bounded size: within a range by a window, and across its
+end by a copy of the next range's first row. The sample decides the cuts, and not the result.
 
-Defined results: a null text is empty: n_chars 0, and subsets without terms. Null ids come first, equal ids are ordered
+Defined results: a null text is empty: n_chars 0. Ids are numbers, texts or dates. Null ids come first, equal ids are ordered
 by a hash of the text; rows equal in both are interchangeable. One row alone is its own next document. An empty table
 gives an empty table. Other columns are ignored.
 """
@@ -23,13 +25,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_COMMON, RAREST = 3, 100
+MOST_COMMON, RAREST, LEAST = 3, 1000, 4
 GROUPS, EACH = 3, 4
 SUBSETS = GROUPS * EACH
 #: Slots of the array in which a term is looked up by its hash.
-SLOTS = 1 << 15
-#: Rows in a range of ids, and the most ranges.
-RANGE_ROWS, RANGES = 2_000, 20_000
+SLOTS = 1 << 17
+#: Rows in a range of ids, the most ranges, and the sampled rows for each.
+RANGE_ROWS, RANGES, SAMPLED = 2_000, 20_000, 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -86,8 +88,11 @@ def subset_hashes(text: Column, lookup: tuple[Column, Column]) -> Column:
         return F.when(F.size(own) == 0, "").otherwise(F.substring(F.md5(F.concat_ws(" ", own).cast("binary")), 1, 16))
 
     every = F.array(*[F.lit(1 << k) for k in range(SUBSETS)])
+    words = F.filter(terms(text), lambda word: word != "")
+    plain = F.md5(F.when(F.size(words) == 0, text).otherwise(F.concat_ws(" ", F.sort_array(words))).cast("binary"))
+    few = F.array_repeat(F.substring(plain, 1, 16), SUBSETS)
     # An array of one holds the terms found, so that they are found once and not again for each subset.
-    return F.get(F.transform(F.array(found), lambda mine: F.transform(every, lambda bit: hashed(mine, bit))), F.lit(0))
+    return F.get(F.transform(F.array(found), lambda mine: F.when(F.size(mine) < LEAST, few).otherwise(F.transform(every, lambda bit: hashed(mine, bit)))), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,17 +102,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(agree / told)
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the key, by two levels of bounds, each of about the square root of their number."""
+def _bounds(rows: DataFrame, key: str, tie: str, total: int) -> list:
+    """Places to cut the order of (key, tie) at: every SAMPLED-th row of a sample by hash, RANGES at most."""
+    count = max(1, min(RANGES, -(-total // RANGE_ROWS)))
+    step = max(1, total // (count * SAMPLED))
+    some = rows.where(F.pmod(F.xxhash64(F.lit("bounds"), key, tie), F.lit(step)) == 0).select(key, tie).distinct() if count > 1 else None
+    return [] if some is None else some.orderBy(F.col(key).asc_nulls_first(), tie).collect()[SAMPLED - 1 :: SAMPLED]
+
+
+def _range_of(rows: DataFrame, key: str, tie: str, bounds: list) -> Column:
+    """The number of bounds at or before (key, tie), by two levels of bounds, each of about the square root of their number."""
     if not bounds:
         return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    coarse = F.from_json(F.lit(str([g[0] for g in groups])), "array<bigint>")
-    fine = F.from_json(F.lit(str([[], *groups])), "array<array<bigint>>")
-    first = F.size(F.filter(coarse, lambda x: x <= key))
-    inner = F.size(F.filter(F.get(fine, first), lambda x: x <= key))
-    return F.coalesce(F.when(first > 0, (first - 1) * step + inner), F.lit(0))
+    kind = f"struct<k:{rows.schema[key].dataType.simpleString()},t:{rows.schema[tie].dataType.simpleString()}>"
+    plain = [{"k": b[0], "t": b[1]} for b in bounds]
+    step = max(1, int(len(plain) ** 0.5))
+    groups = [plain[k : k + step] for k in range(0, len(plain), step)]
+    text = lambda x: F.lit(json.dumps(x, default=str, ensure_ascii=False))
+    coarse, fine = F.from_json(text([g[0] for g in groups]), f"array<{kind}>"), F.from_json(text([[], *groups]), f"array<array<{kind}>>")
+    own = F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))
+    first = F.size(F.filter(coarse, lambda x: x <= own))
+    inner = F.size(F.filter(F.get(fine, first), lambda x: x <= own))
+    return F.when(first > 0, (first - 1) * step + inner).otherwise(0)
 
 
 def with_next(rows: DataFrame, carry: list[str], derive: dict[str, Column], *, key: str = "i", tie: str = "th") -> DataFrame:
@@ -115,11 +131,7 @@ def with_next(rows: DataFrame, carry: list[str], derive: dict[str, Column], *, k
 
     After the last row comes the first. What derive has is worked out once for each row, before the exchange.
     """
-    total = rows.count()
-    count = max(1, min(RANGES, -(-total // RANGE_ROWS)))
-    shares = [k / count for k in range(1, count)]
-    found = rows.agg(F.percentile_approx(key, shares, max(10_000, 100 * count))).first()[0] if shares else []  # at most RANGES longs
-    ranged = rows.withColumn("range", _range_of(F.col(key), sorted(set(found or []))))
+    ranged = rows.withColumn("range", _range_of(rows, key, tie, _bounds(rows, key, tie, rows.count())))
     # The first row of each range is also put, as a ghost, at the end of the range before; that of the first range at the end of the last.
     firsts = ranged.groupBy("range").agg(F.min(F.struct(key, tie)).alias("first"))
     order = Window.orderBy("range")  # one row for each range, RANGES at most
@@ -175,9 +187,11 @@ e AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id),
 x AS (SELECT doc_id, t, n, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM e),
 both_texts AS (SELECT doc_id, 'own' AS kind, t FROM x UNION ALL SELECT doc_id, 'edit', et FROM x),
 words AS (SELECT doc_id, kind, unnest(list_distinct(string_split_regex(lower(t), '{SEPARATORS}'))) AS term FROM both_texts),
+plain AS (SELECT doc_id, kind, string_agg(term, ' ' ORDER BY term) AS terms, count(*) FILTER (term IN (SELECT term FROM bits)) AS found FROM words WHERE term <> '' GROUP BY ALL),
 h AS (SELECT doc_id, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 16) AS h FROM words JOIN bits USING (term) GROUP BY ALL),
 l AS (SELECT doc_id, kind, list({{'k': k, 'h': h}}) AS hs FROM h GROUP BY ALL),
-f AS (SELECT b.doc_id, b.kind, {_FINGERPRINT.format(n=SUBSETS)} AS f FROM both_texts b LEFT JOIN l ON b.doc_id = l.doc_id AND b.kind = l.kind),
+f AS (SELECT b.doc_id, b.kind, CASE WHEN coalesce(p.found, 0) < {LEAST} THEN list_transform(range({SUBSETS}), lambda k: substr(md5(coalesce(p.terms, b.t)), 1, 16)) ELSE {_FINGERPRINT.format(n=SUBSETS)} END AS f
+  FROM both_texts b LEFT JOIN plain p ON b.doc_id = p.doc_id AND b.kind = p.kind LEFT JOIN l ON b.doc_id = l.doc_id AND b.kind = l.kind),
 o AS (SELECT doc_id, f, coalesce(lead(f) OVER (ORDER BY doc_id), first_value(f) OVER (ORDER BY doc_id)) AS nf FROM f WHERE kind = 'own'),
 p AS (SELECT o.doc_id, o.f, o.nf, g.f AS ef FROM o JOIN f g ON g.doc_id = o.doc_id AND g.kind = 'edit'),
 s AS (SELECT *, list_zip(f, ef) AS ze, list_zip(f, nf) AS zn FROM p)
