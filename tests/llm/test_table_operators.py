@@ -143,9 +143,13 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"i": F.lit(1), "d": F.lit("x"), "m": F.lit(0)})
 
 
-def test_archive_round_trip(spark, pages):
-    archive = warc.write_archive(pages)
-    got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archive(archive).collect()), key=repr)
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_archive_round_trip(spark, pages, kind):
+    archive = warc.write_archive(pages.withColumn("page_id", F.col("page_id").cast(kind)))
+    back = warc.read_archive(archive)
+    assert back.schema["page_id"].dataType.simpleString() in (kind, "big" + "int")
+    number = lambda i: None if i is None else int(i)
+    got = sorted(((number(r.page_id) or 0, r.payload_bytes, r.payload_digest, r.record_type, number(r.refers_to)) for r in back.collect()), key=repr)
     want = []
     for r in pages.collect():
         body = (r.html or "").encode()
@@ -161,7 +165,7 @@ def test_index_lookups(spark):
     index = warc.CaptureIndex(archive)
     for r in docs.limit(20).collect():
         found = index.lookup(r.url)
-        assert r.page_id in {c.page_id for c in found}
+        assert str(r.page_id) in {c.page_id for c in found}
         assert all(c.payload is None or hashlib.sha1(c.payload).hexdigest() == c.payload_digest for c in found)
     assert index.lookup("http://nowhere.invalid/") == []
 
@@ -171,7 +175,30 @@ def test_blocks_of_few_lines(spark, monkeypatch):
     archive = warc.write_archive(pages)
     index = warc.CaptureIndex(archive)
     for k in range(0, 50, 7):
-        assert sorted(c.page_id for c in index.lookup(f"http://h{k}.org/")) == list(range(k, 500, 50))
+        assert sorted(int(c.page_id) for c in index.lookup(f"http://h{k}.org/")) == list(range(k, 500, 50))
+
+
+def test_ids_of_any_text(spark):
+    rows = [(i, "http://a.org/", "x" * 1500) for i in ("a b", "ü/%41", "", "null", None, "no-page")]
+    got = {r.page_id: r.refers_to for r in warc.read_archive(warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()}
+    assert got == {i: None if i == "ü/%41" else "ü/%41" for i, _, _ in rows}
+
+
+def test_reading_back_needs_each_directory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "fresh_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    archive = warc.write_archive(spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".org/")).alias("url"), F.lit("x").alias("html")))
+    assert warc.read_archive(archive).count() == 300
+    found = list(tmp_path.glob("warc/index/*.directory"))
+    assert len(found) > 1
+    found[0].unlink()
+    with pytest.raises(Exception, match="FileNotFound|No such file|does not exist"):
+        warc.read_archive(archive).collect()
+
+
+def test_lookups_of_given_keys(spark):
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 20).cast("string"), F.lit(".org/")).alias("url"), F.col("id").cast("string").alias("html"))
+    keys = spark.createDataFrame([(warc.url_key("http://h3.org/"),), (warc.url_key("http://h3.org/"),), (warc.url_key("http://none.org/"),)], "key string")
+    assert sorted(r.page_id for r in warc.read_archive(warc.write_archive(pages), keys).collect()) == list(range(3, 200, 20))
 
 
 def test_empty_archive(spark, pages):
@@ -187,10 +214,11 @@ def test_keys():
 # I-Match
 
 
-def test_next_document_over_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_document_over_ranges(spark, monkeypatch, kind):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
-    ids = random.Random(4).sample(range(10_000), 333)
-    df = spark.createDataFrame([(i, f"t{i}", i) for i in ids], "i long, t string, th long")
+    ids = random.Random(4).sample(range(10_000, 90_000), 333)
+    df = spark.createDataFrame([(i, f"t{i}", i) for i in ids], "i long, t string, th long").withColumn("i", F.col("i").cast(kind))
     got = {r.t: r.next_t for r in imatch.with_next(df, ["t"], {}).collect()}
     ids.sort()
     assert got == {f"t{a}": f"t{b}" for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
@@ -209,6 +237,24 @@ def test_imatch_edges(spark, ugly, empty):
     assert alone.edited_sha256 == hashlib.sha256(b"abcab").hexdigest()
 
 
+def test_equal_ids_are_cut_into_ranges_too(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
+    df = spark.createDataFrame([(None if k % 3 == 0 else "same", f"t{k}", 8 * k % 301) for k in range(301)], "i string, t string, th long")
+    got = {r.t: r.next_t for r in imatch.with_next(df, ["t"], {}).collect()}
+    order = [r.t for r in sorted(df.collect(), key=lambda r: (r.i is not None, r.i or "", r.th))]
+    assert got == {a: b for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert len(imatch._bounds(df.select("i", "th"), "i", "th", 301)) > 20
+
+
+def test_texts_without_band_terms_are_alike_only_if_equal(spark):
+    texts = ["common words everywhere here now"] * 30 + ["zyx", "zyx", "wvu", "", None, "!!", "zyx WVU", "wvu zyx"]
+    rows = imatch.compare_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by = {r.doc_id: r.fingerprint for r in rows}
+    assert by[30] == by[31] != by[32] and by[33] == by[34] != by[35] and by[36] == by[37] and len({by[k] for k in (0, 30, 32, 33, 35, 36)}) == 6
+    near = {r.doc_id: r.near_next for r in rows}
+    assert near[30] == 1.0 == near[33] and near[31] == near[32] == near[34] == 0.0
+
+
 def test_imatch_plan_is_native(spark):
     plan = imatch.op10_imatch(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "BatchEval"))

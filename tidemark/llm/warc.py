@@ -4,18 +4,20 @@ Each task writes the records of its rows to an archive of its own, one gzip memb
 sorts reversed-host URL keys by range into parts of at most INDEX_PARTS; a part is a file of compressed blocks of BLOCK_LINES
 captures and a sparse directory with the first key, offset and length of each block. A lookup finds the part by binary
 search in the list of parts, the block by binary search in the part's directory, and then reads two byte ranges: the
-block, and the record. Reading everything back goes the same way, block by block, with records in archive order.
+block, and the record. Reading back looks up every distinct key in the same way: keys are dealt to the parts that may hold
+them, a part's task goes through its directory and blocks in the order of keys, and records are read in archive order. A key
+with many captures spans many parts, so it is not read by one task.
 
 Payloads of at least MIN_REVISIT bytes that occur again are stored once: the record with the largest page id is the
-response, the others are revisits that refer to it. Largest ids are pre-aggregated by digest; the join back lets Spark
-split a payload that many pages share.
+response, the others are revisits that refer to it. Largest ids are pre-aggregated by digest; pages of a payload that many
+share get theirs from a bounded broadcast list.
 
-Archive names hold the task attempt, and the index is read only from committed tables, so a task that runs again cannot
-mix its files with those of an earlier attempt.
+Archive names hold the task attempt, and the list of parts is read only from committed tables, so a task that runs again
+cannot mix its files with those of an earlier attempt.
 
-Defined results: null html is an empty payload. A null url has the empty key. Null ids come back as null, and null counts
-as less than every id. Rows that share the largest id of a payload are all responses. An empty table gives an empty
-result. Other columns are ignored.
+Defined results: null html is an empty payload. A null url has the empty key. Ids of any type are kept as text in the records
+and cast back. Null ids come back as null, and null counts as less than every id. Rows that share the largest id of a payload
+are all responses. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, urlsplit
+from itertools import islice
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrow_text as tx
-from tidemark.llm.shared import configure, fresh_path, materialize
+from tidemark.llm.shared import Stored, attach, configure, delete_at_exit, fresh_path
 
 MIN_REVISIT, BLOCK_LINES, INDEX_PARTS = 1000, 1000, 4096
 #: Bytes an archive may reach before the task starts another.
@@ -64,16 +67,18 @@ def url_key(url: str | None) -> str:
 _SAFE = "!#$%&'()*+,/:;=?@[]~"
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+_NO_PAGE = "<urn:no-page>"
 
 
-def _page_id(record_id: str) -> int | None:
-    number = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _record_id(page_id: str | None) -> str:
+    return _NO_PAGE if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _page_id(record_id: str) -> str | None:
+    return None if record_id == _NO_PAGE else unquote(record_id.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC record, not compressed; a revisit keeps the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
@@ -88,11 +93,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 @dataclass(frozen=True)
 class Capture:
-    page_id: int | None
+    """What one record holds; ids as text."""
+
+    page_id: str | None
     record_type: str
     payload_bytes: int
     payload_digest: str
-    refers_to: int | None
+    refers_to: str | None
     payload: bytes | None
 
 
@@ -139,22 +146,24 @@ def _attempt() -> str:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where the files are, and the committed tables of captures' blocks and of index parts."""
+    """Where the files are, the committed list of index parts (file, first_key), the keys there are, and the type of the ids."""
 
     path: str
-    blocks: DataFrame
     parts: DataFrame
+    keys: DataFrame
+    id_type: str
 
 
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> Archive:
     spark = pages.sparkSession
     configure(spark)
     path = fresh_path(spark, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), F.coalesce(html_col, F.lit("")).alias("h"))
-    rows = rows.withColumn("d", F.sha1("h"))
+    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.coalesce(html_col, F.lit("")).alias("h"))
+    rows = rows.withColumn("d", F.sha1("h")).withColumn("spread", F.xxhash64("i", "u"))
     long_ones = rows.select("d", "i", F.octet_length("h").alias("n")).where(F.col("n") >= MIN_REVISIT)
-    again = long_ones.groupBy("d").agg(F.max("i").alias("m"), F.count("*").alias("c")).where("c > 1").select(F.col("d").alias("_d"), "m")
-    rows = rows.join(again, rows["d"] == again["_d"], "left").drop("_d")
+    again = Stored(long_ones.groupBy("d").agg(F.max("i").alias("m"), F.count("*").alias("c")).where("c > 1"), "payloads")
+    rows = attach(rows, again.rows, "d", "c", "spread", keep=True)
+    as_text = [F.col(c).cast("string").alias(c) for c in ("i", "m")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, number, out = _attempt(), 0, None
@@ -170,11 +179,12 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 start, size = out.add(record(i, url, html.encode(), digest, last if revisit else None, revisit))
                 index.append((url_key(url), i, file, start, size))
             if index:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "i", "file", "start", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "i", "file", "start", "size"])
         if out is not None:
             out.close()
 
-    captures = materialize(rows.select("i", "u", "h", "d", "m").mapInArrow(write, "key string, i long, file string, start long, size long"), "captures")
+    captures = Stored(rows.select("u", "h", "d", *as_text).mapInArrow(write, "key string, i string, file string, start long, size long"), "captures")
+    again.discard()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, lines, made = _attempt(), None, [], []
@@ -183,7 +193,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             nonlocal out
             out = out or _Appender(f"{path}/index/{name}.blocks")
             start, size = out.add("\n".join(lines).encode())
-            made.append((lines[0].partition(" ")[0], f"index/{name}.blocks", start, size, len(lines)))
+            made.append((lines[0].partition(" ")[0], start, size))
             lines.clear()
 
         for batch in batches:
@@ -196,15 +206,15 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         if out is not None:
             out.close()
             directory = _Appender(f"{path}/index/{name}.directory")
-            directory.add("\n".join(json.dumps([m[0], m[2], m[3]]) for m in made).encode())
+            directory.add("\n".join(json.dumps(m) for m in made).encode())
             directory.close()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["first_key", "file", "start", "size", "captures"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"index/{name}"]), pa.array([made[0][0]])], ["file", "first_key"])
 
     count = min(INDEX_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = captures.repartitionByRange(count, "key", "i", "file", "start").sortWithinPartitions("key", "i", "file", "start")
-    blocks = materialize(ordered.mapInArrow(build, "first_key string, file string, start long, size long, captures long"), "blocks")
-    parts = blocks.groupBy("file").agg(F.min("first_key").alias("first_key"))
-    return Archive(path, blocks, parts)
+    ordered = captures.rows.repartitionByRange(count, "key", "i", "file", "start").sortWithinPartitions("key", "i", "file", "start")
+    parts = Stored(ordered.mapInArrow(build, "file string, first_key string"), "parts")
+    delete_at_exit(spark, path)
+    return Archive(path, parts.rows, captures.rows.select("key").distinct(), pages.schema[id_col].dataType.simpleString())
 
 
 def _block_lines(path: str, file: str, start: int, size: int, opened: dict) -> list[str]:
@@ -220,18 +230,70 @@ def _range(uri: str, start: int, size: int, opened: dict) -> bytes:
     return opened[uri].read_at(size, start)
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """Every capture, by way of the index: blocks by range reads, then records by range reads in archive order."""
-    path = archive.path
+def _directory(path: str, file: str) -> list[tuple[bytes, int, int]]:
+    """(first key, offset, length) of each block of a part."""
+    store, where = _store(f"{path}/{file}.directory")
+    with store.open_input_file(where) as f:
+        return [(k.encode(), start, size) for k, start, size in map(json.loads, gzip.decompress(f.read()).decode().split("\n"))]
+
+
+def _may_hold(firsts: list[bytes], want: bytes) -> range:
+    """Places in a sorted list of first keys whose part or block may hold the key: the one before the first as large, and all equal ones."""
+    return range(max(0, bisect_left(firsts, want) - 1), bisect_right(firsts, want))
+
+
+class _Part:
+    """One part of the index; the block that was read last is kept, so keys in order read each block once."""
+
+    def __init__(self, path: str, file: str, opened: dict) -> None:
+        self.path, self.file, self.opened = path, file, opened
+        self.blocks = _directory(path, file)
+        self.firsts = [b[0] for b in self.blocks]
+        self.at, self.keys, self.lines = -1, [], []
+
+    def lookup(self, want: bytes) -> Iterator[tuple[str, int, int]]:
+        """Archive file, offset and length of the key's captures in this part, in order."""
+        for k in _may_hold(self.firsts, want):
+            if k != self.at:
+                _, start, size = self.blocks[k]
+                split = [line.partition(" ") for line in _block_lines(self.path, f"{self.file}.blocks", start, size, self.opened)]
+                self.at, self.keys, self.lines = k, [line[0].encode() for line in split], [line[2] for line in split]
+            for line in self.lines[bisect_left(self.keys, want) : bisect_right(self.keys, want)]:
+                yield tuple(json.loads(line)[1:])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _listed_parts(archive: Archive) -> tuple[list[bytes], list[str]]:
+    """First keys and files of the parts, in order: INDEX_PARTS at most."""
+    listed = sorted((r.first_key.encode(), r.file) for r in archive.parts.collect())
+    return [k for k, _ in listed], [f for _, f in listed]
+
+
+def read_archive(archive: Archive, keys: DataFrame | None = None) -> DataFrame:
+    """The captures of the distinct keys (all there are, unless `keys` has a column key with others), by way of the index."""
+    path, spark = archive.path, archive.parts.sparkSession
+    firsts, files = _listed_parts(archive)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(files[k], key) for key in tx.column(batch, "key").to_pylist() for k in _may_hold(firsts, key.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], ["part", "key"])
+
+    dealt = (archive.keys if keys is None else keys.select("key").distinct()).mapInArrow(deal, "part string, key string")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
+        part = None
         for batch in batches:
-            for file, start, size in zip(*(tx.column(batch, c).to_pylist() for c in ("file", "start", "size")), strict=True):
-                found = [json.loads(line.partition(" ")[2]) for line in _block_lines(path, file, start, size, opened)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found]), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())], ["file", "start", "size"])
+            for file, key in zip(tx.column(batch, "part").to_pylist(), tx.column(batch, "key").to_pylist(), strict=True):
+                if part is None or part.file != file:
+                    part = _Part(path, file, opened)
+                found = part.lookup(key.encode())
+                while some := list(islice(found, BLOCK_LINES)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "start", "size"])
 
-    listed = archive.blocks.mapInArrow(entries, "file string, start long, size long")
+    # Keys sort by their UTF-8 bytes here and in the index alike.
+    listed = dealt.repartition(count, "part").sortWithinPartitions("part", "key").mapInArrow(look_up, "file string, start long, size long")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
@@ -240,42 +302,29 @@ def read_archive(archive: Archive) -> DataFrame:
             for file, start, size in zip(*(tx.column(batch, c).to_pylist() for c in ("file", "start", "size")), strict=True):
                 c = parse(zlib.decompress(_range(f"{path}/{file}", start, size, opened), 31))
                 out.append((c.page_id, c.payload_bytes, c.payload_digest, c.record_type, c.refers_to, file, start))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive_file", "archive_offset"])
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive_file string, archive_offset long"
-    return listed.repartition("file").sortWithinPartitions("file", "start").mapInArrow(records, schema)
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive_file string, archive_offset long"
+    found = listed.repartition("file").sortWithinPartitions("file", "start").mapInArrow(records, schema)
+    return found.withColumns({c: F.col(c).cast(archive.id_type) for c in ("page_id", "refers_to")})
 
 
 class CaptureIndex:
-    """Lookups by URL. Only the list of parts (INDEX_PARTS rows at most) is held in memory."""
+    """Lookups of single URLs. Only the list of parts is held in memory."""
 
     def __init__(self, archive: Archive) -> None:
         self.path = archive.path
-        self.parts = sorted((r.first_key.encode(), r.file) for r in archive.parts.collect())
+        self.firsts, self.files = _listed_parts(archive)
         self.opened: dict = {}
 
-    def _directory(self, file: str) -> list[tuple[bytes, int, int]]:
-        store, path = _store(f"{self.path}/{file.removesuffix('.blocks')}.directory")
-        with store.open_input_file(path) as f:
-            return [(k.encode(), start, size) for k, start, size in map(json.loads, gzip.decompress(f.read()).decode().split("\n"))]
-
     def lookup(self, url: str | None) -> list[Capture]:
         """All captures of a URL, revisits included, in index order."""
-        key, out = url_key(url), []
-        want = key.encode()
-        firsts = [k for k, _ in self.parts]
-        for k in range(max(0, bisect_left(firsts, want) - 1), bisect_right(firsts, want)):
-            file = self.parts[k][1]
-            directory = self._directory(file)
-            keys = [d[0] for d in directory]
-            for _, start, size in directory[max(0, bisect_left(keys, want) - 1) : bisect_right(keys, want)]:
-                lines = [line.partition(" ") for line in _block_lines(self.path, file, start, size, self.opened)]
-                have = [line[0].encode() for line in lines]
-                for line in lines[bisect_left(have, want) : bisect_right(have, want)]:
-                    _, name, at, length = json.loads(line[2])
-                    out.append(parse(zlib.decompress(_range(f"{self.path}/{name}", at, length, self.opened), 31)))
+        want, out = url_key(url).encode(), []
+        for k in _may_hold(self.firsts, want):
+            for file, start, size in _Part(self.path, self.files[k], self.opened).lookup(want):
+                out.append(parse(zlib.decompress(_range(f"{self.path}/{file}", start, size, self.opened), 31)))
         return out
 
 
