@@ -162,11 +162,12 @@ class Lattices:
         forward = np.zeros(n + len(segments))
         forward[start + np.arange(len(segments))] = 1.0
         steps = np.searchsorted(depth[to], np.arange(1, int(size.max()) + 2))
-        chance = np.empty(len(to))
+        chance, done = np.empty(len(to)), 0
         for at, (a, b) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True), 1):
-            mass = forward[before[a:b]] * weight[a:b]
-            np.add.at(forward, to[a:b], mass)
-            chance[a:b] = mass / forward[to[a:b]]
+            np.add.at(forward, to[a:b], forward[before[a:b]] * weight[a:b])
+            if at % RESCALE == 0 or b == len(to):
+                chance[done:b] = forward[before[done:b]] * weight[done:b] / forward[to[done:b]]
+                done = b
             if at % RESCALE == 0:  # all that later arcs come from, by one factor in each segment
                 on = np.flatnonzero(size > at)
                 near = (start[on] + on)[:, None] + np.arange(max(0, at - vocabulary.longest), at + 1)
