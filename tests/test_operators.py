@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 from dataclasses import dataclass
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import exprs, registry
-from tidemark.operators import drift, evaluation, generate, graph, labels, ledger, quality, records, replay, workflow
+from tidemark.functions import exprs, ranges, registry
+from tidemark.operators import backtest, campaigns, contracts, dataset, drift, evaluation, faults, generate, graph, labels, ledger, quality, records, replay, running, workflow
 from tidemark.operators import point_in_time as pit
+from tidemark.operators.frames import Frame, frames
+from tidemark.plans import catalogue_dataset
 from tidemark.sources import config, sinks, tables
 
 
@@ -21,18 +25,60 @@ def one(df):
 
 
 def test_trailing_frame_is_half_open(spark):
-    rows = spark.createDataFrame([("a", 0), ("a", 5), ("a", 10), ("a", 10), ("b", 10)], "k string, t long")
-    got = sorted((r.k, r.t, r.n) for r in pit.trailing_counts(rows, ["k"], "t", {"n": 10}).collect())
-    assert got == [("a", 0, 0), ("a", 5, 1), ("a", 10, 2), ("a", 10, 2), ("b", 10, 0)]
-
-
-def test_hot_keys_are_split_without_changing_frames(spark, monkeypatch):
-    rows = spark.createDataFrame([("hot" if k % 4 else f"k{k % 12}", (k * 7919) % 1000, k) for k in range(600)] + [(None, k, -k) for k in range(100)], "k string, t long, v long")
-    f = lambda: sorted(map(str, pit.over_frames(rows, ["k"], "t", 50, lambda w: {"n": F.count(F.lit(1)).over(w(50)), "m": F.max("v").over(w(20)), "d": pit.distinct_in(F.col("v") % 5, w(50))}).collect()))
-    whole = f()
-    monkeypatch.setattr(pit, "HOT_ROWS", 50)
-    assert pit.split_hot(rows, ["k"], "t", 50).select("k", "_part").distinct().where("k = 'hot'").count() > 5
-    assert f() == whole and len(whole) == 700
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "a", 10), (4, "a", 10), (5, "b", 10)], "event_id long, k string, t long")
+    got = {r.event_id: r.n for r in pit.over_frames(rows, ["k"], {"n": Frame("count", 10)}).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 2, 5: 0}
+
+
+FEATURES = {"n1": Frame("count", 100), "n2": Frame("count", 700), "na": Frame("count"), "s1": Frame("sum", 100, "x"), "d1": Frame("distinct", 100, "v"), "d2": Frame("distinct", 700, "v"), "da": Frame("distinct", None, "v"), "seen": Frame("seen", 300, "v"), "m1": Frame("max", 100, "x"), "m2": Frame("max", 700, "x"), "ma": Frame("max", None, "t")}
+
+
+@pytest.mark.parametrize("part_rows", [10**9, 20])
+def test_frames_equal_brute_force(spark, monkeypatch, part_rows):
+    """Late rows, equal times, null keys and values, with keys whole and cut into ranges."""
+    monkeypatch.setattr(running, "PART_ROWS", part_rows)
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        t = rng.randrange(3000)
+        available = t + rng.choice([0, 1, 5, 30, 200, 400])
+        rows.append((i, rng.choice([None, 1, 2]), t, available, available + rng.choice([0, 0, 3, 50]), rng.choice([None, "a", "b", "c"]), rng.choice([None, 1.0, 2.0, 3.0, 5.0, 8.0])))
+    df = spark.createDataFrame(rows, "i long, k long, t long, available long, now long, v string, x double")
+    got = {r.i: r.asDict() for r in frames(df, df, ["k"], FEATURES, id_="i").collect()}
+    for i, k, _, _, now, v, _ in rows:
+        for name, f in FEATURES.items():
+            own = [r for r in rows if r[0] != i and r[1] == k and r[2] < now and r[3] <= now and (f.width is None or now - r[2] <= f.width)]
+            values = [r[2] if f.value == "t" else r[6] for r in own]
+            want = {"count": lambda: len(own), "sum": lambda: sum(x or 0 for x in values), "distinct": lambda: len({r[5] for r in own} - {None}), "seen": lambda: v is not None and any(r[5] == v for r in own), "max": lambda: max((x for x in values if x is not None), default=None)}[f.kind]()  # noqa: B023
+            assert got[i][name] == want, (i, name)
+
+
+def test_running_columns_over_cut_keys(spark, monkeypatch):
+    rows = [("hot" if k % 4 else f"k{k % 12}", (k * 7919) % 1009, k) for k in range(600)] + [(None, k, -k) for k in range(50)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    run = lambda: sorted(map(str, running.running(df, ["k"], ["t", "v"], {"s": ("sum", "v"), "m": ("max", "v"), "b": ("max_before", "v"), "p": ("previous", "v")}).collect()))
+    whole = run()
+    monkeypatch.setattr(running, "PART_ROWS", 40)
+    assert running.cut_keys(df, ["k"], "t")[0].where("k = 'hot'").select("_part").distinct().count() > 5
+    assert run() == whole and len(whole) == 650
+
+
+def test_as_of_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 5), ("a", 0), ("b", 9), (None, 3)], "k string, at long")
+    versions = spark.createDataFrame([("a", 1, 1, "x"), ("a", 5, 2, "y"), ("a", 5, 1, "w"), ("a", 6, 3, "z"), ("c", 0, 1, "q")], "k string, since long, version int, label string")
+    got = sorted(map(tuple, pit.latest_as_of(left, versions, "k", "at", "since", "version", ["version", "label"]).collect()), key=str)
+    assert got == sorted([("a", 5, 2, "y"), ("a", 5, 2, "y"), ("a", 0, None, None), ("b", 9, None, None), (None, 3, None, None)], key=str)
+
+
+def test_exact_quantiles_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 20)
+    values = [float((k * 31) % 257) / 3 for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    assert drift.quantiles(df, "v", shares) == pytest.approx(list(np.quantile(values, shares)))
+    same = spark.createDataFrame([(1.0, k) for k in range(500)], "s double, i long")  # equal first keys are cut by the second
+    assert ranges.with_range(same, ["s", "i"]).select("_range").distinct().count() > 10
+    assert {r.i: r.rank for r in evaluation.global_rank(same, [F.col("s"), F.col("i")], "rank").collect()} == {k: k + 1 for k in range(500)}
 
 
 def test_running_totals_in_both_orders(spark):
@@ -65,9 +111,9 @@ def test_range_join_null_safe(spark):
     assert got == [("", 1), ("x", 2), ("x", 4)]
 
 
-def test_running_max_over_buckets(spark):
+def test_running_max_of_all_rows(spark):
     rows = [(k, (k * 37) % 101) for k in range(200)]
-    got = {r.t: r.m for r in pit.running_max(spark.createDataFrame(rows, "t long, v long"), "t", "v", "m", 13).collect()}
+    got = {r.t: r.m for r in pit.running_max(spark.createDataFrame(rows, "t long, v long"), "t", "v", "m", id_="t").collect()}
     assert got == {t: max(v for s, v in rows if s <= t) for t, _ in rows}
 
 
@@ -96,7 +142,7 @@ def test_drift_of_a_table_with_itself(spark):
     assert one(drift.psi(rows, "v", "side"))["psi"] == pytest.approx(0)
     assert one(drift.jensen_shannon(rows, "c", "side"))["js"] == pytest.approx(0)
     assert one(drift.wasserstein(rows, "v", "side"))["wasserstein"] == 0
-    assert [r.alert for r in drift.report(rows, "side", ["v"], ["c"]).collect()] == [False] * 3
+    assert [r.alert for r in drift.report(rows, "side", ["v"], ["c"]).collect()] == [False] * 5
 
 
 def test_shard_index_equals_hashlib(spark):
@@ -128,10 +174,10 @@ def test_ledger_checks(spark):
 
 
 def test_lifecycle_rules(spark):
-    good = [("p", "INITIATED", 1, "a", None), ("p", "AUTHORIZATION_REQUESTED", 2, "b", "a"), ("p", "DECLINED", 3, "c", "b")]
-    bad = [("q", "AUTHORIZED", 1, "d", None), ("q", "SETTLED", 1, "e", "x")]
+    good = [("p", "CARD_PAYMENT_INITIATED", 1, "a", None), ("p", "CARD_AUTHORIZATION_REQUESTED", 2, "b", "a"), ("p", "CARD_DECLINED", 3, "c", "b")]
+    bad = [("q", "CARD_AUTHORIZED", 1, "d", None), ("q", "CARD_SETTLED", 1, "e", "x")]
     df = spark.createDataFrame([*good, *bad], "payment_id string, event_type string, event_time long, event_id string, causation_id string")
-    assert sorted((r.key, r.rule) for r in quality.lifecycle_violations(df, quality.CARD).collect()) == [("q", "cause"), ("q", "first_state"), ("q", "move"), ("q", "time")]
+    assert sorted((r.key, r.rule) for r in quality.lifecycle_violations(df, quality.CARD, quality.FIRST["CARD"]).collect()) == [("q", "cause"), ("q", "first_state"), ("q", "move"), ("q", "time")]
 
 
 def test_references_with_nulls_and_empty(spark):
@@ -163,8 +209,8 @@ def test_rings_need_increasing_times(spark):
 def test_triangles_and_shared_pairs(spark):
     e = spark.createDataFrame([(a, b, 0) for a in "abcd" for b in "abcd" if a < b] + [("b", "a", 0)], "src string, dst string, at long")
     assert one(graph.triangles(e))["triangles"] == 4
-    uses = spark.createDataFrame([("m", "r1"), ("n", "r1"), ("m", "r2"), ("n", "r2"), ("o", None)], "m string, r string")
-    assert [tuple(r) for r in graph.shared_pairs(uses, "m", "r").collect()] == [("m", "n", "r1", 2)]
+    uses = spark.createDataFrame([("m", "r1", 0), ("n", "r1", 5), ("m", "r2", 9), ("n", "r2", 9), ("o", None, 9), ("p", "r1", 60), ("n", "r1", 7)], "m string, r string, t long")
+    assert [tuple(r) for r in graph.shared_pairs(uses, "m", "r", "t", 10).collect()] == [("m", "n", "r1", 2, 5)]
 
 
 def test_fan_is_all_or_nothing(spark):
@@ -267,3 +313,82 @@ def test_segments_are_single_dimensions(spark):
     df = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1")], "a string, b string")
     got = sorted(tuple(r) for r in evaluation.segment_metrics(df, ["a", "b"], [F.count("*").alias("n")]).collect())
     assert got == [("a", "x", 2), ("a", "y", 1), ("b", "1", 2), ("b", "2", 1)]
+
+
+def test_an_event_that_is_not_available_changes_no_row(spark):
+    """Of the dataset: a payment, its label and an entry that come after every prediction time."""
+    t = catalogue_dataset.tables(spark, "/root/testdata/sf0.001")
+    t["payments"] = t["payments"].where("customer_id < 4")
+    t["labels"] = t["labels"].join(t["payments"], "payment_id", "left_semi")
+    t["entries"] = t["entries"].where("account_id < 4")
+    late = 4_000_000_000_000_000
+    more = dict(t)
+    first = t["payments"].orderBy("payment_id").limit(1)
+    more["payments"] = t["payments"].unionByName(first.withColumns({"payment_id": F.lit("LATE"), "event_id": F.lit("LATE"), "source_available_at": F.lit(late)}))
+    more["labels"] = t["labels"].unionByName(t["labels"].limit(1).withColumns({"payment_id": F.lit("LATE"), "label": F.lit("FRAUD"), "label_available_at": F.lit(late), "fraud_confirmed_at": F.lit(1)}))
+    more["entries"] = t["entries"].unionByName(t["entries"].limit(1).withColumn("posted_at", F.lit(late)))
+    rows = lambda x: sorted(map(str, dataset.build(x, run_id="R", end=late // 2).collect()))
+    assert rows(more) == rows(t)
+
+
+def test_sources_that_contradict_themselves_are_refused(spark):
+    t = catalogue_dataset.tables(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="unknown_account"):
+        dataset.build(t | {"accounts": t["accounts"].where("account_id <> 3")}, run_id="R")
+    with pytest.raises(ValueError, match="no_valid_account"):
+        dataset.build(t | {"accounts": t["accounts"].withColumn("valid_to", F.lit(1_704_500_000_000_000))}, run_id="R")
+    with pytest.raises(ValueError, match="include or exclude"):
+        dataset.build(t, run_id="R", unresolved="maybe")
+
+
+def test_folds_with_gaps(spark):
+    plan = backtest.folds(0, 100, test=20, step=10, gap=5, validation=10)
+    assert [(f.train, f.validation, f.test) for f in plan[:2]] == [((0, 10), (15, 25), (30, 50)), ((0, 20), (25, 35), (40, 60))] and plan[-1].test[1] <= 100
+    fixed = backtest.folds(0, 100, test=20, step=10, gap=5, train=30)
+    assert fixed[0].train == (0, 30) and fixed[1].train == (10, 40) and fixed[0].validation is None
+    with pytest.raises(ValueError):
+        backtest.folds(0, 10, test=20, step=10, gap=5)
+    rows = spark.createDataFrame([(k,) for k in range(0, 60, 5)], "t long")
+    got = {(r.t, r.fold, r.part) for r in backtest.assign(rows, "t", plan[:2]).collect()}
+    assert (0, "FOLD-0001", "train") in got and (15, "FOLD-0001", "validation") in got and (45, "FOLD-0001", "test") in got and (45, "FOLD-0002", "test") in got and not any(t in (10, 25) and f == "FOLD-0001" for t, f, _ in got)
+
+
+def test_motifs_have_their_shapes(spark):
+    pairs = lambda kind, **sizes: sorted((r.src, r.dst) for r in campaigns.motif(spark, kind, **sizes).collect())
+    assert pairs("STACKED_NETWORK", originator_count=2, intermediary_count=1, beneficiary_count=2) == [(0, 2), (1, 2), (2, 3), (2, 4)]
+    assert pairs("MULE_NETWORK", source_count=3) == [(0, 3), (1, 3), (2, 3), (3, 4)]
+    assert pairs("DENSE_CAMPAIGN", member_count=3, edge_count=4) == [(0, 1), (0, 2), (1, 0), (1, 2)]
+    assert pairs("GATHER_SCATTER", source_count=2, destination_count=1) == [(0, 2), (1, 2), (2, 3)]
+    with pytest.raises(ValueError):
+        campaigns.motif(spark, "CYCLIC_RING", wrong=3)
+
+
+def test_faults_and_outages_are_checked(spark):
+    with pytest.raises(ValueError):
+        faults.inject(spark.range(1), faults.Settings({"nothing": 0.1}))
+    for bad in ((5, 5, "DROP"), (0, 5, "NO"), (0, 5, "DELAY")):
+        with pytest.raises(ValueError):
+            faults.Outage(*bad)
+
+
+def test_schema_changes_and_versions(spark):
+    df = spark.createDataFrame([(1, "2")], "a long, b string")
+    assert contracts.apply_change(df, "rename", {"a": "c", "z": "y"}).columns == ["c", "b"]
+    assert contracts.apply_change(df, "nullability", {"n": True, "m": False}).columns == ["a", "b", "n"]
+    assert contracts.apply_change(df, "type", {"b": "integer", "z": "int"}).schema["b"].dataType == T.LongType()
+    assert contracts.infer_compatibility("nullability", {"a": False}) == "BREAKING" and contracts.infer_compatibility("type", {}, "BREAKING") == "BREAKING"
+    book = contracts.SchemaRegistry()
+    book.register("1", {"a": "long"})
+    with pytest.raises(ValueError):
+        book.register("1", {"a": "string"})
+    assert contracts.structure_score(df, {"a": "bigint", "c": "string"}) == {"order": 0.5, "types": 0.5}
+    assert one(df.select(contracts.decode(F.lit("/w==")).alias("x"), contracts.decode(F.lit("eA==")).alias("y"))) == {"x": None, "y": "x"}
+
+
+def test_observable_view_hides_truth(spark):
+    nodes = spark.createDataFrame([("a", "X", 0, None, 0), ("b", "X", 0, None, 50)], "node_id string, node_type string, valid_from long, valid_to long, available_at long")
+    edge = spark.createDataFrame([("e", "a", "b", "K", None, 5, None, None, None, "S", "C", "D", None, 5)], "edge_id string, src_id string, dst_id string, edge_type string, event_time long, valid_from long, valid_to long, source_event_id string, payment_id string, scenario_id string, campaign_id string, edge_origin string, support_count int, available_at long")
+    assert graph.view(nodes, edge, 10, "observable")[1].count() == 0
+    seen = graph.view(nodes, edge, 60, "observable")[1].first()
+    assert (seen.scenario_id, seen.campaign_id) == (None, None) and graph.view(nodes, edge, 10, "oracle")[1].first().scenario_id == "S"
+    assert {r.rule for r in graph.graph_violations(nodes, edge.withColumns({"dst_id": F.lit("a"), "valid_to": F.lit(5).cast("long"), "edge_type": F.lit("SHARES_IP")}), 0, 9).collect()} == {"self_loop", "interval", "support"}

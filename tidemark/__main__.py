@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from tidemark.plans import catalogue, catalogue_more  # noqa: F401  (the second adds to the first)
+from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more  # noqa: F401  (the others add to the first)
 from tidemark.operators.records import fingerprint
 
 

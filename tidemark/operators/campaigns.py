@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import hash_uniform
 from tidemark.functions.registry import REGISTRY
 from tidemark.functions.shipping import ship_package
+from tidemark.operators.running import running
 
 #: Phases in order, the chance to move on after each action, and the mark of each phase.
 PHASES = ("PROBE", "RAMP", "EXPLOIT", "COOL")
@@ -67,29 +68,63 @@ def campaign_summary(actions: DataFrame) -> DataFrame:
     return actions.groupBy("campaign_id").agg(F.count("*").alias("n"), (F.max("at") - F.min("at")).alias("duration"), F.avg("intensity").alias("intensity"))
 
 
-def motif(spark: SparkSession, kind: str, size: int, other: int = 0) -> DataFrame:
-    """(src, dst) over members numbered from 0: what a pattern's edges are. Sizes are those of one planted pattern."""
-    n = spark.range(size).withColumnRenamed("id", "a")
-    i, last = F.col("a"), F.lit(size - 1)
-    rest = n.where(i > 0)
-    pairs = {
-        "ring": lambda: n.select(i.alias("src"), ((i + 1) % size).alias("dst")),
-        "stacked": lambda: n.where(i < last).select(i.alias("src"), (i + 1).alias("dst")),
-        "fan_out": lambda: rest.select(F.lit(0).cast("long").alias("src"), i.alias("dst")),
-        "fan_in": lambda: rest.select(i.alias("src"), F.lit(0).cast("long").alias("dst")),
-        "mule": lambda: rest.select(F.when(i % 2 == 1, i).otherwise(0).alias("src"), F.when(i % 2 == 1, 0).otherwise(i).alias("dst")),
-        "scatter_gather": lambda: n.where((i > 0) & (i < last)).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("src"), i.alias("dst")), F.struct(i.alias("src"), last.cast("long").alias("dst")))).alias("x")).select("x.*"),
-        "bipartite": lambda: n.select(i.alias("src"), F.explode(F.sequence(F.lit(size).cast("long"), F.lit(size + max(1, other) - 1).cast("long"))).alias("dst")),
-        "dense": lambda: n.select(i.alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("dst")).where("src <> dst"),
-    }
-    if kind not in pairs:
-        raise ValueError(f"unknown motif {kind!r}; there are {sorted(pairs)}")
-    return pairs[kind]()
+#: The kinds of motif, and which sizes each takes.
+MOTIFS = {
+    "CYCLIC_RING": ("member_count",),
+    "MULE_NETWORK": ("source_count",),
+    "BENEFICIARY_NETWORK": ("source_count",),
+    "FAN_OUT": ("destination_count",),
+    "BIPARTITE_NETWORK": ("originator_count", "beneficiary_count"),
+    "STACKED_NETWORK": ("originator_count", "intermediary_count", "beneficiary_count"),
+    "SCATTER_GATHER": ("intermediary_count",),
+    "GATHER_SCATTER": ("source_count", "destination_count"),
+    "DENSE_CAMPAIGN": ("member_count", "edge_count"),
+    "RANDOM_ALERT_CONTROL": ("member_count", "edge_count"),
+    "MERCHANT_CUSTOMER_COMMUNITY": ("customer_count", "merchant_count", "repeat_count"),
+    "SHARED_DEVICE_INFRASTRUCTURE": ("member_count",),
+    "SHARED_IP_INFRASTRUCTURE": ("member_count",),
+}
+
+
+def motif(spark: SparkSession, kind: str, **sizes: int) -> DataFrame:
+    """(src, dst) over members numbered from 0: the edges of one planted pattern, each as often as it is planted.
+
+    Ends of an edge are worked out from its number, so a pattern of any size is one distributed range.
+    """
+    if kind not in MOTIFS or set(sizes) != set(MOTIFS[kind]) or min(sizes.values()) < 1:
+        raise ValueError(f"a motif is one of {MOTIFS}, with its sizes")
+    a, b, c = (*[sizes[n] for n in MOTIFS[kind]], 1, 1)[:3]
+    e, zero = F.col("id"), F.lit(0).cast("long")
+    at = lambda x: F.lit(x).cast("long")
+    grid = lambda first, width, second: (first + F.floor(e / width), second + e % width)
+    number, src, dst = {
+        "CYCLIC_RING": lambda: (a, e, (e + 1) % a),
+        "MULE_NETWORK": lambda: (a + 1, e, F.when(e < a, at(a)).otherwise(at(a + 1))),
+        "BENEFICIARY_NETWORK": lambda: (a, e, at(a)),
+        "FAN_OUT": lambda: (a, zero, e + 1),
+        "BIPARTITE_NETWORK": lambda: (a * b, *grid(0, b, a)),
+        "STACKED_NETWORK": lambda: (a * b + b * c, F.when(e < a * b, F.floor(e / b)).otherwise(a + F.floor((e - a * b) / c)), F.when(e < a * b, a + e % b).otherwise(a + b + (e - a * b) % c)),
+        "SCATTER_GATHER": lambda: (2 * a, F.when(e < a, zero).otherwise(e - a + 1), F.when(e < a, e + 1).otherwise(at(a + 1))),
+        "GATHER_SCATTER": lambda: (a + b, F.when(e < a, e).otherwise(at(a)), F.when(e < a, at(a)).otherwise(e + 1)),
+        "DENSE_CAMPAIGN": lambda: (min(a * (a - 1), b), F.floor(e / max(1, a - 1)), e % max(1, a - 1) + (e % max(1, a - 1) >= F.floor(e / max(1, a - 1))).cast("long")),
+        "RANDOM_ALERT_CONTROL": lambda: (b, e % a, (e + 1) % a),
+        "MERCHANT_CUSTOMER_COMMUNITY": lambda: (a * b * c, e % a, (e + 1) % a),
+        "SHARED_DEVICE_INFRASTRUCTURE": lambda: (a, e, (e + 1) % a),
+        "SHARED_IP_INFRASTRUCTURE": lambda: (a, e, (e + 1) % a),
+    }[kind]()
+    return spark.range(number).select(src.cast("long").alias("src"), dst.cast("long").alias("dst"))
 
 
 def camouflage(fraud: DataFrame, legitimate: DataFrame, cohort: Sequence[str], value: str, strength: float, digits: int = 2) -> DataFrame:
-    """Fraud rows with the value moved towards the median of the legitimate rows of their cohort."""
-    middle = legitimate.groupBy(*cohort).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    """Fraud rows with the value moved towards the median of the legitimate rows of their cohort.
+
+    Medians are exact: values are counted, and the middle ones found by their running number, in ranges for large cohorts.
+    """
+    per = legitimate.where(F.col(value).isNotNull()).groupBy(*cohort, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    total = per.groupBy(*cohort).agg(F.sum("_n").alias("_all"))
+    run = running(per, cohort, ["_v"], {"_upto": ("sum", "_n")}).join(total, list(cohort))
+    holds = lambda place: F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col("_v")))
+    middle = run.groupBy(*cohort).agg(((holds(F.floor((F.col("_all") - 1) / 2)) + holds(F.ceil((F.col("_all") - 1) / 2))) / 2).alias("_m"))
     blended = F.round((1 - strength) * F.col(value) + strength * F.coalesce("_m", F.col(value)), digits)
     return fraud.join(middle, list(cohort), "left").withColumn(value, blended).drop("_m")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import canonical_json, hash_uniform
+from tidemark.functions.ranges import comparable
+from tidemark.operators.running import running
 
 
 def transport_partition(key: Column, partitions: int = 16) -> Column:
@@ -49,15 +51,21 @@ def spikes(rows: DataFrame, group: Column, id_: str, probability: float, times:
 
 
 def rotated(rows: DataFrame, by: str, order: Sequence[str], shift: int) -> DataFrame:
-    """delivery: the position of each row in its group, rotated by shift."""
-    n, k = F.count("*").over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("delivery", ((k + shift) % n).cast("long"))
+    """delivery: the position of each row in its group, rotated by shift; the first order column is a number or time."""
+    keyed = rows.withColumns({"_first": comparable(rows, order[0]), "_one": F.lit(1).cast("long")})
+    placed = running(keyed, [by], ["_first", *order[1:]], {"_k": ("sum", "_one")})
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    both = placed.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    return both.select(*rows.columns, ((F.col("_k") - 1 + shift) % F.col("_n")).cast("long").alias("delivery"))
 
 
 def publication_order(rows: DataFrame, topic: Column, key: Column, time: str, id_: str) -> DataFrame:
-    """(topic, partition, key, value, sequence): what is published, in order within each topic and partition."""
-    out = rows.select(topic.alias("topic"), transport_partition(key).alias("partition"), key.cast("string").alias("key"), canonical_json({c: F.col(c) for c in rows.columns}).alias("value"), F.col(time).alias("_t"), F.col(id_).alias("_i"))
-    return out.withColumn("sequence", F.row_number().over(Window.partitionBy("topic", "partition").orderBy("_t", "_i"))).drop("_t", "_i")
+    """(topic, partition, key, value, sequence): what is published, in order within each topic and partition.
+
+    Large partitions are numbered in ranges of time, so a topic needs no more tasks than rows ask for, and no fewer.
+    """
+    out = rows.select(topic.alias("topic"), transport_partition(key).alias("partition"), key.cast("string").alias("key"), canonical_json({c: F.col(c) for c in rows.columns}).alias("value"), F.col(time).alias("_t"), F.col(id_).alias("_i"), F.lit(1).cast("long").alias("_one"))
+    return running(out, ["topic", "partition"], ["_t", "_i"], {"sequence": ("sum", "_one")}).drop("_t", "_i", "_one")
 
 
 def referenced_ids(rows: DataFrame, columns: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ first aggregate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +15,32 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluation import running_totals
 
 BINS, SMOOTHING, ALIGN = 10, 1e-6, 101
-THRESHOLDS = {"psi": 0.20, "wasserstein": 0.10, "js": 0.10}
+#: From which value on a metric raises an alert.
+THRESHOLDS = {"psi": 0.20, "wasserstein": 0.10, "js": 0.10, "missing_rate": 0.05, "duplicate_rate": 0.05, "prevalence": 0.05}
 MIN_ROWS = 30
 
 
+def quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles, linear between neighbouring values; [] if there is no value.
+
+    Values are counted first and their running number is found by ranges, so no task holds all of them.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    run = running_totals(per, "_v", {"_upto": "_n"})
+    total = per.agg(F.sum("_n")).first()[0]
+    if not total:
+        return []
+    places = sorted({p for q in shares for p in (math.floor((total - 1) * q), math.ceil((total - 1) * q))})
+    wanted = F.explode(F.array(*[F.lit(p).cast("long") for p in places]))
+    hit = run.select("_v", "_n", "_upto", wanted.alias("_p")).where((F.col("_upto") > F.col("_p")) & (F.col("_upto") - F.col("_n") <= F.col("_p")))
+    at = {r["_p"]: float(r["_v"]) for r in hit.select("_p", "_v").collect()}  # a row for each place
+    spot = [(total - 1) * q for q in shares]
+    return [at[math.floor(s)] + (s - math.floor(s)) * (at[math.ceil(s)] - at[math.floor(s)]) for s in spot]
+
+
 def bin_edges(reference: DataFrame, value: str, bins: int = BINS) -> list[float]:
     """Inner edges: the distinct interpolated quantiles of the reference."""
-    found = reference.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0] or []
-    return sorted(set(found))
+    return sorted(set(quantiles(reference, value, [k / bins for k in range(1, bins)])))
 
 
 def bin_of(value: Column, edges: Sequence[float]) -> Column:
@@ -55,11 +74,10 @@ def jensen_shannon(rows: DataFrame, category: str, side: str) -> DataFrame:
 
 def wasserstein(rows: DataFrame, value: str, side: str, points: int = ALIGN) -> DataFrame:
     """One row, wasserstein: the mean distance of `points` interpolated quantiles of both sides."""
-    at = F.array(*[F.lit(k / (points - 1)) for k in range(points)])
-    q = lambda s: F.percentile(F.when(F.col(side) == s, F.col(value)), at)
-    both = rows.agg(q(0).alias("a"), q(1).alias("b"))
-    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return both.select((distance / points).alias("wasserstein"))
+    shares = [k / (points - 1) for k in range(points)]
+    a, b = (quantiles(rows.where(F.col(side) == s), value, shares) for s in (0, 1))
+    distance = sum(abs(x - y) for x, y in zip(a, b, strict=True)) / points if a and b else None
+    return rows.sparkSession.createDataFrame([(distance,)], "wasserstein double")
 
 
 def rates(rows: DataFrame, side: str, value: str, id_: str) -> DataFrame:
@@ -67,11 +85,21 @@ def rates(rows: DataFrame, side: str, value: str, id_: str) -> DataFrame:
     return rows.groupBy(side).agg(F.count("*").alias("n"), F.avg(F.col(value).isNull().cast("double")).alias("missing_rate"), (1 - F.count_distinct(id_) / F.count("*")).alias("duplicate_rate"))
 
 
-def report(rows: DataFrame, side: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """(field, metric, value, alert): alert where the value reaches the metric's threshold and both sides have MIN_ROWS rows."""
+def report(rows: DataFrame, side: str, numeric: Sequence[str], categorical: Sequence[str], id_: str | None = None, label: Column | None = None) -> DataFrame:
+    """(field, metric, value, alert): alert where the value reaches the metric's threshold and both sides have MIN_ROWS rows.
+
+    Besides the distances: how far the missing rate of each field moved, and with id_ and label the duplicate rate and prevalence.
+    """
     parts = [psi(rows, f, side).select(F.lit(f).alias("field"), F.lit("psi").alias("metric"), F.col("psi").alias("value")) for f in numeric]
     parts += [wasserstein(rows, f, side).select(F.lit(f).alias("field"), F.lit("wasserstein").alias("metric"), F.col("wasserstein").alias("value")) for f in numeric]
     parts += [jensen_shannon(rows, f, side).select(F.lit(f).alias("field"), F.lit("js").alias("metric"), F.col("js").alias("value")) for f in categorical]
+    shares = {(f, "missing_rate"): F.avg(F.col(f).isNull().cast("double")) for f in (*numeric, *categorical)}
+    shares |= {(id_, "duplicate_rate"): 1 - F.count_distinct(id_) / F.count("*")} if id_ else {}
+    shares |= {("label", "prevalence"): F.avg(label.cast("double"))} if label is not None else {}
+    moved = rows.groupBy(F.col(side).alias("_s")).agg(*[c.alias(f"_{k}") for k, c in enumerate(shares.values())])
+    delta = lambda k: F.abs(F.max(F.when(F.col("_s") == 1, F.col(f"_{k}"))) - F.max(F.when(F.col("_s") == 0, F.col(f"_{k}"))))
+    wide = moved.agg(*[delta(k).alias(f"_{k}") for k in range(len(shares))])
+    parts.append(wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(m).alias("metric"), F.col(f"_{k}").alias("value")) for k, (f, m) in enumerate(shares)])).alias("x")).select("x.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,66 +1,39 @@
 """Scores against labels: rank metrics with total orders, threshold sweeps, folds and segments.
 
-A global rank never needs one task: scores are grouped first, or rows are ranked inside score ranges whose offsets are
-prefix sums (`global_rank`).
+A global rank never needs one task: rows are ranked inside ranges of the whole order, as many as the rows need, whose offsets are
+prefix sums (`global_rank`); running sums likewise.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges a global order is cut into; also the most rows of the small table of their sizes.
-RANGES = 256
+from tidemark.functions.ranges import with_range
 
 
-def global_rank(rows: DataFrame, order: Sequence[Column], out: str, *, split: Column | None = None) -> DataFrame:
-    """rows with `out`, the rank from 1 in the given total order.
-
-    The first sort key is cut into RANGES ranges by quantiles; ranks inside a range are a window, and the ranges before
-    it add their sizes. split: the key that is cut, ascending in the order; by default order[0].
-    """
-    key = (split if split is not None else order[0]).cast("double")
-    bounds = rows.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []  # RANGES numbers at most
-    bounds = sorted({b for b in bounds if b is not None and not math.isnan(b)})
-    ranged = rows.withColumn("_range", _range_of(key, bounds))
+def global_rank(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """rows with `out`, the rank from 1 in the given total order, all ascending; rows equal in all of it are interchangeable."""
+    keys = [f"_o{k}" for k in range(len(order))]
+    ranged = with_range(rows.withColumns(dict(zip(keys, order, strict=True))), keys)
     sizes = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).drop("_n")
-    ranked = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return ranked.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_r", "_in", "_before")
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).drop("_n")  # a row for each range
+    ranked = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return ranked.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).select(*rows.columns, out)
 
 
 def running_totals(groups: DataFrame, key: str, sums: dict[str, str], *, descending: bool = False) -> DataFrame:
-    """groups (one row for each key) with running sums in the order of the key: out name -> summed column.
-
-    The key is cut into RANGES ranges; each range's window adds the totals of the ranges before it.
-    """
-    order = -F.col(key).cast("double") if descending else F.col(key).cast("double")
-    ranged = groups.withColumn("_key", order)
-    bounds = ranged.agg(F.percentile_approx("_key", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
-    ranged = ranged.withColumn("_range", _range_of(F.col("_key"), sorted(set(bounds))))
+    """groups (one row for each key) with running sums in the order of the key: out name -> summed column."""
+    ranged = with_range(groups.withColumn("_key", -F.col(key).cast("double") if descending else F.col(key).cast("double")), ["_key"])
     totals = ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    carried = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows at most
+    carried = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = totals.select("_r", *[F.sum(f"_t_{n}").over(carried).alias(f"_b_{n}") for n in sums])
     inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), F.col("_range") == F.col("_r"))
-    return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}).drop("_key", "_range", "_r", *[f"_b_{n}" for n in sums])
-
-
-def _range_of(key: Column, bounds: Sequence[float]) -> Column:
-    """How many of the sorted bounds lie below the key, by two levels of about the square root of their number; null is -1."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [list(bounds[k : k + step]) for k in range(0, len(bounds), step)]
-    coarse = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<double>")
-    fine = F.from_json(F.lit(json.dumps([[], *groups])), "array<array<double>>")
-    first = F.size(F.filter(coarse, lambda b: b < key))
-    inner = F.size(F.filter(F.get(fine, first), lambda b: b < key))
-    return F.when(key.isNull(), -1).when(first > 0, (first - 1) * step + inner).otherwise(0)
+    return out.select(*groups.columns, *[(F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
 def auc(rows: DataFrame, score: str, label: str, id_: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import comparable
+from tidemark.operators.frames import Frame, frames
+from tidemark.operators.running import running
+
 MONEY = "decimal(38,2)"
 
 
@@ -14,9 +18,20 @@ def signed(amount: Column, is_debit: Column) -> Column:
 
 
 def running_balance(entries: DataFrame, account: str, order: list[str], movement: Column, opening: Column | None = None, out: str = "balance_after") -> DataFrame:
-    window = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """entries with the account's balance after each, in a total order whose first column is a number or time."""
     start = F.lit(0).cast(MONEY) if opening is None else opening.cast(MONEY)
-    return entries.withColumn(out, (start + F.sum(movement).over(window)).cast(MONEY))
+    first = comparable(entries, order[0])
+    run = running(entries.withColumns({"_first": first, "_moved": movement.cast(MONEY)}), [account], ["_first", *order[1:]], {"_sum": ("sum", "_moved")})
+    return run.withColumn(out, (start + F.col("_sum")).cast(MONEY)).drop("_first", "_moved", "_sum")
+
+
+def balance_as_of(entries: DataFrame, asked: DataFrame, account: str, *, id_: str) -> DataFrame:
+    """(id_, moved) for each row of asked(account, id_, now): the sum of the movements effective before `now` and posted at or before it.
+
+    entries: account, effective_at, posted_at (microseconds) and movement.
+    """
+    known = entries.select(account, F.col("effective_at").alias("t"), F.col("posted_at").alias("available"), "movement")
+    return frames(known, asked, [account], {"moved": Frame("sum", None, "movement")}, id_=id_)
 
 
 def totals_by(entries: DataFrame, key: Column, amount: str, is_debit: Column) -> DataFrame:

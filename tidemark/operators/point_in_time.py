@@ -1,68 +1,30 @@
-"""Point-in-time features: trailing frames, range and as-of joins, availability.
+"""Point-in-time features: trailing frames over events, range and as-of joins, availability, splits.
 
-A trailing frame of w microseconds before T holds the rows with 0 < T - t <= w. Frames over a row's own time are range
-frames of a window; where T differs from the row's time, rows are joined by key and time bucket.
+Frames are those of `frames`: running sums and maxima of marks, so that time grows with the rows and not with the frames.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, MICROS
+from tidemark.operators.frames import Frame, frames
+from tidemark.operators.running import running
 
-#: A key is hot above both: so many rows, and such a share of all rows.
-HOT_ROWS, HOT_SHARE = 1_000_000, 1e-4
 
+def over_frames(rows: DataFrame, by: Sequence[str], features: dict[str, Frame], *, id_: str = "event_id", t: str = "t") -> DataFrame:
+    """(id_, features...) over the earlier rows of the key, [t - width, t), at each row's own time. Ids are unique."""
+    known = rows.withColumns({"t": F.col(t), "available": F.col(t), "now": F.col(t)})
+    return frames(known, known, by, features, id_=id_)
 
-def trailing(by: Sequence[str], order: str, width: int | None = None):
-    """The frame [T - width, T) of earlier rows; None: all earlier rows."""
-    window = Window.partitionBy(*by).orderBy(order)
-    return window.rangeBetween(Window.unboundedPreceding if width is None else -width, -1)
 
-
-def split_hot(rows: DataFrame, by: Sequence[str], order: str, widest: int) -> DataFrame:
-    """rows with _part and _ghost: a window over (by, _part) sees, for its own rows, all that frames up to `widest` hold.
-
-    A key with more than HOT_ROWS rows, and more than a HOT_SHARE of all, is cut by time into parts of twice the widest
-    frame; each row near a part's end also stands in the next part as a ghost. Fewer than 1 / HOT_SHARE keys can be
-    hot, which bounds the list that is broadcast. Other keys, and tables that are small as a whole, stay in one part.
-    """
-    total = rows.count()  # for a bare scan, from the files' footers
-    if total <= HOT_ROWS:
-        return rows.withColumns({"_part": F.lit(0).cast("long"), "_ghost": F.lit(False)})
-    hot = rows.groupBy(*by).agg(F.count("*").alias("_n")).where((F.col("_n") > HOT_ROWS) & (F.col("_n") > total * HOT_SHARE)).select(*[F.col(c).alias(f"_hot_{c}") for c in by], F.lit(True).alias("_hot"))
-    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]
-    on = same[0]
-    for more in same[1:]:
-        on &= more
-    marked = rows.join(F.broadcast(hot), on, "left").drop(*[f"_hot_{c}" for c in by])
-    step = 2 * widest
-    part = F.when(F.col("_hot"), F.floor(F.col(order) / step)).otherwise(0).cast("long")
-    late = F.col("_hot") & (F.pmod(F.col(order), F.lit(step)) >= step - widest)
-    places = F.when(late, F.array(F.struct(part.alias("_part"), F.lit(False).alias("_ghost")), F.struct((part + 1).alias("_part"), F.lit(True).alias("_ghost")))).otherwise(F.array(F.struct(part.alias("_part"), F.lit(False).alias("_ghost"))))
-    return marked.withColumn("_x", F.explode(places)).select(*rows.columns, "_x.*")
-
-
-def over_frames(rows: DataFrame, by: Sequence[str], order: str, widest: int, columns: Callable[[Callable[[int], WindowSpec]], dict[str, Column]]) -> DataFrame:
-    """rows with columns over trailing frames, hot keys split by time; `columns` gets a function from width to frame."""
-    parts = split_hot(rows, by, order, widest)
-    return parts.withColumns(columns(lambda width: trailing([*by, "_part"], order, width))).where(~F.col("_ghost")).drop("_part", "_ghost")
-
-
-def trailing_counts(rows: DataFrame, by: Sequence[str], order: str, widths: dict[str, int]) -> DataFrame:
-    return over_frames(rows, by, order, max(widths.values()), lambda f: {name: F.count(F.lit(1)).over(f(w)) for name, w in widths.items()})
-
-
-def distinct_in(value: Column, frame) -> Column:
-    """Distinct values that are not null; a window has no countDistinct."""
-    return F.size(F.collect_set(value).over(frame))
-
-
-def seen_in(value: Column, frame) -> Column:
-    return F.array_contains(F.collect_set(value).over(frame), value)
+def available_counts(rows: DataFrame, widths: dict[str, int], *, key: str = "customer", id_: str = "event_id") -> DataFrame:
+    """For each row, at T = its own availability: how many other rows of the key lie in [T - w, T) and were available by T."""
+    known = rows.withColumn("now", F.col("available"))
+    return frames(known, known, [key], {n: Frame("count", w) for n, w in widths.items()}, id_=id_)
 
 
 def days_since(order: str, previous: Column) -> Column:
@@ -87,46 +49,26 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str,
     return l.join(r, on).drop("_own", "_bucket", *[f"_r_{k}" for k in keys])
 
 
-def available_counts(rows: DataFrame, widths: dict[str, int], *, key: str = "customer", id_: str = "event_id", t: str = "t", available: str = "available") -> DataFrame:
-    """For each row, at T = its own availability: how many other rows of the key lie in [T - w, T) and were available by T.
-
-    An anchor at T joins the event stream of its key; one window over both counts events by the frame, and the few that
-    were still in flight at T are found by a short range join and taken off.
-    """
-    longest = rows.agg(F.max(F.col(available) - F.col(t))).first()[0] or 0
-    marks = rows.select(key, F.col(t).alias("_at"), F.lit(1).alias("_w"), F.lit(None).cast("long").alias("_id"))
-    anchors = rows.select(key, F.col(available).alias("_at"), F.lit(0).alias("_w"), F.col(id_).alias("_id"))
-    both = marks.unionByName(anchors)
-    framed = both.withColumns({name: F.coalesce(F.sum("_w").over(trailing([key], "_at", w)), F.lit(0)) for name, w in widths.items()}).where("_w = 0")
-    left = rows.select(key, F.col(id_), F.col(available).alias("_now"))
-    right = rows.select(key, F.col(id_).alias("_other"), F.col(t).alias("_t"), F.col(available).alias("_a"))
-    flying = range_join(left, right, [key], "_now", "_t", max(1, longest)).where((F.col("_a") > F.col("_now")) | (F.col("_other") == F.col(id_)))
-    # The row itself is in its frame too, as long as its own delay is within the frame.
-    off = flying.groupBy(F.col(id_).alias("_id")).agg(*[F.count(F.when(F.col("_now") - F.col("_t") <= w, 1)).alias(f"_off_{n}") for n, w in widths.items()])
-    out = framed.join(off, "_id", "left")
-    return out.select(F.col("_id").alias(id_), *[(F.col(n) - F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in widths])
-
-
 def latest_as_of(left: DataFrame, versions: DataFrame, key: str, at: str, available: str, version: str, values: Sequence[str]) -> DataFrame:
-    """left with the values of the latest version available at or before `at`: the largest (available, version)."""
-    order = F.struct(*dict.fromkeys([available, version, *values]))
-    joined = left.join(versions, key, "left")
-    ok = F.col(available) <= F.col(at)
-    best = joined.groupBy(*left.columns).agg(F.max(F.when(ok, order)).alias("_best"))
-    return best.select(*left.columns, *[F.col("_best")[v].alias(v) for v in values])
+    """left with the values of the latest version available at or before `at`: the largest (available, version).
 
+    Both sides are merged in the order of time by key, and the largest version so far is carried to the rows of left; repeated rows
+    of left stay, and rows without a version get nulls.
+    """
+    best = F.struct(*dict.fromkeys([available, version, *values]))
+    known = versions.select(F.col(key).alias("_key"), F.col(available).alias("_at"), F.lit(0).alias("_q"), best.alias("_best"))
+    asked = left.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_q"), F.struct(*left.columns).alias("_row"))
+    run = running(known.unionByName(asked, allowMissingColumns=True), ["_key"], ["_at", "_q"], {"_found": ("max", "_best")})
+    return run.where("_q = 1").select("_row.*", *[F.col("_found")[v].alias(v) for v in values if v not in left.columns])
 
-def running_max(rows: DataFrame, order: str, value: str, out: str, bucket_width: int) -> DataFrame:
-    """The largest value over all rows at or before each row's time, without one window over the whole table.
 
-    Buckets of time get their own maxima; a window over the few buckets carries them forward, and a window inside each
-    bucket does the rest.
-    """
-    rows = rows.withColumn("_b", F.floor(F.col(order) / bucket_width))
-    per = rows.groupBy("_b").agg(F.max(value).alias("_m"))
-    before = per.select(F.col("_b").alias("_bb"), F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    inside = Window.partitionBy("_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_in", F.max(value).over(inside)).join(before, F.col("_b") == F.col("_bb")).withColumn(out, F.greatest("_in", "_carried")).drop("_b", "_bb", "_in", "_carried")
+def running_max(rows: DataFrame, order: str, value: str, out: str, *, id_: str) -> DataFrame:
+    """(id_, out): the largest value over all rows at or before each row's time, the row and equal times included."""
+    # The row itself counts, so queries get ids of their own, and a value at the row's time is visible at that time.
+    known = rows.select(F.lit(0).alias("all"), F.concat(F.lit("v"), F.col(id_).cast("string")).alias("own"), (F.col(order) - 1).alias("t"), F.col(order).alias("available"), F.col(value).alias("x"))
+    asked = rows.select(F.lit(0).alias("all"), F.concat(F.lit("q"), F.col(id_).cast("string")).alias("own"), F.col(id_).alias("id"), F.col(order).alias("now"))
+    found = frames(known, asked, ["all"], {"found": Frame("max", None, "x")}, id_="own")
+    return asked.join(found, "own").select(F.col("id").alias(id_), F.col("found").alias(out))
 
 
 def assign_interval(at: Column, intervals: Sequence[tuple[str, int, int]], otherwise: str | None = None) -> Column:
@@ -143,4 +85,4 @@ def temporal_split(at: Column, train_end: int, validation_end: int, gap: int) ->
     return F.when(at < train_end - gap, "train").when((at >= train_end) & (at < validation_end - gap), "validation").when(at >= validation_end, "test")
 
 
-__all__ = ["DAY", "HOT_ROWS", "HOT_SHARE", "MICROS", "assign_interval", "available_counts", "days_since", "distinct_in", "latest_as_of", "over_frames", "range_join", "running_max", "seen_in", "split_hot", "temporal_split", "trailing", "trailing_counts"]
+__all__ = ["DAY", "MICROS", "assign_interval", "available_counts", "days_since", "latest_as_of", "over_frames", "range_join", "running_max", "temporal_split"]

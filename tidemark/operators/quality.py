@@ -4,14 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import hash_uniform
-
-#: Allowed lifecycle moves, (from, to).
-CARD = [("INITIATED", "AUTHORIZATION_REQUESTED"), ("AUTHORIZATION_REQUESTED", "AUTHORIZED"), ("AUTHORIZATION_REQUESTED", "DECLINED"), ("AUTHORIZED", "REVERSED"), ("AUTHORIZED", "CAPTURED"), ("CAPTURED", "REVERSED"), ("CAPTURED", "CLEARED"), ("CLEARED", "SETTLED"), ("SETTLED", "REFUNDED"), ("SETTLED", "CHARGEBACK_CREATED"), ("REFUNDED", "CHARGEBACK_CREATED"), ("CHARGEBACK_CREATED", "CHARGEBACK_RESOLVED")]
-PIX = [("INITIATED", "VALIDATED"), ("VALIDATED", "AUTHORIZED"), ("VALIDATED", "REJECTED"), ("AUTHORIZED", "SUBMITTED"), ("SUBMITTED", "SETTLED"), ("SUBMITTED", "TIMEOUT"), ("SETTLED", "RECEIVED"), ("SETTLED", "RETURN_REQUESTED"), ("RECEIVED", "RETURN_REQUESTED"), ("RETURN_REQUESTED", "RETURNED")]
+from tidemark.operators.running import running
+
+#: The lifecycle moves that are allowed, (from, to), and what a payment starts with, as events carry them.
+CARD = [
+    ("CARD_PAYMENT_INITIATED", "CARD_AUTHORIZATION_REQUESTED"),
+    ("CARD_AUTHORIZATION_REQUESTED", "CARD_AUTHORIZED"),
+    ("CARD_AUTHORIZATION_REQUESTED", "CARD_DECLINED"),
+    ("CARD_AUTHORIZED", "CARD_REVERSED"),
+    ("CARD_AUTHORIZED", "CARD_CAPTURED"),
+    ("CARD_CAPTURED", "CARD_REVERSED"),
+    ("CARD_CAPTURED", "CARD_CLEARED"),
+    ("CARD_CLEARED", "CARD_SETTLED"),
+    ("CARD_SETTLED", "CARD_REFUNDED"),
+    ("CARD_SETTLED", "CARD_CHARGEBACK_CREATED"),
+    ("CARD_REFUNDED", "CARD_CHARGEBACK_CREATED"),
+    ("CARD_CHARGEBACK_CREATED", "CARD_CHARGEBACK_RESOLVED"),
+]
+PIX = [
+    ("PIX_INITIATED", "PIX_VALIDATED"),
+    ("PIX_VALIDATED", "PIX_AUTHORIZED"),
+    ("PIX_VALIDATED", "PIX_REJECTED"),
+    ("PIX_AUTHORIZED", "PIX_SUBMITTED"),
+    ("PIX_SUBMITTED", "PIX_SETTLED"),
+    ("PIX_SUBMITTED", "PIX_TIMEOUT"),
+    ("PIX_SETTLED", "PIX_RECEIVED"),
+    ("PIX_SETTLED", "PIX_RETURN_REQUESTED"),
+    ("PIX_RECEIVED", "PIX_RETURN_REQUESTED"),
+    ("PIX_RETURN_REQUESTED", "PIX_RETURNED"),
+]
+FIRST = {"CARD": "CARD_PAYMENT_INITIATED", "PIX": "PIX_INITIATED"}
 
 
 def key_summary(rows: DataFrame, key: str) -> DataFrame:
@@ -49,14 +75,14 @@ def partition_skew(rows: DataFrame, part: Column) -> DataFrame:
 
 def inversions(rows: DataFrame, key: str, delivered: Sequence[str], time: str) -> DataFrame:
     """Per key: rows, and rows whose time lies before that of the row delivered before."""
-    before = F.lag(time).over(Window.partitionBy(key).orderBy(*delivered))
-    return rows.withColumn("_b", before).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col(time) < F.col("_b")).cast("long"), F.lit(0))).alias("inversions"))
+    seen = running(rows.select(key, time, *[c for c in delivered if c not in (key, time)]), [key], delivered, {"_b": ("previous", time)})
+    return seen.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col(time) < F.col("_b")).cast("long"), F.lit(0))).alias("inversions"))
 
 
-def lifecycle_violations(events: DataFrame, moves: Sequence[tuple[str, str]], *, payment: str = "payment_id", state: str = "event_type", time: str = "event_time", id_: str = "event_id", cause: str = "causation_id", initial: str = "INITIATED") -> DataFrame:
+def lifecycle_violations(events: DataFrame, moves: Sequence[tuple[str, str]], initial: str, *, payment: str = "payment_id", state: str = "event_type", time: str = "event_time", id_: str = "event_id", cause: str = "causation_id") -> DataFrame:
     """violations(rule, key, detail): first state, allowed moves, strictly increasing times, and the chain of causes."""
-    order = Window.partitionBy(payment).orderBy(time, id_)
-    seen = events.withColumns({"_s": F.lag(state).over(order), "_t": F.lag(time).over(order), "_i": F.lag(id_).over(order), "_n": F.row_number().over(order)})
+    keyed = events.select(payment, state, time, id_, cause).withColumn("_one", F.lit(1).cast("long"))
+    seen = running(keyed, [payment], [time, id_], {"_s": ("previous", state), "_t": ("previous", time), "_i": ("previous", id_), "_n": ("sum", "_one")})
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in moves])
     later = F.col("_n") > 1
     rules = {

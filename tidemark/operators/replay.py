@@ -22,6 +22,45 @@ def sequence_numbers(rows: DataFrame, order: Sequence[str], out: str = "sequence
     return global_rank(rows, [F.col(c) for c in order], out)
 
 
+#: The columns of a replayed event.
+ENVELOPE = ("event_id", "event_type", "payment_id", "customer_id", "event_time", "source_created_at", "source_available_at", "ingested_at", "processed_at", "correlation_id", "causation_id", "scenario_id")
+
+
+def envelopes(tables: dict[str, DataFrame], start: int, end: int) -> DataFrame:
+    """The rows of the tables with an event time in [start, end), as (source_table, source_row_number, ENVELOPE...).
+
+    Columns that a table lacks are null. A row's number is its place by event id in its table, so it is the same in every run.
+    """
+    out = None
+    for name, table in tables.items():
+        have = set(table.columns)
+        numbered = global_rank(table, [F.col("event_id")], "source_row_number")
+        one = numbered.where((F.col("event_time") >= start) & (F.col("event_time") < end))
+        one = one.select(F.lit(name).alias("source_table"), (F.col("source_row_number") - 1).alias("source_row_number"), *[F.col(c) if c in have else F.lit(None).cast("long" if c.endswith(("_at", "_time")) else "string").alias(c) for c in ENVELOPE])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: The orders of a replay.
+ORDERS = {
+    "event_time_order": ("event_time", "source_created_at", "event_id", "source_table", "source_row_number"),
+    "original_delivery": ("ingested_at", "processed_at", "source_available_at", "source_table", "source_row_number", "event_id"),
+    "delivery_fallback": ("source_available_at", "event_time", "source_table", "source_row_number", "event_id"),
+}
+
+
+def replay(tables: dict[str, DataFrame], start: int, end: int, order: str) -> DataFrame:
+    """The envelopes of a period with replay_sequence from 1. Where no row was ingested, delivery falls back to availability."""
+    if order not in ("event_time_order", "original_delivery"):
+        raise ValueError(f"unknown order {order!r}")
+    if end <= start:
+        raise ValueError("the end must come after the start")
+    rows = envelopes(tables, start, end)
+    if order == "original_delivery" and rows.where("ingested_at is null or processed_at is null").limit(1).count():
+        order = "delivery_fallback"
+    return global_rank(rows, [F.col(c) for c in ORDERS[order]], "replay_sequence")
+
+
 def chaos(rows: DataFrame, id_: str, time: str, *, drop: float, duplicate: float, delay: float, delay_by: int, window: int = 1) -> DataFrame:
     """Deliveries of the rows: some dropped, some twice, some late, and reordered inside windows of time.
 

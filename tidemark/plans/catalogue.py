@@ -8,13 +8,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, MICROS, hash_uniform, heuristic_score, micros, shard_index
-from tidemark.functions.shipping import shared_dir
-from tidemark.operators import drift, evaluation, generate, graph, labels, ledger, quality, records, replay
+from tidemark.functions.shipping import delete_at_exit, shared_dir
+from tidemark.operators import drift, evaluation, graph, ledger, quality, records, replay
 from tidemark.operators import point_in_time as pit
+from tidemark.operators.frames import Frame, frames
+from tidemark.operators.running import running
 from tidemark.sources.tables import payment_events, read, sql_over
 from tidemark.streaming import velocity as stream
 
@@ -50,7 +52,7 @@ COUNTS = {"c_1m": MINUTE, "c_5m": 5 * MINUTE, "c_1h": HOUR, "c_24h": DAY, "c_7d"
 
 @query("w01_txn_counts", f"WITH {EV} SELECT event_id, " + ", ".join(f"count(*) OVER {_frame(w)} AS {n}" for n, w in COUNTS.items()) + " FROM ev")
 def w01_txn_counts(spark, d):
-    return pit.trailing_counts(payment_events(spark, d), ["customer"], "t", COUNTS).select("event_id", *COUNTS)
+    return pit.over_frames(payment_events(spark, d), ["customer"], {n: Frame("count", w) for n, w in COUNTS.items()})
 
 
 @query("w01_txn_amounts", f"""WITH {EV}, m AS (SELECT *, CAST(amount AS DECIMAL(20,6)) AS x FROM ev),
@@ -59,42 +61,35 @@ f AS (SELECT event_id, amount, sum(x) OVER {_frame(HOUR)} AS s1, sum(x) OVER {_f
 SELECT event_id, round(CAST(coalesce(s1, 0) AS DOUBLE), 6) AS amount_1h, round(CAST(coalesce(s24, 0) AS DOUBLE), 6) AS amount_24h, round(CAST(coalesce(s7, 0) AS DOUBLE), 6) AS amount_7d,
  round(CAST(s30 AS DOUBLE) / n30, 6) AS avg_30d, m7 AS max_7d, round(amount / (CAST(s30 AS DOUBLE) / n30), 6) AS amount_vs_avg FROM f""")
 def w01_txn_amounts(spark, d):
-    e = payment_events(spark, d).withColumn("x", F.col("amount").cast("decimal(20,6)"))
-    zero = F.lit(0).cast("decimal(20,6)")
-
-    def columns(f):
-        total = lambda w: F.round(F.coalesce(F.sum("x").over(f(w)), zero).cast("double"), 6)
-        mean = F.sum("x").over(f(30 * DAY)).cast("double") / F.count("x").over(f(30 * DAY))
-        return {"amount_1h": total(HOUR), "amount_24h": total(DAY), "amount_7d": total(7 * DAY), "avg": F.when(F.count("x").over(f(30 * DAY)) > 0, mean), "max_7d": F.max("amount").over(f(7 * DAY))}
-
-    out = pit.over_frames(e, ["customer"], "t", 30 * DAY, columns)
-    return out.select("event_id", "amount_1h", "amount_24h", "amount_7d", F.round("avg", 6).alias("avg_30d"), "max_7d", F.round(F.when(F.col("avg") != 0, F.col("amount") / F.col("avg")), 6).alias("amount_vs_avg"))
+    e = payment_events(spark, d)
+    sums = {"s1": Frame("sum", HOUR, "amount"), "s24": Frame("sum", DAY, "amount"), "s7": Frame("sum", 7 * DAY, "amount"), "s30": Frame("sum", 30 * DAY, "amount")}
+    out = pit.over_frames(e, ["customer"], {**sums, "n30": Frame("count", 30 * DAY), "max_7d": Frame("max", 7 * DAY, "amount")})
+    total = lambda c: F.round(F.col(c).cast("double"), 6)
+    out = out.join(e.select("event_id", "amount"), "event_id").withColumn("avg", F.when(F.col("n30") > 0, F.col("s30").cast("double") / F.col("n30")))
+    return out.select("event_id", total("s1").alias("amount_1h"), total("s24").alias("amount_24h"), total("s7").alias("amount_7d"), F.round("avg", 6).alias("avg_30d"), "max_7d", F.round(F.when(F.col("avg") != 0, F.col("amount") / F.col("avg")), 6).alias("amount_vs_avg"))
 
 
 @query("w02_distinct_in_frame", f"WITH {EV} SELECT event_id, " + ", ".join(f"count(DISTINCT {c}) OVER {_frame(w)} AS {n}" for n, c, w in (("categories_1d", "category", DAY), ("categories_30d", "category", 30 * DAY), ("devices_1d", "device", DAY), ("devices_30d", "device", 30 * DAY))) + " FROM ev")
 def w02_distinct_in_frame(spark, d):
-    def columns(f):
-        n = lambda c, w: pit.distinct_in(F.col(c), f(w)).cast("long")
-        return {"categories_1d": n("category", DAY), "categories_30d": n("category", 30 * DAY), "devices_1d": n("device", DAY), "devices_30d": n("device", 30 * DAY)}
-
-    return pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns).select("event_id", "categories_1d", "categories_30d", "devices_1d", "devices_30d")
+    features = {n: Frame("distinct", w, c) for n, c, w in (("categories_1d", "category", DAY), ("categories_30d", "category", 30 * DAY), ("devices_1d", "device", DAY), ("devices_30d", "device", 30 * DAY))}
+    return pit.over_frames(payment_events(spark, d), ["customer"], features)
 
 
 @query("w02_new_value_flags", f"""WITH {EV} SELECT event_id,
  device IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.device = e.device) AS new_device,
  NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.category = e.category) AS new_category FROM ev e""")
 def w02_new_value_flags(spark, d):
-    def columns(f):
-        new = lambda c: F.coalesce(~pit.seen_in(F.col(c), f(30 * DAY)), F.lit(False))
-        return {"new_device": new("device"), "new_category": new("category")}
-
-    return pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns).select("event_id", "new_device", "new_category")
+    e = payment_events(spark, d)
+    seen = pit.over_frames(e, ["customer"], {"d": Frame("seen", 30 * DAY, "device"), "c": Frame("seen", 30 * DAY, "category")})
+    out = seen.join(e.select("event_id", "device"), "event_id")
+    return out.select("event_id", (F.col("device").isNotNull() & ~F.col("d")).alias("new_device"), (~F.col("c")).alias("new_category"))
 
 
 @query("w09_days_since_last", f"WITH {EV} SELECT event_id, round(coalesce((t - max(t) OVER (PARTITION BY customer ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / {DAY}.0, -1.0), 9) AS days_since_last FROM ev")
 def w09_days_since_last(spark, d):
-    last = F.max("t").over(pit.trailing(["customer"], "t"))
-    return payment_events(spark, d).select("event_id", F.round(pit.days_since("t", last), 9).alias("days_since_last"))
+    e = payment_events(spark, d).withColumn("at", F.col("t"))
+    last = pit.over_frames(e, ["customer"], {"last": Frame("max", None, "at")}).join(e.select("event_id", "t"), "event_id")
+    return last.select("event_id", F.round(pit.days_since("t", F.col("last")), 9).alias("days_since_last"))
 
 
 AVAILABLE = {"n_1h": HOUR, "n_24h": DAY, "n_30d": 30 * DAY}
@@ -108,9 +103,7 @@ def j02_pit_available_counts(spark, d):
 @query("j03_customers_per_device", f"""WITH {EV} SELECT e.event_id, count(DISTINCT p.customer) AS customers_24h
 FROM ev e LEFT JOIN ev p ON p.device IS NOT DISTINCT FROM e.device AND p.t < e.t AND p.t >= e.t - {DAY} GROUP BY e.event_id""")
 def j03_customers_per_device(spark, d):
-    # A window's partitions treat null as equal to null.
-    out = pit.over_frames(payment_events(spark, d), ["device"], "t", DAY, lambda f: {"customers_24h": pit.distinct_in(F.col("customer"), f(DAY)).cast("long")})
-    return out.select("event_id", "customers_24h")
+    return pit.over_frames(payment_events(spark, d), ["device"], {"customers_24h": Frame("distinct", DAY, "customer")})
 
 
 VERSIONS = f"""v AS (SELECT o_orderkey AS k, o_custkey AS c, epoch_us(o_orderdate) AS t, o_totalprice AS amount, unnest([
@@ -138,28 +131,28 @@ def j04_visible_label(spark, d):
 SELECT o.o_orderkey, count(p.t) AS mature_90d, count(CASE WHEN p.bad THEN 1 END) AS bad_90d, CAST(coalesce(sum(CASE WHEN p.bad THEN p.x END), 0) AS DOUBLE) AS loss_90d
 FROM o LEFT JOIN o p ON p.c = o.c AND p.t < o.t AND p.t >= o.t - 90 * {DAY} AND p.t + 2 * {DAY} <= o.t GROUP BY o.o_orderkey""")
 def j05_label_history(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), micros(F.col("o_orderdate")).alias("at"), F.col("o_totalprice").cast("decimal(20,2)").alias("x"), (F.col("o_orderstatus") == "F").alias("bad"))
-    past = o.select("c", F.col("at").alias("t"), "x", "bad")
-    near = pit.range_join(o.select("o_orderkey", "c", "at"), past, ["c"], "at", "t", 90 * DAY).where(F.col("t") + 2 * DAY <= F.col("at"))
-    per = near.groupBy("o_orderkey").agg(F.count("*").alias("mature_90d"), F.sum(F.col("bad").cast("long")).alias("bad_90d"), F.sum(F.when(F.col("bad"), F.col("x"))).alias("loss_90d"))
-    none = F.lit(0).cast("long")
-    return o.select("o_orderkey").join(per, "o_orderkey", "left").select("o_orderkey", F.coalesce("mature_90d", none).alias("mature_90d"), F.coalesce("bad_90d", none).alias("bad_90d"), F.coalesce("loss_90d", F.lit(0)).cast("double").alias("loss_90d"))
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), micros(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("x"), (F.col("o_orderstatus") == "F").alias("bad"))
+    known = o.withColumns({"available": F.col("t") + 2 * DAY, "now": F.col("t"), "is_bad": F.col("bad").cast("int"), "loss": F.when(F.col("bad"), F.col("x"))})
+    out = frames(known, known, ["c"], {"mature_90d": Frame("count", 90 * DAY), "bad_90d": Frame("sum", 90 * DAY, "is_bad"), "loss_90d": Frame("sum", 90 * DAY, "loss")}, id_="o_orderkey")
+    return out.withColumns({"bad_90d": F.col("bad_90d").cast("long"), "loss_90d": F.col("loss_90d").cast("double")})
 
 
-@query("j06_asof_balance", """WITH e AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS t, CAST(o_totalprice AS DECIMAL(38,2)) * CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS x FROM orders)
-SELECT o.o_orderkey, CAST(CAST(c.c_acctbal AS DECIMAL(38,2)) + coalesce(sum(e.x), 0) AS DOUBLE) AS balance
-FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN e ON e.c = o.o_custkey AND e.t < o.o_orderdate GROUP BY o.o_orderkey, c.c_acctbal""")
+@query("j06_asof_balance", f"""WITH e AS (SELECT o_custkey AS c, epoch_us(o_orderdate) AS effective, epoch_us(o_orderdate) + (o_orderkey % 3) * {DAY} AS posted, CAST(o_totalprice AS DECIMAL(38,2)) * CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS x FROM orders),
+q AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) + {DAY} AS at FROM orders)
+SELECT q.o_orderkey, CAST(CAST(c.c_acctbal AS DECIMAL(38,2)) + coalesce(sum(e.x), 0) AS DOUBLE) AS balance
+FROM q JOIN customer c ON c.c_custkey = q.o_custkey LEFT JOIN e ON e.c = q.o_custkey AND e.effective < q.at AND e.posted <= q.at GROUP BY q.o_orderkey, c.c_acctbal""")
 def j06_asof_balance(spark, d):
     o = read(spark, d, "orders").withColumn("t", micros(F.col("o_orderdate")))
-    o = o.withColumn("x", ledger.signed(F.col("o_totalprice"), F.col("o_orderstatus") == "F"))
-    moved = F.coalesce(F.sum("x").over(pit.trailing(["o_custkey"], "t")), F.lit(0).cast(ledger.MONEY))
+    entries = o.select(F.col("o_custkey").alias("account"), F.col("t").alias("effective_at"), (F.col("t") + F.col("o_orderkey") % 3 * DAY).alias("posted_at"), ledger.signed(F.col("o_totalprice"), F.col("o_orderstatus") == "F").alias("movement"))
+    asked = o.select("o_orderkey", F.col("o_custkey").alias("account"), (F.col("t") + DAY).alias("now"))
+    moved = ledger.balance_as_of(entries, asked, "account", id_="o_orderkey").join(asked.select("o_orderkey", "account"), "o_orderkey")
     c = read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast(ledger.MONEY).alias("opening"))
-    return o.withColumn("moved", moved).join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("opening") + F.col("moved")).cast("double").alias("balance"))
+    return moved.join(c, F.col("account") == F.col("c_custkey")).select("o_orderkey", (F.col("opening") + F.col("moved")).cast("double").alias("balance"))
 
 
 @query("w10_feature_available_at", f"WITH {EV} SELECT event_id, max(available) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS feature_available_at FROM ev")
 def w10_feature_available_at(spark, d):
-    return pit.running_max(payment_events(spark, d), "t", "available", "feature_available_at", DAY // 4).select("event_id", "feature_available_at")
+    return pit.running_max(payment_events(spark, d), "t", "available", "feature_available_at", id_="event_id")
 
 
 SPLIT = (MID, MID + 7 * DAY, 2 * DAY)
@@ -170,16 +163,6 @@ def p14_temporal_split(spark, d):
     return payment_events(spark, d).groupBy(pit.temporal_split(F.col("t"), *SPLIT).alias("split")).agg(F.count("*").alias("n"))
 
 
-FOLDS = [(k, MID - (10 - 4 * k) * DAY, MID - (8 - 4 * k) * DAY, MID - (4 - 4 * k) * DAY) for k in range(3)]
-
-
-@query("p15_fold_assignment", f"WITH {EV}, f(fold, train_end, test_start, test_end) AS (VALUES " + ", ".join(f"({k}, {a}, {b}, {c})" for k, a, b, c in FOLDS) + ") SELECT fold, CASE WHEN t < train_end THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM ev JOIN f ON t < train_end OR (t >= test_start AND t < test_end) GROUP BY 1, 2")
-def p15_fold_assignment(spark, d):
-    e = payment_events(spark, d)
-    parts = F.array(*[F.struct(F.lit(k).alias("fold"), F.when(F.col("t") < a, "train").when((F.col("t") >= b) & (F.col("t") < c), "test").alias("part")) for k, a, b, c in FOLDS])
-    return e.select(F.explode(parts).alias("x")).select("x.*").where("part is not null").groupBy("fold", "part").agg(F.count("*").alias("n"))
-
-
 REGIMES = [("early", MID - 20 * DAY, MID - 10 * DAY), ("overlap", MID - 12 * DAY, MID), ("spike", MID + 3 * DAY, MID + 5 * DAY)]
 
 
@@ -377,17 +360,19 @@ def a25_seasonality(spark, d):
 
 @query("a26_inter_arrival", f"WITH {EV}, g AS (SELECT customer, t - lag(t) OVER (PARTITION BY customer ORDER BY t, event_id) AS gap FROM ev) SELECT customer, count(gap) AS gaps, min(gap) AS least, max(gap) AS most, round(avg(gap), 3) AS mean FROM g GROUP BY customer")
 def a26_inter_arrival(spark, d):
-    e = payment_events(spark, d)
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("customer").orderBy("t", "event_id"))
-    return e.select("customer", gap.alias("gap")).groupBy("customer").agg(F.count("gap").alias("gaps"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.avg("gap"), 3).alias("mean"))
+    e = running(payment_events(spark, d).select("customer", "t", "event_id"), ["customer"], ["t", "event_id"], {"before": ("previous", "t")})
+    return e.select("customer", (F.col("t") - F.col("before")).alias("gap")).groupBy("customer").agg(F.count("gap").alias("gaps"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.avg("gap"), 3).alias("mean"))
 
 
 def _device_edges(spark, d):
+    """Links between customers: each event points from its customer to one that its device stands for, among as many as there are."""
     e = payment_events(spark, d).where("category = 'purchase' or category = 'signup'")
-    return graph.edges(e.withColumn("c", F.concat(F.lit("c"), (F.col("customer") % 97).cast("string"))).withColumn("x", F.concat(F.lit("c"), (F.col("customer") * 7 + F.col("device").cast("long")) % 97)), "LINK", "c", "x", "t")
+    size = read(spark, d, "events").agg(F.count_distinct("user_id")).scalar()
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    return graph.edges(e.withColumns({"c": name(F.col("customer")), "x": name((F.col("customer") * 7 + F.col("device").cast("long")) % size)}), "LINK", "c", "x", "t")
 
 
-LINK = f"{EV}, ed AS (SELECT 'c' || customer % 97 AS src, 'c' || (customer * 7 + device::BIGINT) % 97 AS dst, t AS tm FROM ev WHERE category IN ('purchase', 'signup') AND device IS NOT NULL)"
+LINK = f"{EV}, sz AS (SELECT count(DISTINCT user_id) AS n FROM events), ed AS (SELECT 'c' || customer AS src, 'c' || (customer * 7 + device::BIGINT) % n AS dst, t AS tm FROM ev, sz WHERE category IN ('purchase', 'signup') AND device IS NOT NULL)"
 
 
 @query("a27_degree_triangles", f"""WITH {LINK}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ed WHERE src <> dst), dg AS (SELECT n, count(*) AS d FROM (SELECT a AS n FROM u UNION ALL SELECT b FROM u) GROUP BY n)
@@ -445,11 +430,10 @@ def g02_edges(spark, d):
     return _device_edges(spark, d).select("edge_id", "src", "dst", F.col("at").alias("seen"))
 
 
-@query("g03_shared_edges", f"WITH {EV}, u AS (SELECT DISTINCT customer % 50 AS m, device || '/' || t // {DAY} AS r FROM ev WHERE category = 'signup' AND device IS NOT NULL) SELECT x.m AS a, y.m AS b, min(x.r) AS resource, count(*) AS shared FROM u x JOIN u y ON x.r = y.r AND x.m < y.m GROUP BY 1, 2")
+@query("g03_shared_edges", f"""WITH {EV}, u AS (SELECT customer AS m, device AS r, t FROM ev WHERE category = 'signup' AND device IS NOT NULL)
+SELECT x.m AS a, y.m AS b, min(x.r) AS resource, count(DISTINCT x.r) AS shared, min(greatest(x.t, y.t)) AS since FROM u x JOIN u y ON x.r = y.r AND x.m < y.m AND abs(x.t - y.t) <= {DAY} GROUP BY 1, 2""")
 def g03_shared_edges(spark, d):
-    e = payment_events(spark, d).where("category = 'signup' and device is not null")
-    uses = e.select((F.col("customer") % 50).alias("m"), F.concat_ws("/", "device", F.floor(F.col("t") / DAY).cast("string")).alias("r"))
-    return graph.shared_pairs(uses, "m", "r")
+    return graph.shared_pairs(payment_events(spark, d).where("category = 'signup'"), "customer", "device", "t", DAY)
 
 
 PAID = f"pd AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS tm FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
@@ -473,10 +457,10 @@ def g05_mule(spark, d):
 @query("g06_rings", f"""WITH RECURSIVE {LINK}, e AS (SELECT DISTINCT src, dst, tm FROM ed WHERE src <> dst),
 p(path, tip, started, last, closed) AS (SELECT [src], dst, tm, tm, false FROM e UNION ALL
  SELECT list_append(path, tip), e.dst, started, e.tm, e.dst = path[1] FROM p JOIN e ON e.src = p.tip AND e.tm > p.last AND e.tm - p.started <= {6 * HOUR}
- WHERE NOT closed AND len(path) < 5 AND (e.dst = path[1] OR (NOT list_contains(path, e.dst))))
+ WHERE NOT closed AND len(path) < 7 AND (e.dst = path[1] OR (NOT list_contains(path, e.dst))))
 SELECT array_to_string(path, '>') AS path, started, last AS ended FROM p WHERE closed AND len(path) >= 3""")
 def g06_rings(spark, d):
-    found = graph.rings(_device_edges(spark, d), 6 * HOUR, 3, 5)
+    found = graph.rings(_device_edges(spark, d), 6 * HOUR)
     return found.select(F.array_join("path", ">").alias("path"), "started", "ended")
 
 
@@ -507,15 +491,6 @@ def p07_schema_change(spark, d):
     return out.select("event_id", "customer_id", F.col("value").cast("double").alias("value"), "channel")
 
 
-@query("n09_faults", f"WITH x AS (SELECT {U.format('null_type', 'event_id')} < 0.05 AS a, {U.format('wrong_sign', 'event_id')} < 0.03 AS b, CASE WHEN {U.format('duplicate', 'event_id')} < 0.02 THEN 2 ELSE 1 END AS n, value, event_type FROM events) SELECT sum(n)::BIGINT AS rows, sum(n * a::INT)::BIGINT AS nulls, sum(n * b::INT)::BIGINT AS negatives FROM x")
-def n09_faults(spark, d):
-    e = read(spark, d, "events")
-    faults = {"null_type": (0.05, {"event_type": F.lit(None)}), "wrong_sign": (0.03, {"value": -F.col("value")})}
-    out = quality.inject_faults(e, "event_id", faults, 0.02)
-    has = lambda f: F.sum(F.array_contains("faults", f).cast("long"))
-    return out.agg(F.count("*").alias("rows"), has("null_type").alias("nulls"), has("wrong_sign").alias("negatives"))
-
-
 @query("t03_velocity_batch", f"WITH {EV}, w AS (SELECT unnest(range(t // {MINUTE} - 4, t // {MINUTE} + 1)) * {MINUTE} AS s, customer, amount FROM ev) SELECT s AS window_start, customer, count(*) AS n, round(CAST(sum(CAST(amount AS DECIMAL(20,6))) AS DOUBLE), 6) AS total FROM w GROUP BY 1, 2")
 def t03_velocity_batch(spark, d):
     e = payment_events(spark, d).withColumn("event_time", F.timestamp_micros("t")).withColumn("amount", F.col("amount").cast("decimal(20,6)"))
@@ -532,6 +507,7 @@ def t01_stream_velocity(spark, d):
     e = e.select("event_id", F.col("user_id").alias("customer"), F.col("ts").cast("timestamp").alias("event_time"), F.col("value").cast("decimal(20,6)").alias("amount"), F.get_json_object("props", "$.k").alias("device"))
     path = f"{shared_dir(spark)}/velocity-{uuid.uuid4().hex[:12]}"
     stream.write(stream.velocity(e), f"{path}/out", f"{path}/state").awaitTermination()
+    delete_at_exit(spark, path)
     out = spark.read.schema("window_start timestamp, window_end timestamp, customer long, n long, total decimal(30,6), devices long").parquet(f"{path}/out")
     return out.select(F.unix_micros("window_start").alias("window_start"), "customer", "n", F.round(F.col("total").cast("double"), 6).alias("total"))
 
@@ -554,32 +530,8 @@ def t07_chaos(spark, d):
  device IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.customer = e.customer AND p.t < e.t AND p.t >= e.t - {30 * DAY} AND p.device = e.device) AS nd FROM ev e)
 SELECT event_id, round(least(1.0, greatest(0.0, (4 * nd::INT + least(c, 10) / 10 + greatest(0.0, CASE WHEN a IS NULL OR amount / a = 0 THEN 1.0 ELSE amount / a END - 1) / 10) / 7)), 6) AS score FROM f""")
 def f08_heuristic_score(spark, d):
-    def columns(f):
-        new = F.coalesce(~pit.seen_in(F.col("device"), f(30 * DAY)), F.lit(False))
-        return {"nd": new, "c": F.count(F.lit(1)).over(f(HOUR)), "r": F.try_divide("amount", F.avg("amount").over(f(30 * DAY)))}
-
-    out = pit.over_frames(payment_events(spark, d), ["customer"], "t", 30 * DAY, columns)
-    return out.select("event_id", F.round(heuristic_score(F.col("nd"), F.lit(False), F.col("c"), F.col("r")), 6).alias("score"))
-
-
-@query("n08_label_policy")
-def n08_label_policy(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", micros(F.col("o_orderdate")).alias("t"), (F.col("o_orderstatus") == "F").alias("truth"))
-    observed = labels.observe(o, "o_orderkey", F.col("truth"), F.col("t")).join(o, "o_orderkey")
-    seen = labels.visible_at(F.col("versions"), F.col("t") + 2 * DAY)
-    return observed.groupBy(seen["status"].alias("status"), seen["label"].alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("n03_generated_ledger")
-def n03_generated_ledger(spark, d):
-    n = read(spark, d, "orders").count()
-    events = generate.lifecycle(generate.payments(spark, 0, n, max(2, n // 20)))
-    return ledger.totals_by(generate.ledger_entries(events), shard_index(F.col("payment_id"), 16), "amount", F.col("entry_type") == "DEBIT")
-
-
-@query("j15_lifecycle_violations", "SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail WHERE false")
-def j15_lifecycle_violations(spark, d):
-    n = read(spark, d, "orders").count()
-    events = generate.lifecycle(generate.payments(spark, 0, n, max(2, n // 20)))
-    card = quality.lifecycle_violations(events.where("payment_rail = 'CARD'"), quality.CARD)
-    return card.unionByName(quality.lifecycle_violations(events.where("payment_rail = 'PIX'"), quality.PIX))
+    e = payment_events(spark, d)
+    out = pit.over_frames(e, ["customer"], {"seen": Frame("seen", 30 * DAY, "device"), "c": Frame("count", HOUR), "s": Frame("sum", 30 * DAY, "amount"), "n": Frame("count", 30 * DAY)})
+    out = out.join(e.select("event_id", "amount", "device"), "event_id")
+    ratio = F.try_divide("amount", F.try_divide(F.col("s").cast("double"), F.col("n")))
+    return out.select("event_id", F.round(heuristic_score(F.col("device").isNotNull() & ~F.col("seen"), F.lit(False), F.col("c"), ratio), 6).alias("score"))

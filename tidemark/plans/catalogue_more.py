@@ -178,21 +178,7 @@ def n15_campaigns(spark, d):
     n = max(20, read(spark, d, "customer").count() // 10)
     started = F.lit(MID) + F.floor(hash_uniform("campaign", F.col("id")) * DAY)
     base = spark.range(n).select(F.concat(F.lit("CMP-"), F.col("id").cast("string")).alias("campaign_id"), started.alias("started"), (started + 20 * DAY).alias("ends"))
-    actions = campaigns.evolve(base, 200)
-    quality.assert_none(campaigns.phase_violations(actions))
-    return actions
-
-
-MOTIFS = ("ring", "stacked", "fan_out", "fan_in", "mule", "scatter_gather", "dense")
-
-
-@query("g10_motifs", "SELECT * FROM (VALUES ('ring', 6), ('stacked', 5), ('fan_out', 5), ('fan_in', 5), ('mule', 5), ('scatter_gather', 8), ('dense', 30), ('bipartite', 24)) t(kind, n)")
-def g10_motifs(spark, d):
-    out = None
-    for kind in (*MOTIFS, "bipartite"):
-        one = campaigns.motif(spark, kind, 6, 4).agg(F.count("*").cast("int").alias("n")).select(F.lit(kind).alias("kind"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return campaigns.evolve(base, 200)
 
 
 @query("k18_dense_index", f"WITH {LINK}, n AS (SELECT DISTINCT src AS node FROM ed) SELECT node, row_number() OVER (PARTITION BY length(node) ORDER BY node) - 1 AS index FROM n")
