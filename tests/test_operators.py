@@ -17,7 +17,7 @@ from tidemark.operators import backtest, campaigns, contracts, dataset, drift, e
 from tidemark.operators import point_in_time as pit
 from tidemark.operators.frames import Frame, frames
 from tidemark.plans import catalogue_dataset
-from tidemark.sources import config, sinks, tables
+from tidemark.sources import config, runs, sinks, tables
 
 
 def one(df):
@@ -392,3 +392,74 @@ def test_observable_view_hides_truth(spark):
     seen = graph.view(nodes, edge, 60, "observable")[1].first()
     assert (seen.scenario_id, seen.campaign_id) == (None, None) and graph.view(nodes, edge, 10, "oracle")[1].first().scenario_id == "S"
     assert {r.rule for r in graph.graph_violations(nodes, edge.withColumns({"dst_id": F.lit("a"), "valid_to": F.lit(5).cast("long"), "edge_type": F.lit("SHARES_IP")}), 0, 9).collect()} == {"self_loop", "interval", "support"}
+
+
+def test_a_run_goes_to_disk_and_becomes_a_dataset(spark, tmp_path, capsys):
+    """Generated tables written as a run, read back with their types, and built into a dataset from the command line."""
+    from tidemark.__main__ import main
+
+    payments = generate.payments(spark, 0, 200, 20)
+    events = generate.lifecycle(payments)
+    at = lambda c: F.timestamp_micros(c)
+    start = F.timestamp_micros(F.lit(generate.START - 10**12))
+    none = lambda kind: F.lit(None).cast(kind)
+    accounts = generate.accounts(spark, 20)
+    customer = F.concat(F.lit("CUS-"), F.substring("payer_account_id", 5, 20))
+    tables_ = {
+        "accounts": accounts.select("account_id", "customer_id", none("string").alias("institution_id"), F.col("opening_balance").alias("ledger_balance"), F.lit(100.0).alias("credit_limit"), start.alias("opening_date"), start.alias("valid_from"), none("timestamp").alias("valid_to"), start.alias("system_from")),
+        "payments": payments.select("payment_id", customer.alias("customer_id"), "payer_account_id", "payee_account_id", none("string").alias("merchant_id"), none("string").alias("card_id"), "payment_rail", F.lit("TRANSFER").alias("payment_type"), "amount", at("initiated").alias("initiated_at")),
+        "payment_events": events.select("event_id", "payment_id", customer.alias("customer_id"), none("string").alias("device_id"), "event_type", "amount", F.lit(True).alias("online"), *[at(c).alias(c) for c in ("event_time",)], at("event_time").alias("source_created_at"), *[at(c).alias(c) for c in ("source_available_at", "ingested_at", "processed_at")], "correlation_id", "causation_id", none("string").alias("scenario_id"), F.lit(True).alias("fraud_truth")),
+        "ledger_entries": generate.ledger_entries(events).select(F.concat_ws("-", "event_id", "entry_type").alias("ledger_entry_id"), "event_id", "payment_id", "account_id", "entry_type", "amount", at("effective_at").alias("effective_at"), at("posted_at").alias("posted_at")),
+    }
+    empty = {"merchants": runs.TABLES["entities"]["merchants"], "devices": runs.TABLES["entities"]["devices"], "cards": runs.TABLES["entities"]["cards"], "fraud_labels": runs.TABLES["behavior"]["fraud_labels"]}
+    tables_ |= {n: spark.createDataFrame([], schema) for n, schema in empty.items()}
+    path = f"{tmp_path}/run"
+    with pytest.raises(ValueError, match="not whole"):
+        runs.load_run(spark, path)
+    runs.write_run(tables_, path, run_id="R")
+    back = runs.load_run(spark, path)
+    assert back["payments"].count() == 200 and {r.fraud_truth for r in back["payment_events"].collect()} == {None}
+    with pytest.raises(Exception, match="(?i)exists"):
+        runs.write_run(tables_, path, run_id="R")
+    with pytest.raises(ValueError, match="is missing"):
+        runs.load_run(spark, path, ["customers"])
+    assert runs.load_run(spark, path, ["customers"], optional=["customers"])["customers"].count() == 0
+    assert main(["build-dataset", path, f"{tmp_path}/out"]) == 0
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 200 and out.columns == list(dataset.COLUMNS) and out.where("feature_available_at > prediction_time").count() == 0
+    assert main(["validate-lifecycles", path]) == 0 and main(["replay", path, "2024-01-01", "2024-01-02", f"{tmp_path}/replay"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/replay").agg(F.max("replay_sequence"), F.count("*")).first()[0] == spark.read.parquet(f"{tmp_path}/replay").count()
+    assert main(["ddl"]) == 0 and "CREATE TABLE IF NOT EXISTS payments" in capsys.readouterr().out
+    # Older files lack the times of ingestion.
+    old = back["payment_events"].drop("ingested_at", "processed_at")
+    old.write.parquet(f"{tmp_path}/old/behavior/payment_events")
+    (tmp_path / "old" / "manifest.json").write_text("{}")
+    filled = runs.load_run(spark, f"{tmp_path}/old", ["payment_events"])["payment_events"]
+    assert filled.where("not (ingested_at <=> source_available_at)").count() == 0
+
+
+def test_predictions_are_checked(spark, tmp_path):
+    row = {"model": "m", "payment_id": "p", "event_id": None, "customer_id": None, "dataset_row_id": None, "prediction_time": None, "score": 0.5}
+    (tmp_path / "good.jsonl").write_text(json.dumps(row) + "\n")
+    (tmp_path / "bad.jsonl").write_text(json.dumps(row | {"score": 2.0}) + "\n")
+    (tmp_path / "none.jsonl").write_text("")
+    assert runs.load_predictions(spark, f"{tmp_path}/good.jsonl").count() == 1
+    for name in ("bad", "none"):
+        with pytest.raises(ValueError):
+            runs.load_predictions(spark, f"{tmp_path}/{name}.jsonl")
+    assert runs.metrics_text(spark.createDataFrame([("b", 0.5), ("a", 1.0)], "metric string, value double")) == "tidemark_a 1\ntidemark_b 0.5\n"
+
+
+def test_counts_against_what_was_written(spark):
+    a, b = spark.range(3), spark.range(2)
+    written = a.select(F.lit("a").alias("subject")).unionByName(b.limit(1).select(F.lit("b").alias("subject")))
+    assert [tuple(r) for r in records.verify_counts({"a": a, "b": b}, written).collect()] == [("rows", "b", "1/2")]
+
+
+def test_realigned_times_and_clean_delivery(spark):
+    entries = spark.createDataFrame([("e", 5, None), ("x", 7, 7)], "event_id string, posted_at long, other long")
+    events = spark.createDataFrame([("e", 9), ("e", 11)], "event_id string, source_available_at long")
+    assert sorted(map(tuple, faults.realign(entries, events, "event_id", ["posted_at", "other"]).collect())) == [("e", 11, None), ("x", 7, 7)]
+    sent = faults.deliver(spark.createDataFrame([(k, "key", k * 10) for k in range(20)], "record_id long, key string, scheduled long"), faults.Chaos())
+    assert one(faults.delivery_counts(sent)) == {"emitted": 20, "dropped": 0, "retried": 0, "duplicated": 0, "late": 0, "deduplicated": 0}
+    assert one(faults.out_of_order(faults.reordered(sent, 0)))["out_of_order"] == 0

@@ -71,3 +71,23 @@ def predict(model, rows: DataFrame, features: Sequence[str], out: str = "score")
 
     scored = model.transform(clean(rows, features))
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+
+
+def one_hot(rows: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], flags: Sequence[str] = ()) -> DataFrame:
+    """rows with a column for each feature: numbers and flags as doubles with 0 for null and NaN, and 1 or 0 for each known category."""
+    plain = {f"x_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in (*numeric, *flags)}
+    hot = {f"x_{c}={v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("double") for c, known in categorical.items() for v in known}
+    return rows.withColumns(plain | hot)
+
+
+def value_at_risk(rows: DataFrame, by: Sequence[str], score: str, label: Column, amount: str, threshold: float) -> DataFrame:
+    """Per group: the fraud amount there is, what is flagged of it, and what legitimate amount is flagged."""
+    yes, pos, x = F.col(score) >= threshold, label.cast("int") == 1, F.col(amount).cast("decimal(38,6)")
+    total = lambda c: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("double")
+    return rows.groupBy(*by).agg(total(pos).alias("fraud_amount"), total(pos & yes).alias("caught_amount"), total(~pos & yes).alias("blocked_amount"))
+
+
+def detection_delay(rows: DataFrame, by: Sequence[str], score: str, label: Column, at: str, threshold: float, group: str) -> DataFrame:
+    """Per group: frauds, those detected, and the mean time from a fraud's first row to its first flagged one."""
+    each = rows.where(label.cast("int") == 1).groupBy(*by, group).agg(F.min(at).alias("_first"), F.min(F.when(F.col(score) >= threshold, F.col(at))).alias("_found"))
+    return each.groupBy(*by).agg(F.count("*").alias("frauds"), F.count("_found").alias("detected"), F.avg(F.col("_found") - F.col("_first")).alias("mean_delay"))

@@ -118,3 +118,31 @@ def inject_faults(rows: DataFrame, id_: str, faults: dict[str, tuple[float, dict
         times = F.when(hash_uniform("duplicate", F.col(id_)) < duplicate, 2).otherwise(1)
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
     return out
+
+
+#: The times of an event's envelope, in the order they must have.
+ENVELOPE_TIMES = ("event_time", "source_created_at", "source_available_at", "ingested_at", "processed_at")
+
+
+def envelope_order(events: DataFrame, times: Sequence[str] = ENVELOPE_TIMES) -> DataFrame:
+    """One row: events, those whose times (where present) follow one another, and the rate (1 when empty)."""
+    good = F.lit(True)
+    for earlier, later in zip(times, times[1:], strict=False):
+        good = good & F.coalesce(F.col(earlier) <= F.col(later), F.lit(True))
+    out = events.agg(F.count("*").alias("n"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("in_order"))
+    return out.withColumn("rate", F.when(F.col("n") == 0, 1.0).otherwise(F.col("in_order") / F.col("n")))
+
+
+def fraud_counts(payments: DataFrame, truth: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., payments, frauds, rate): how many payments are fraud by their truth; a null truth is none."""
+    out = payments.groupBy(*by).agg(F.count("*").alias("payments"), F.sum(F.coalesce(truth, F.lit(False)).cast("long")).alias("frauds"))
+    return out.withColumn("rate", F.when(F.col("payments") == 0, 0.0).otherwise(F.col("frauds") / F.col("payments")))
+
+
+def run_report(rows: DataFrame, id_: str, valid: Column, truth: Column, times: Sequence[str] = ENVELOPE_TIMES) -> DataFrame:
+    """(metric, value): correctness of a run: unique, valid and ordered shares, and prevalence; each 1 or 0 when empty."""
+    ordered = envelope_order(rows, times).select(F.col("rate")).scalar()
+    unique = key_summary(rows, id_).select("unique_rate").scalar()
+    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0))
+    wide = rows.agg(share(valid).alias("valid_rate"), share(truth).alias("prevalence")).withColumns({"order_rate": ordered, "unique_rate": unique})
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("unique_rate", "valid_rate", "order_rate", "prevalence")])).alias("x")).select("x.*")

@@ -341,10 +341,11 @@ def a21_js(spark, d):
     return drift.jensen_shannon(_sided(spark, d), "category", "side").withColumn("js", F.round("js", 9))
 
 
-@query("a22_drift_report", f"""WITH {PSI_SQL}, {WASSERSTEIN_SQL}, {JS_SQL}, x AS (SELECT 'amount' AS field, 'psi' AS metric, psi AS value, 0.2 AS lim FROM psi UNION ALL SELECT 'amount', 'wasserstein', wasserstein, 0.1 FROM wasserstein UNION ALL SELECT 'category', 'js', js, 0.1 FROM js)
+@query("a22_drift_report", f"""WITH {PSI_SQL}, {WASSERSTEIN_SQL}, {JS_SQL}, x AS (SELECT 'amount' AS field, 'psi' AS metric, psi AS value, 0.2 AS lim FROM psi UNION ALL SELECT 'amount', 'wasserstein', wasserstein, 0.1 FROM wasserstein UNION ALL SELECT 'category', 'js', js, 0.1 FROM js UNION ALL SELECT 'amount', 'missing_rate', abs(avg((amount IS NULL)::INT) FILTER (side = 1) - avg((amount IS NULL)::INT) FILTER (side = 0)), 0.05 FROM s UNION ALL SELECT 'category', 'missing_rate', abs(avg((category IS NULL)::INT) FILTER (side = 1) - avg((category IS NULL)::INT) FILTER (side = 0)), 0.05 FROM s
+ UNION ALL SELECT 'event_id', 'duplicate_rate', abs(1 - count(DISTINCT event_id) FILTER (side = 1) / count(*) FILTER (side = 1) - (1 - count(DISTINCT event_id) FILTER (side = 0) / count(*) FILTER (side = 0))), 0.05 FROM s UNION ALL SELECT 'label', 'prevalence', abs(avg((category = 'purchase')::INT) FILTER (side = 1) - avg((category = 'purchase')::INT) FILTER (side = 0)), 0.05 FROM s)
 SELECT field, metric, round(value, 6) AS value, value >= lim AND (SELECT min(n) FROM (SELECT count(*) AS n FROM s GROUP BY side)) >= 30 AS alert FROM x""")
 def a22_drift_report(spark, d):
-    return drift.report(_sided(spark, d), "side", ["amount"], ["category"]).withColumn("value", F.round("value", 6))
+    return drift.report(_sided(spark, d), "side", ["amount"], ["category"], "event_id", F.col("category") == "purchase").withColumn("value", F.round("value", 6))
 
 
 @query("a24_nearest_rank", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events), q(q) AS (VALUES (0.0), (0.25), (0.5), (0.75), (0.9), (0.99), (1.0)) SELECT CAST(q AS DOUBLE) AS q, value FROM r, q WHERE k = round_even((n - 1) * CAST(q AS DOUBLE), 0)")

@@ -93,14 +93,14 @@ SELECT 'DSR-' || substr(sha256('{RUN}|' || pid || '|' || strftime(make_timestamp
  CASE WHEN observed THEN best.at ELSE label_came END AS label_available_at, CASE WHEN mature THEN CASE WHEN observed THEN best.l ELSE own_label END END AS label, CASE WHEN mature AND NOT observed THEN truth END AS fraud_truth,
  own_amount AS amount, payment_rail, payment_type, own_merchant AS merchant_id, card_id, device_id, online,
  {", ".join(f"coalesce({n}, 0) AS {n}" for n in dataset.WINDOWS if n.startswith("transaction_count"))}, {", ".join(f"round(coalesce({n}, 0), 6) AS {n}" for n in dataset.WINDOWS if n.startswith("transaction_amount"))},
- round(avg30, 6) AS avg_transaction_amount_30d, max7 AS max_transaction_amount_7d, round(own_amount / avg30, 6) AS amount_vs_customer_avg, coalesce(m1, 0) AS distinct_merchants_1d, coalesce(m30, 0) AS distinct_merchants_30d,
+ round(avg30, 10) AS avg_transaction_amount_30d, max7 AS max_transaction_amount_7d, round(own_amount / avg30, 10) AS amount_vs_customer_avg, coalesce(m1, 0) AS distinct_merchants_1d, coalesce(m30, 0) AS distinct_merchants_30d,
  own_merchant IS NOT NULL AND NOT coalesce(merchant_seen, false) AS new_merchant_flag, round(coalesce(rate, 0), 9) AS merchant_fraud_rate_historical, coalesce(c1, 0) AS distinct_countries_24h, country IS NOT NULL AND NOT coalesce(country_seen, false) AS new_country_flag,
  CASE WHEN device_at IS NOT NULL THEN greatest(0, floor((now - device_at) / {DAY}))::DOUBLE END AS device_age_days, device_id IS NOT NULL AND NOT coalesce(device_seen, false) AS new_device_flag, coalesce(device_id::BIGINT % 2 = 0, false) AS trusted_device_flag,
  coalesce(d30, 0) AS device_customer_count_30d, coalesce(d1, 0) AS customers_per_device_24h, greatest(0, floor((now - opened) / {DAY}))::DOUBLE AS account_age_days, round(bal_now, 6) AS balance, round(bal_now, 6) AS available_balance, credit_limit,
  round(CASE WHEN credit_limit > 0 THEN (credit_limit - bal_now) / credit_limit ELSE 0 END, 6) AS credit_utilization, round(coalesce((now - last_t) / {DAY}.0, -1), 9) AS days_since_last_payment, coalesce(n90, 0) AS confirmed_fraud_count_90d, round(coalesce(loss, 0), 6) AS fraud_loss_365d,
  round(coalesce((now - last_fraud) / {DAY}.0, -1), 9) AS days_since_last_confirmed_fraud, split FROM z WHERE split IS NOT NULL"""
 
-ROUNDED = {6: ("transaction_amount_1h", "transaction_amount_24h", "transaction_amount_7d", "avg_transaction_amount_30d", "amount_vs_customer_avg", "balance", "available_balance", "credit_utilization", "fraud_loss_365d"), 9: ("merchant_fraud_rate_historical", "days_since_last_payment", "days_since_last_confirmed_fraud")}
+ROUNDED = {6: ("transaction_amount_1h", "transaction_amount_24h", "transaction_amount_7d", "balance", "available_balance", "credit_utilization", "fraud_loss_365d"), 9: ("merchant_fraud_rate_historical", "days_since_last_payment", "days_since_last_confirmed_fraud"), 10: ("avg_transaction_amount_30d", "amount_vs_customer_avg")}
 
 
 @query("a01_pit_features", f"WITH {PIT_SQL}")

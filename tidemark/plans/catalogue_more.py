@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, hash_uniform, micros
-from tidemark.operators import calibration, campaigns, delivery, graph, predictions, quality, workflow
+from tidemark.operators import calibration, campaigns, delivery, graph, predictions, quality, records, workflow
 from tidemark.plans.catalogue import EV, HOUR, LINK, MID, SC, U, _device_edges, _scored, query
 from tidemark.sources.tables import payment_events, read
 
@@ -61,9 +61,58 @@ def a02_vocabulary_counts(spark, d):
     return calibration.zero_filled(read(spark, d, "events"), "event_type", ["click", "view", "signup", "purchase", "error", "refund"])
 
 
-@query("a05_envelope_order", f"WITH {EV} SELECT count(*) AS n, avg((available >= t)::INT) AS in_order FROM ev")
+#: Events whose times are out of order by rule: created late, ingested before they are available, or processed first.
+_TIMES = f"x AS (SELECT event_id, t AS event_time, t + CASE WHEN event_id % 7 = 0 THEN {HOUR} ELSE 0 END AS source_created_at, available AS source_available_at, CASE WHEN event_id % 11 = 0 THEN available - 1 ELSE available + 1 END AS ingested_at, CASE WHEN event_id % 13 = 0 THEN t - 5 WHEN event_id % 17 <> 0 THEN available + 2 END AS processed_at FROM ev)"
+
+
+def _times(spark, d):
+    i, t, available = F.col("event_id"), F.col("t"), F.col("available")
+    return payment_events(spark, d).select("event_id", t.alias("event_time"), (t + F.when(i % 7 == 0, HOUR).otherwise(0)).alias("source_created_at"), available.alias("source_available_at"), F.when(i % 11 == 0, available - 1).otherwise(available + 1).alias("ingested_at"), F.when(i % 13 == 0, t - 5).when(i % 17 != 0, available + 2).alias("processed_at"), "amount", (F.col("category") == "error").alias("truth"))
+
+
+_ORDERED = "event_time <= source_created_at AND source_created_at <= source_available_at AND source_available_at <= ingested_at AND coalesce(ingested_at <= processed_at, true)"
+
+
+@query("a05_envelope_order", f"WITH {EV}, {_TIMES} SELECT count(*) AS n, count(*) FILTER ({_ORDERED}) AS in_order, count(*) FILTER ({_ORDERED}) / count(*) AS rate FROM x")
 def a05_envelope_order(spark, d):
-    return payment_events(spark, d).agg(F.count("*").alias("n"), F.avg((F.col("available") >= F.col("t")).cast("double")).alias("in_order"))
+    return quality.envelope_order(_times(spark, d))
+
+
+@query("a33_run_report", f"WITH {EV}, {_TIMES}, b AS (SELECT x.*, amount, category FROM x JOIN ev USING (event_id) UNION ALL SELECT x.*, amount, category FROM x JOIN ev USING (event_id) WHERE event_id % 9 = 0) SELECT 'unique_rate' AS metric, count(DISTINCT event_id) / count(*) AS value FROM b UNION ALL SELECT 'valid_rate', avg((amount > 5)::INT) FROM b UNION ALL SELECT 'order_rate', avg(({_ORDERED})::INT) FROM b UNION ALL SELECT 'prevalence', avg((category = 'error')::INT) FROM b")
+def a33_run_report(spark, d):
+    rows = _times(spark, d)
+    return quality.run_report(rows.unionByName(rows.where("event_id % 9 = 0")), "event_id", F.col("amount") > 5, F.col("truth"))
+
+
+@query("a03_fraud_counts", "SELECT user_id % 5 AS segment, count(*) AS payments, count(*) FILTER (event_type = 'error') AS frauds, count(*) FILTER (event_type = 'error') / count(*) AS rate FROM events GROUP BY 1")
+def a03_fraud_counts(spark, d):
+    return quality.fraud_counts(read(spark, d, "events").withColumn("segment", F.col("user_id") % 5), F.col("event_type") == "error", ["segment"])
+
+
+@query("o07_tagged_union", """WITH x AS (SELECT 'orders' AS kind, o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS owner FROM orders UNION ALL SELECT 'customers', c_custkey::VARCHAR, c_custkey::VARCHAR FROM customer)
+SELECT kind AS logical_type, CAST(('0x' || substr(sha256(owner), 1, 16))::UBIGINT % 8 AS INT) AS partition_id, count(*) AS n, count(DISTINCT id) AS ids FROM x GROUP BY 1, 2""")
+def o07_tagged_union(spark, d):
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_totalprice")
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), "c_acctbal")
+    out = records.tagged_union({"orders": orders, "customers": customers}, 8)
+    return out.groupBy("logical_type", "partition_id").agg(F.count("*").alias("n"), F.count_distinct("logical_id").alias("ids"))
+
+
+@query("f10_feature_matrix", "SELECT event_id, coalesce(value, 0) AS x_value, (event_type = 'click')::INT::DOUBLE AS click, (event_type = 'purchase')::INT::DOUBLE AS purchase FROM events")
+def f10_feature_matrix(spark, d):
+    out = predictions.one_hot(read(spark, d, "events"), ["value"], {"event_type": ["click", "purchase"]})
+    return out.select("event_id", "x_value", F.col("`x_event_type=click`").alias("click"), F.col("`x_event_type=purchase`").alias("purchase"))
+
+
+@query("a11_value_and_delay", f"""WITH {SC}, v AS (SELECT customer % 4 AS segment, * FROM sc JOIN (SELECT event_id, amount FROM ev) USING (event_id)),
+a AS (SELECT segment, coalesce(sum(CAST(amount AS DECIMAL(38,6))) FILTER (label), 0)::DOUBLE AS fraud_amount, coalesce(sum(CAST(amount AS DECIMAL(38,6))) FILTER (label AND score >= 4), 0)::DOUBLE AS caught_amount, coalesce(sum(CAST(amount AS DECIMAL(38,6))) FILTER (NOT label AND score >= 4), 0)::DOUBLE AS blocked_amount FROM v GROUP BY 1),
+e AS (SELECT segment, customer, min(t) AS first, min(t) FILTER (score >= 4) AS found FROM v WHERE label GROUP BY 1, 2), f AS (SELECT segment, count(*) AS frauds, count(found) AS detected, round(avg(found - first), 3) AS mean_delay FROM e GROUP BY 1)
+SELECT segment, round(fraud_amount, 6) AS fraud_amount, round(caught_amount, 6) AS caught_amount, round(blocked_amount, 6) AS blocked_amount, frauds, detected, mean_delay FROM a JOIN f USING (segment)""")
+def a11_value_and_delay(spark, d):
+    rows = _scored(spark, d).withColumn("segment", F.col("customer") % 4).join(payment_events(spark, d).select("event_id", "amount"), "event_id")
+    value = predictions.value_at_risk(rows, ["segment"], "score", F.col("label"), "amount", 4.0)
+    delay = predictions.detection_delay(rows, ["segment"], "score", F.col("label"), "t", 4.0, "customer")
+    return value.join(delay, "segment").withColumns({c: F.round(c, 6) for c in ("fraud_amount", "caught_amount", "blocked_amount")}).withColumn("mean_delay", F.round("mean_delay", 3))
 
 
 @query("a11_model_metrics", f"""WITH {SC}, m AS (SELECT 'low' AS model, score / 40 AS s, label FROM sc UNION ALL SELECT 'high', least(1.0, score / 20), label FROM sc),

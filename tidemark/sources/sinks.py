@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import canonical_json, shard_index
 from tidemark.functions.shipping import write_bytes
-from tidemark.operators.records import fingerprint
+from tidemark.operators.records import fingerprint, fingerprints
 
 
 def masked(df: DataFrame, schema: T.StructType, hide: Sequence[str] = ()) -> DataFrame:
@@ -41,20 +41,20 @@ def write_partitions(df: DataFrame, key: str, kind: str, path: str, shards: int,
 def resume_partitions(df: DataFrame, key: str, path: str, shards: int) -> list[int]:
     """Write the shards that are not there yet, each with a marker of its rows' fingerprint; returns those written.
 
-    A shard whose marker equals the fingerprint of its rows is left alone, so a run that was cut off can be repeated.
+    One pass works out the fingerprints of all shards, and one write makes the missing ones. A shard whose marker equals the
+    fingerprint of its rows is left alone, so a run that was cut off can be repeated.
     """
     spark = df.sparkSession
-    sharded = df.withColumn("partition_id", shard_index(F.col(key), shards))
+    sharded = df.withColumn("shard", shard_index(F.col(key), shards))
     files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    wrote = []
-    for shard in range(shards):
-        rows = sharded.where(F.col("partition_id") == shard).drop("partition_id")
-        mark = f"{path}/shard={shard}/_fingerprint-{fingerprint(rows).first()['fingerprint'][:32]}"
-        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(mark)):
-            rows.write.mode("overwrite").parquet(f"{path}/shard={shard}")
-            write_bytes(spark, mark, b"")
-            wrote.append(shard)
-    return wrote
+    marks = {r.shard: f"{path}/shard={r.shard}/_fingerprint-{r.fingerprint[:32]}" for r in fingerprints(sharded, "shard", df.columns).collect()}  # a row for each shard
+    missing = sorted(k for k, mark in marks.items() if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(mark)))
+    if missing:
+        rows = sharded.where(F.col("shard").isin(missing)).repartition("shard")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        for k in missing:
+            write_bytes(spark, marks[k], b"")
+    return missing
 
 
 def maintain_iceberg(spark: SparkSession, table: str, older_than: str, *, dry_run: bool = True) -> list[str]:
@@ -82,10 +82,15 @@ def append_iceberg(df: DataFrame, table: str) -> None:
         raise RuntimeError("the Iceberg connector is not on the class path, or the table is missing") from missing
 
 
-def upsert_jdbc(df: DataFrame, url: str, table: str, key: str, properties: dict[str, str]) -> None:
-    """Rows whose key the table does not have yet; a second call with the same rows adds nothing."""
-    have = df.sparkSession.read.jdbc(url, f"(SELECT {key} FROM {table}) k", properties=properties)
-    df.join(have, key, "left_anti").write.jdbc(url, table, mode="append", properties=properties)
+def upsert_jdbc(df: DataFrame, url: str, table: str, key: str, properties: dict[str, str]) -> str:
+    """Rows go to a staging table over many connections; returns the statement that moves them, which skips keys that are there.
+
+    The statement is one transaction of the database, so two writers cannot both insert a key, and it can be run again.
+    """
+    staging = f"{table}_staging_{fingerprint(df).first()['fingerprint'][:12]}"
+    df.write.jdbc(url, staging, mode="overwrite", properties=properties)
+    columns = ", ".join(df.columns)
+    return f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staging} ON CONFLICT ({key}) DO NOTHING"
 
 
 def publish_kafka(df: DataFrame, servers: str, topic: str, key: str) -> None:
