@@ -47,10 +47,11 @@ def test_no_part_of_a_hot_key_is_larger_than_it_should_be(spark, monkeypatch):
     assert parted and sizes.agg(F.max("count")).first()[0] <= 2000 and sizes.where("k = 0").count() >= 20
 
 
-def test_frames_take_time_in_proportion_to_the_rows(spark):
-    """One key, frames over half its rows: twice the rows take at most 2.3 times as long."""
+def test_frames_take_time_in_proportion_to_the_rows(spark, monkeypatch):
+    """One key in one window, frames over half its rows: twice the rows take at most 2.3 times as long."""
+    monkeypatch.setattr(running, "PART_ROWS", 10**9)
     def took(n: int) -> float:
-        rows = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 97).cast("double").alias("x")).cache()
+        rows = spark.range(0, n, 1, 1).select(F.col("id").alias("event_id"), F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 97).cast("double").alias("x")).cache()
         rows.count()
         best = 1e9
         for _ in range(2):
@@ -62,4 +63,4 @@ def test_frames_take_time_in_proportion_to_the_rows(spark):
 
     took(1000)
     small, large = took(300_000), took(600_000)
-    assert large <= 2.3 * small + 0.3
+    assert large <= 2.3 * small + 1  # a frame that is read again for each row would take hours
