@@ -103,9 +103,9 @@ class Lattices:
     known: dict[str, int] = field(default_factory=dict)
     nodes: int = 0
     arcs: int = 0
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, np.int32))
     upto: np.ndarray = field(default_factory=lambda: np.zeros(1 << 17))
-    source: np.ndarray = field(default_factory=lambda: np.zeros(1 << 17, np.int64))
+    source: np.ndarray = field(default_factory=lambda: np.zeros(1 << 17, np.int32))
     piece: np.ndarray = field(default_factory=lambda: np.zeros(1 << 17, np.int32))
 
     def add(self, segments: list[str]) -> None:
@@ -163,8 +163,12 @@ class Lattices:
         forward[start + np.arange(len(segments))] = 1.0
         steps = np.searchsorted(depth[to], np.arange(1, int(size.max()) + 2))
         chance, done = np.empty(len(to)), 0
+        heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)  # each node's arcs stand together
+        groups = np.searchsorted(heads, steps).tolist()
         for at, (a, b) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True), 1):
-            np.add.at(forward, to[a:b], forward[before[a:b]] * weight[a:b])
+            if a < b:
+                own = heads[groups[at - 1] : groups[at]]
+                forward[to[own]] = np.add.reduceat(forward[before[a:b]] * weight[a:b], own - a)
             if at % RESCALE == 0 or b == len(to):
                 chance[done:b] = forward[before[done:b]] * weight[done:b] / forward[to[done:b]]
                 done = b
