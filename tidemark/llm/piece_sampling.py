@@ -59,6 +59,11 @@ class Vocabulary:
     ids: np.ndarray
     weights: np.ndarray
     filled: np.ndarray
+    #: Which hashes may be those of a piece's beginning.
+    begun: np.ndarray
+
+    def may_go_on(self, hashes: np.ndarray) -> np.ndarray:
+        return self.begun[(hashes & np.uint64(len(self.begun) - 1)).astype(np.int64)]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the hashes that are pieces', and the pieces' places in the table."""
@@ -72,7 +77,7 @@ def load(path: str = MODEL) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts, spell, words = [], [0] * 256, []
+    texts, spell, words, beginnings = [], [0] * 256, [], set()
     for k in range(model.get_piece_size()):
         piece = model.id_to_piece(k)
         if model.is_byte(k):
@@ -86,13 +91,15 @@ def load(path: str = MODEL) -> Vocabulary:
             hashed = np.zeros(1, np.uint64)
             for c in piece:
                 hashed = _extend(hashed, np.array([ord(c)], np.uint64))
+                beginnings.add(int(hashed[0]))
             # The factor by length is the same for all paths to a position; it keeps the sums in the range of floats.
             words.append((int(hashed[0]), k, math.exp(SHARPNESS * (4.0 * len(piece) - math.log(ZIPF - model.get_score(k)))), len(piece)))
     words.sort()
     hashes = np.array([w[0] for w in words], np.uint64)
-    filled = np.zeros(1 << 20, bool)
-    filled[(hashes & np.uint64(len(filled) - 1)).astype(np.int64)] = True
-    return Vocabulary(tuple(texts), tuple(spell), max(w[3] for w in words), hashes, np.array([w[1] for w in words], np.int32), np.array([w[2] for w in words]), filled)
+    filled, begun = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+    for table, have in ((filled, hashes), (begun, np.array(sorted(beginnings), np.uint64))):
+        table[(have & np.uint64(len(table) - 1)).astype(np.int64)] = True
+    return Vocabulary(tuple(texts), tuple(spell), max(w[3] for w in words), hashes, np.array([w[1] for w in words], np.int32), np.array([w[2] for w in words]), filled, begun)
 
 
 @dataclass
@@ -128,6 +135,8 @@ class Lattices:
         for length in range(1, vocabulary.longest + 1):
             keep = at + length <= end[at]
             at, hashes = at[keep], _extend(hashes[keep], match[at[keep] + length - 1])
+            alive = vocabulary.may_go_on(hashes)
+            at, hashes = at[alive], hashes[alive]
             if not len(at):
                 break
             found, k = vocabulary.look_up(hashes)
@@ -151,38 +160,42 @@ class Lattices:
             last_from.append(here)
             last_to.append(int(node[k]) + 1)
             last_piece.append(vocabulary.spell[spelling[-1]])
-        before = np.concatenate([*from_, node[spelled]])  # the position the arc's path comes from
-        from_, to = np.concatenate([*from_, np.array(last_from, np.int64)]), np.concatenate([*to, np.array(last_to, np.int64)])
-        piece, weight = np.concatenate([*piece, np.array(last_piece, np.int32)]), np.concatenate([*weight, np.ones(len(last_from))])
+        # Longer pieces first: they are likelier, and backward sampling tries a node's arcs in this order.
+        before = np.concatenate([node[spelled], *from_[::-1]])  # the position the arc's path comes from
+        from_, to = np.concatenate([np.array(last_from, np.int64), *from_[::-1]]), np.concatenate([np.array(last_to, np.int64), *to[::-1]])
+        piece, weight = np.concatenate([np.array(last_piece, np.int32), *piece[::-1]]), np.concatenate([np.ones(len(last_from)), *weight[::-1]])
+        order = np.argsort(to, kind="stable")
+        before, from_, to, piece, weight = before[order], from_[order], to[order], piece[order], weight[order]
         # Forward filtering, position by position in all segments at once.
-        depth = np.zeros(n + len(segments), np.int64)
+        depth = np.zeros(n + len(segments), np.int16 if size.max() < 1 << 15 else np.int64)
         depth[node + 1] = np.arange(n) - start[number] + 1
-        order = np.lexsort((to, depth[to]))
-        before, from_, to, piece, weight = before[order], from_[order], to[order], piece[order], weight[order]
+        by_depth = np.argsort(depth[to], kind="stable")
+        source, target, mass = before[by_depth], to[by_depth], weight[by_depth]
         forward = np.zeros(n + len(segments))
         forward[start + np.arange(len(segments))] = 1.0
-        steps = np.searchsorted(depth[to], np.arange(1, int(size.max()) + 2))
-        chance, done = np.empty(len(to)), 0
-        heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)  # each node's arcs stand together
+        steps = np.searchsorted(depth[target], np.arange(1, int(size.max()) + 2, dtype=np.int64))
+        shares, done = np.empty(len(to)), 0
+        heads = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(to) else np.zeros(0, np.int64)  # each node's arcs stand together
         groups = np.searchsorted(heads, steps).tolist()
         for at, (a, b) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True), 1):
             if a < b:
                 own = heads[groups[at - 1] : groups[at]]
-                forward[to[own]] = np.add.reduceat(forward[before[a:b]] * weight[a:b], own - a)
+                forward[target[own]] = np.add.reduceat(forward[source[a:b]] * mass[a:b], own - a)
             if at % RESCALE == 0 or b == len(to):
-                chance[done:b] = forward[before[done:b]] * weight[done:b] / forward[to[done:b]]
+                shares[done:b] = forward[source[done:b]] * mass[done:b] / forward[target[done:b]]
                 done = b
             if at % RESCALE == 0:  # all that later arcs come from, by one factor in each segment
                 on = np.flatnonzero(size > at)
                 near = (start[on] + on)[:, None] + np.arange(max(0, at - vocabulary.longest), at + 1)
                 forward[near] /= forward[near].max(axis=1, keepdims=True)
+        chance = np.empty(len(to))
+        chance[by_depth] = shares
         first_node = np.zeros(nodes, bool)
         first_node[start + np.arange(len(segments))] = True
+        # The nodes inside spelled characters come after all others, in order.
         from_ = np.concatenate([from_, np.array(chain_from, np.int64)])
         to, piece = np.concatenate([to, np.array(chain_to, np.int64)]), np.concatenate([piece, np.array(chain_piece, np.int32)])
         chance = np.concatenate([chance, np.ones(len(chain_from))])
-        order = np.lexsort((-chance, to))
-        from_, to, piece, chance = from_[order], to[order], piece[order], chance[order]
         opens = np.append(True, to[1:] != to[:-1])
         closes = np.append(opens[1:], True)
         total = np.cumsum(chance)
