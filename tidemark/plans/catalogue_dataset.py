@@ -36,7 +36,7 @@ def tables(spark, d) -> dict[str, DataFrame]:
         "amount", (i % 3 == 0).alias("online"), F.col("t").alias("event_time"), F.col("available").alias("source_available_at"),
     )
     users = e.select(F.col("customer").alias("c")).distinct()
-    opened = F.lit(OPENED) + F.col("c") * DAY
+    opened = F.lit(OPENED) + F.col("c") % 1000 * DAY
     none = F.lit(None).cast("long")
     accounts = users.select(F.col("c").alias("account_id"), (F.col("c") * 37 % 1000).cast("double").alias("ledger_balance"), (F.col("c") % 5 * 500).cast("double").alias("credit_limit"), opened.alias("opening_date"), opened.alias("valid_from"), none.alias("valid_to"), opened.alias("system_from"))
     cards = users.select((F.col("c") * 2).alias("card_id"), (opened + DAY).alias("issued_at"))
@@ -54,7 +54,7 @@ SOURCES = f"""{EV},
 pay AS (SELECT event_id AS n, 'P' || event_id AS payment_id, 'E' || event_id AS event_id, customer AS customer_id, customer AS account_id, CASE WHEN category IN ('purchase', 'view') THEN event_id * 13 % (SELECT count(*) FROM supplier) END AS merchant_id,
   CASE WHEN category = 'purchase' THEN customer * 2 END AS card_id, CASE WHEN event_id % 10 <> 0 THEN device END AS device_id, CASE category WHEN 'purchase' THEN 'CARD' WHEN 'view' THEN 'PIX' ELSE 'ACCOUNT_TRANSFER' END AS payment_rail,
   CASE WHEN category IN ('purchase', 'view') THEN 'PURCHASE' ELSE 'TRANSFER' END AS payment_type, amount, event_id % 3 = 0 AS online, t, available, available + {DELAY} AS now FROM ev),
-acc AS (SELECT DISTINCT customer AS c, (customer * 37 % 1000)::DOUBLE AS ledger_balance, (customer % 5 * 500)::DOUBLE AS credit_limit, {OPENED} + customer * {DAY} AS opened FROM ev),
+acc AS (SELECT DISTINCT customer AS c, (customer * 37 % 1000)::DOUBLE AS ledger_balance, (customer % 5 * 500)::DOUBLE AS credit_limit, {OPENED} + customer % 1000 * {DAY} AS opened FROM ev),
 lab AS (SELECT payment_id, n, customer_id, merchant_id, CASE WHEN n % 25 = 0 THEN 'FRAUD' ELSE 'LEGITIMATE' END AS label, amount, t AS occurred, n % 50 = 0 AS sure, t + 2 * {DAY} + n % 7 * {HOUR} AS came, n % 25 = 0 AS truth FROM pay WHERE n % 5 = 0),
 ent AS (SELECT customer AS account_id, CAST(amount AS DECIMAL(20,6)) * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS delta, t + 2000000 AS effective, t + event_id % 4 * {DAY} AS posted FROM ev WHERE category = 'purchase'),
 obs AS (SELECT payment_id, unnest([{{'v': 1, 'l': 'LEGITIMATE', 'at': t + {DAY}}}, {{'v': 2, 'l': 'FRAUD', 'at': t + 3 * {DAY} + n % 2 * {DAY}}}]) AS o FROM pay WHERE n % 15 = 0)"""
