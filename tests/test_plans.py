@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import point_in_time, running
 from tidemark.operators.frames import Frame
-from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more  # noqa: F401
+from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more, catalogue_population  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"n15_campaigns"}

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more  # noqa: F401
+from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more, catalogue_population  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, dataset, ledger, point_in_time, quality, replay
 from tidemark.operators.records import fingerprint
-from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more  # noqa: F401  (the others add to the first)
+from tidemark.plans import catalogue, catalogue_dataset, catalogue_generated, catalogue_more, catalogue_population  # noqa: F401  (the others add to the first)
 from tidemark.sources import runs
 
 Command = Callable[[argparse.Namespace], int | None]

@@ -40,7 +40,6 @@ SECONDS = {
 #: Seconds until an event is available at its source, by rail; ingestion and processing follow a second apart.
 SOURCE_SECONDS = {"CARD": 5, "PIX": 2, "ACCOUNT_TRANSFER": 5}
 POSTED, TAKEN_BACK = ("PIX_SETTLED", "TRANSFER_COMPLETED", "CARD_SETTLED"), ("PIX_RETURNED", "CARD_REFUNDED", "CARD_CHARGEBACK_RESOLVED")
-WORKFLOW = {"alert": 60, "case": 300, "confirmed": 86_400, "label": 90_000}
 
 
 def _id(prefix: str, ordinal: Column) -> Column:
@@ -90,12 +89,12 @@ def path(rail: Column, key: Column, seed: int = 42, chances: dict[str, float] |
     return F.when(rail == "CARD", card).when(rail == "PIX", pix).otherwise(steps("TRANSFER_COMPLETED"))
 
 
-def lifecycle(payment: DataFrame, seed: int = 42, chances: dict[str, float] | None = None) -> DataFrame:
-    """The events of each payment: its states with their causes and times, strictly later one after the other."""
+def lifecycle(payment: DataFrame, seed: int = 42, chances: dict[str, float] | None = None, states: Column | None = None) -> DataFrame:
+    """The events of each payment: its states (by default those of path) with their causes and times, strictly later one after the other."""
     took = F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in kv])
-    states = payment.withColumn("_path", path(F.col("payment_rail"), F.col("payment_id"), seed, chances))
+    walked = payment.withColumn("_path", path(F.col("payment_rail"), F.col("payment_id"), seed, chances) if states is None else states)
     offset = F.transform("_path", lambda s, k: F.struct(s.alias("event_type"), F.aggregate(F.slice("_path", 1, k + 1), F.lit(0), lambda sum_, x: sum_ + F.coalesce(took[x], F.lit(0))).alias("seconds")))
-    rows = states.select("*", F.posexplode(offset).alias("step", "state")).drop("_path")
+    rows = walked.select("*", F.posexplode(offset).alias("step", "state")).drop("_path")
     number = lambda step: F.concat_ws("-", F.regexp_replace("payment_id", "PAY", "EVT"), step.cast("string"))
     at = F.col("initiated") + F.col("state.seconds").cast("long") * MICROS
     return rows.select(
@@ -118,16 +117,3 @@ def ledger_entries(events: DataFrame) -> DataFrame:
     payer, payee = F.col("payer_account_id"), F.col("payee_account_id")
     sides = F.explode(F.array(entry("DEBIT", F.when(back, payee).otherwise(payer)), entry("CREDIT", F.when(back, payer).otherwise(payee))))
     return posting.select("event_id", "payment_id", "amount", F.col("event_time").alias("effective_at"), F.col("processed_at").alias("posted_at"), sides.alias("s")).select("event_id", "payment_id", "s.entry_type", "s.account_id", "amount", "effective_at", "posted_at")
-
-
-def fraud_bursts(payment: DataFrame, share: float, attempts: int, seed: int = 42) -> DataFrame:
-    """For a share of payments, a burst of low-value attempts in the minutes before."""
-    hit = payment.where(hash_uniform(f"{seed}/fraud", F.col("payment_id")) < share)
-    out = hit.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    return out.select(F.concat_ws("-", "payment_id", F.col("attempt").cast("string")).alias("payment_id"), "payment_rail", "payer_account_id", "payee_account_id", F.round(F.col("amount") / (10 * F.col("attempt")), 2).alias("amount"), (F.col("initiated") - F.col("attempt") * 30 * MICROS).alias("initiated"), F.lit(True).alias("fraud_truth"))
-
-
-def workflow(fraud: DataFrame, seed: int = 42) -> DataFrame:
-    """Alert, case, confirmation and label times of detected fraud."""
-    found = fraud.where(hash_uniform(f"{seed}/detected", F.col("payment_id")) < 0.9)
-    return found.select("payment_id", *[(F.col("initiated") + s * MICROS).alias(f"{name}_at") for name, s in WORKFLOW.items()])

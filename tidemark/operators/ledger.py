@@ -56,7 +56,20 @@ def validate_entries(entries: DataFrame, *, payment: str = "payment_id", side: s
     return per.select(F.explode(found).alias("rule"), F.col(payment).cast("string").alias("key"), F.concat_ws(",", "n", "d", "lo", "hi").alias("detail"))
 
 
-def realized_loss(entries: DataFrame, payment: str, amount: str, is_debit: Column) -> DataFrame:
-    """Per payment: the payer's debits less credits, not below 0."""
-    net = F.sum(-signed(F.col(amount), is_debit))
-    return entries.groupBy(payment).agg(F.greatest(F.lit(0).cast(MONEY), net).alias("loss"))
+#: States in which a payment without ledger entries counts as paid.
+PAID = ("SETTLED", "COMPLETED", "RECEIVED")
+
+
+def realized_loss(payments: DataFrame, entries: DataFrame) -> DataFrame:
+    """(payment_id, loss) of each payment: its payer's debits less credits, not below 0.
+
+    A payment without entries has lost its amount where its current_status is one of PAID, else nothing. Entries are summed
+    by payment and account before they meet the payments, so a payment with many entries is one row by then. Null amounts
+    count as none; entries of unknown payments are left out; repeated payments give repeated rows.
+    """
+    debit = F.col("entry_type") == "DEBIT"
+    net = entries.groupBy("payment_id", "account_id").agg(F.sum(-signed(F.col("amount"), debit)).alias("_net"))
+    per = net.groupBy("payment_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("account_id", F.lit("")), F.coalesce("_net", F.lit(0).cast(MONEY))))).alias("_by"))
+    status = F.when(F.col("current_status").isin(*PAID), F.col("amount").cast(MONEY)).otherwise(F.lit(0).cast(MONEY))
+    moved = F.greatest(F.lit(0).cast(MONEY), F.coalesce(F.try_element_at("_by", F.coalesce("payer_account_id", F.lit(""))), F.lit(0).cast(MONEY)))
+    return payments.join(per, "payment_id", "left").select("payment_id", F.when(F.col("_by").isNull(), F.coalesce(status, F.lit(0).cast(MONEY))).otherwise(moved).alias("loss"))

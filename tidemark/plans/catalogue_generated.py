@@ -30,8 +30,16 @@ def _cumulative(weights: dict[str, float], u: str) -> str:
     return f"CASE {' '.join(out)} ELSE '{name}' END"
 
 
-def _hit(name: str) -> str:
-    return f"{U.format('42/' + name, 'payment_id')} < {_P[name]}"
+def states(p: dict[str, float]) -> str:
+    """The states of a payment in SQL, by its rail and payment_id, as generate.path has them."""
+
+    def hit(name: str) -> str:
+        return f"{U.format('42/' + name, 'payment_id')} < {p[name]!r}"
+
+    return f"""CASE rail WHEN 'CARD' THEN ['CARD_PAYMENT_INITIATED', 'CARD_AUTHORIZATION_REQUESTED'] || CASE WHEN {hit('card_approved')} THEN ['CARD_AUTHORIZED'] || CASE WHEN {hit('reversed')} THEN CASE WHEN {U.format('42/early', 'payment_id')} < 0.5 THEN ['CARD_REVERSED'] ELSE ['CARD_CAPTURED', 'CARD_REVERSED'] END
+    ELSE ['CARD_CAPTURED', 'CARD_CLEARED', 'CARD_SETTLED'] || CASE WHEN {hit('refunded')} THEN ['CARD_REFUNDED'] ELSE [] END || CASE WHEN {hit('charged_back')} THEN ['CARD_CHARGEBACK_CREATED', 'CARD_CHARGEBACK_RESOLVED'] ELSE [] END END ELSE ['CARD_DECLINED'] END
+  WHEN 'PIX' THEN ['PIX_INITIATED', 'PIX_VALIDATED'] || CASE WHEN {hit('pix_approved')} AND NOT {hit('pix_rejected')} THEN ['PIX_AUTHORIZED', 'PIX_SUBMITTED'] || CASE WHEN {hit('timeout')} THEN ['PIX_TIMEOUT'] ELSE ['PIX_SETTLED', 'PIX_RECEIVED'] || CASE WHEN {hit('returned')} THEN ['PIX_RETURN_REQUESTED', 'PIX_RETURNED'] ELSE [] END END ELSE ['PIX_REJECTED'] END
+  ELSE ['TRANSFER_COMPLETED'] END"""
 
 
 PAYMENTS = f"""n AS (SELECT count(*) AS n, greatest(2, count(*) // 20) AS pop FROM orders),
@@ -40,10 +48,7 @@ g2 AS (SELECT i, pop, floor({U.format('42/payer', 'i')} * pop)::BIGINT AS payer
 pm AS (SELECT 'PAY-' || lpad(i::VARCHAR, 12, '0') AS payment_id, {_cumulative(generate.RAILS, U.format('42/rail', 'i'))} AS rail, 'ACC-' || lpad(payer::VARCHAR, 12, '0') AS payer,
   'ACC-' || lpad(((payer + 1 + floor({U.format('42/payee', 'i')} * greatest(1, pop - 1))::BIGINT) % pop)::VARCHAR, 12, '0') AS payee,
   round(least(50000.0, greatest(1.0, exp(ln(80.0::DOUBLE) + 0.65 * {_normal('42/amount', 'i')}))), 2) AS amount, ({generate.START} + i * {20 * MICROS} + floor({U.format('42/time', 'i')} * {20 * MICROS}))::BIGINT AS t FROM g2),
-st AS (SELECT *, CASE rail WHEN 'CARD' THEN ['CARD_PAYMENT_INITIATED', 'CARD_AUTHORIZATION_REQUESTED'] || CASE WHEN {_hit('card_approved')} THEN ['CARD_AUTHORIZED'] || CASE WHEN {_hit('reversed')} THEN CASE WHEN {U.format('42/early', 'payment_id')} < 0.5 THEN ['CARD_REVERSED'] ELSE ['CARD_CAPTURED', 'CARD_REVERSED'] END
-    ELSE ['CARD_CAPTURED', 'CARD_CLEARED', 'CARD_SETTLED'] || CASE WHEN {_hit('refunded')} THEN ['CARD_REFUNDED'] ELSE [] END || CASE WHEN {_hit('charged_back')} THEN ['CARD_CHARGEBACK_CREATED', 'CARD_CHARGEBACK_RESOLVED'] ELSE [] END END ELSE ['CARD_DECLINED'] END
-  WHEN 'PIX' THEN ['PIX_INITIATED', 'PIX_VALIDATED'] || CASE WHEN {_hit('pix_approved')} AND NOT {_hit('pix_rejected')} THEN ['PIX_AUTHORIZED', 'PIX_SUBMITTED'] || CASE WHEN {_hit('timeout')} THEN ['PIX_TIMEOUT'] ELSE ['PIX_SETTLED', 'PIX_RECEIVED'] || CASE WHEN {_hit('returned')} THEN ['PIX_RETURN_REQUESTED', 'PIX_RETURNED'] ELSE [] END END ELSE ['PIX_REJECTED'] END
-  ELSE ['TRANSFER_COMPLETED'] END AS states FROM pm),
+st AS (SELECT *, {states(_P)} AS states FROM pm),
 sec(s, took) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in generate.SECONDS.items())}),
 un AS (SELECT * EXCLUDE (states), unnest(states) AS event_type, unnest(range(len(states))) AS step FROM st),
 le AS (SELECT 'EVT' || substr(payment_id, 4) || '-' || step AS event_id, payment_id, rail, payer, payee, amount, event_type, step, t + sum(coalesce(took, 0)) OVER (PARTITION BY payment_id ORDER BY step) * 1000000 AS event_time,
