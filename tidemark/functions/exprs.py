@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is worked out once a row: the optimizer copies a column's expression to each place that reads it, even into lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def half_open(value: Column, start: Column, end: Column | None = None) -> Column:
     """start <= value < end; a null end is open."""
     return (value >= start) & (F.lit(True) if end is None else end.isNull() | (value < end))

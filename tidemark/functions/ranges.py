@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import let
+
 #: Rows in a range, the most ranges, and the sampled rows for each.
-RANGE_ROWS, RANGES, SAMPLED = 50_000, 4096, 10
+RANGE_ROWS, RANGES, SAMPLED = 200_000, 4096, 10
 
 
 def comparable(rows: DataFrame, name: str) -> Column:
@@ -55,6 +57,5 @@ def _number_of(key: Column, bounds: list[dict], kind: str) -> Column:
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
     text = lambda x: F.lit(json.dumps(x, ensure_ascii=False))
     coarse, fine = F.from_json(text([g[0] for g in groups]), f"array<{kind}>"), F.from_json(text([[], *groups]), f"array<array<{kind}>>")
-    first = F.size(F.filter(coarse, lambda b: b < key))
-    inner = F.size(F.filter(F.get(fine, first), lambda b: b < key))
-    return F.when(first > 0, (first - 1) * step + inner).otherwise(0)
+    inner = lambda k, first: F.when(first > 0, (first - 1) * step + F.size(F.filter(F.get(fine, first), lambda b: b < k))).otherwise(0)
+    return let(key, lambda k: let(F.size(F.filter(coarse, lambda b: b < k)), lambda first: inner(k, first)))

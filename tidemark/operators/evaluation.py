@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from tidemark.functions.ranges import with_range
 
 
-def global_rank(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    """rows with `out`, the rank from 1 in the given total order, all ascending; rows equal in all of it are interchangeable."""
-    keys = [f"_o{k}" for k in range(len(order))]
-    ranged = with_range(rows.withColumns(dict(zip(keys, order, strict=True))), keys)
-    sizes = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).drop("_n")  # a row for each range
-    ranked = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
-    return ranked.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).select(*rows.columns, out)
+def global_rank(rows: DataFrame, order: Sequence[Column], out: str, hits: dict[str, Column] | None = None) -> DataFrame:
+    """rows with `out`, the rank from 1 in the given total order, all ascending; rows equal in all of it are interchangeable.
+
+    hits: name -> condition; how many rows up to and with the row itself meet it.
+    """
+    keys, marks = [f"_o{k}" for k in range(len(order))], {f"_m_{n}": F.coalesce(c, F.lit(False)).cast("long") for n, c in (hits or {}).items()}
+    ranged = with_range(rows.withColumns(dict(zip(keys, order, strict=True)) | marks), keys)
+    sizes = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"), *[F.sum(m).alias(f"_s{m}") for m in marks])
+    earlier, within = Window.orderBy("_r"), Window.partitionBy("_range").orderBy(*keys)
+    before = sizes.select("_r", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), *[(F.sum(f"_s{m}").over(earlier) - F.col(f"_s{m}")).alias(f"_b{m}") for m in marks])  # a row for each range
+    here = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumns({"_in": F.row_number().over(within)} | {f"_i{m}": F.sum(m).over(here) for m in marks})
+    both = ranked.join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return both.select(*rows.columns, (F.col("_in") + F.col("_before")).cast("long").alias(out), *[(F.col(f"_i_m_{n}") + F.col(f"_b_m_{n}")).alias(n) for n in hits or {}])
 
 
 def running_totals(groups: DataFrame, key: str, sums: dict[str, str], *, descending: bool = False) -> DataFrame:
@@ -48,9 +54,9 @@ def auc(rows: DataFrame, score: str, label: str, id_: str) -> DataFrame:
 
 def pr_auc(rows: DataFrame, score: str, label: str, id_: str) -> DataFrame:
     """One row: stepwise average precision in the order (score descending, id)."""
-    ranked = global_rank(rows.withColumn("_neg", -F.col(score)), [F.col("_neg"), F.col(id_)], "_rank")
-    hits = global_rank(ranked.where(F.col(label).cast("int") == 1), [F.col("_rank")], "_hit")
-    return hits.agg(F.count("*").alias("positives"), F.avg(F.col("_hit") / F.col("_rank")).alias("pr_auc"))
+    positive = F.col(label).cast("int") == 1
+    ranked = global_rank(rows.withColumn("_neg", -F.col(score)), [F.col("_neg"), F.col(id_)], "_rank", {"_hit": positive})
+    return ranked.where(positive).agg(F.count("*").alias("positives"), F.avg(F.col("_hit") / F.col("_rank")).alias("pr_auc"))
 
 
 def threshold_sweep(rows: DataFrame, score: str, label: str, fpr: float, recall: float) -> DataFrame:

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import MICROS, canonical_json, hash_uniform
 from tidemark.operators.delivery import rotated, transport_partition
 from tidemark.operators.evaluation import global_rank
-from tidemark.operators.running import running
 
 #: The names of the faults.
 FAULTS = (
@@ -39,6 +38,8 @@ FAULTS = (
     "traffic_spikes",
 )
 EXTREME = 1.0e15
+#: Positions in a block.
+BLOCK = 10_000
 
 
 @dataclass(frozen=True)
@@ -204,10 +205,18 @@ def reordered(deliveries: DataFrame, window: int) -> DataFrame:
         return sent
     drawn = hash_uniform("reorder", F.concat_ws("/", *[F.col(c).cast("string") for c in ("record_id", "attempt", "copy")]))
     placed = sent.withColumns({"_window": F.floor((F.col("position") - 1) / window), "_draw": drawn}).drop("position")
-    return global_rank(placed, [F.col(c) for c in ("_window", "_draw", "record_id", "attempt", "copy")], "position").drop("_window", "_draw")
+    # Positions have no gaps, so all windows before one are full.
+    within = F.row_number().over(Window.partitionBy("_window").orderBy("_draw", "record_id", "attempt", "copy"))
+    return placed.withColumn("position", F.col("_window") * window + within).drop("_window", "_draw")
 
 
 def out_of_order(placed: DataFrame) -> DataFrame:
-    """One row, out_of_order: deliveries after which one that was delivered earlier comes."""
-    run = running(placed.select("position", "delivered").withColumn("_all", F.lit(0)), ["_all"], ["position"], {"_before": ("previous", "delivered")})
-    return run.agg(F.sum(F.coalesce(F.col("_before") > F.col("delivered"), F.lit(False)).cast("long")).alias("out_of_order"))
+    """One row, out_of_order: deliveries after which one that was delivered earlier comes. Positions are whole numbers without gaps.
+
+    Rows are dealt into blocks of positions, the last of each block into the next one too.
+    """
+    block, last = F.floor(F.col("position") / BLOCK), F.col("position") % BLOCK == BLOCK - 1
+    dealt = placed.select("position", "delivered", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"), block.alias("_own"))
+    before = F.lag("delivered").over(Window.partitionBy("_block").orderBy("position"))
+    late = F.coalesce((before > F.col("delivered")) & (F.col("_block") == F.col("_own")), F.lit(False))
+    return dealt.withColumn("_late", late).agg(F.sum(F.col("_late").cast("long")).alias("out_of_order"))
