@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import ranges
-from tidemark.operators import evaluation, faults
+from tidemark.functions import exprs, ranges
+from tidemark.operators import evaluation, faults, point_in_time, running
 
 
 def optimized(df) -> str:
@@ -48,3 +49,29 @@ def test_a_reordered_delivery_is_ranked_once(spark):
     placed = faults.reordered(sent, 20)
     assert optimized(placed).count("_range") == optimized(evaluation.global_rank(sent, [F.col(c) for c in ("scheduled", "record_id", "attempt", "copy")], "position")).count("_range")
     assert sorted(r.position for r in placed.collect()) == list(range(1, 301))
+
+
+def test_doubles_are_rounded_as_the_sql_rounds_them(spark):
+    """Ties: 2109.49 / 32 is 65.9215625, which is a little less as a double."""
+    values = [k / 100 / n for k in range(210_900, 211_000) for n in (32, 64, 128)]
+    want = [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", params=[values]).fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(exprs.rounded("x", 6)).collect()]
+    assert got == want
+
+
+def test_keys_that_are_not_hot_are_not_cut(spark, monkeypatch):
+    """More rows than a part has, but no key of that size: one window and no join."""
+    monkeypatch.setattr(running, "PART_ROWS", 100)
+    rows = spark.range(3000).select((F.col("id") % 100).alias("k"), F.col("id").alias("t"), F.lit(1).cast("long").alias("x"))
+    out = running.running(rows, ["k"], ["t"], {"n": ("sum", "x")})
+    assert "Join" not in optimized(out)
+    assert {(r.k, r.n) for r in out.where("t >= 2900").collect()} == {(k, 30) for k in range(100)}
+
+
+def test_running_max_is_one_window_in_ranges_of_time(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 20)
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(60), rng.randrange(1000)) for k in range(200)]
+    out = point_in_time.running_max(spark.createDataFrame(rows, "id long, t long, x long"), "t", "x", "m", id_="id")
+    assert optimized(out).count("Window [") <= 2
+    assert {r.id: r.m for r in out.collect()} == {k: max(x for _, s, x in rows if s <= t) for k, t, _ in rows}
