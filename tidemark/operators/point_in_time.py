@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, MICROS
+from tidemark.functions.ranges import with_range
 from tidemark.operators.frames import Frame, frames
 from tidemark.operators.running import running
 
@@ -63,12 +64,13 @@ def latest_as_of(left: DataFrame, versions: DataFrame, key: str, at: str, availa
 
 
 def running_max(rows: DataFrame, order: str, value: str, out: str, *, id_: str) -> DataFrame:
-    """(id_, out): the largest value over all rows at or before each row's time, the row and equal times included."""
-    # The row itself counts, so queries get ids of their own, and a value at the row's time is visible at that time.
-    known = rows.select(F.lit(0).alias("all"), F.concat(F.lit("v"), F.col(id_).cast("string")).alias("own"), (F.col(order) - 1).alias("t"), F.col(order).alias("available"), F.col(value).alias("x"))
-    asked = rows.select(F.lit(0).alias("all"), F.concat(F.lit("q"), F.col(id_).cast("string")).alias("own"), F.col(id_).alias("id"), F.col(order).alias("now"))
-    found = frames(known, asked, ["all"], {"found": Frame("max", None, "x")}, id_="own")
-    return asked.join(found, "own").select(F.col("id").alias(id_), F.col("found").alias(out))
+    """(id_, out): the largest value over all rows at or before each row's time, the row and equal times included; in ranges of time."""
+    ranged = with_range(rows.select(F.col(id_), F.col(order).alias("_at"), F.col(value).alias("_x")), ["_at"])  # equal times share a range
+    most = ranged.groupBy(F.col("_range").alias("_r")).agg(F.max("_x").alias("_m"))
+    before = most.select("_r", F.max("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for each range
+    inside = F.max("_x").over(Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = ranged.withColumn("_in", inside).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return both.select(id_, F.greatest("_in", "_before").alias(out))
 
 
 def assign_interval(at: Column, intervals: Sequence[tuple[str, int, int]], otherwise: str | None = None) -> Column:
