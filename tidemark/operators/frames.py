@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import running
+from tidemark.functions.shipping import stored
+from tidemark.operators import running
 
 MONEY = "decimal(20,6)"
 
@@ -55,24 +56,35 @@ def frames(values: DataFrame, queries: DataFrame, by: Sequence[str], features: d
     features, and where a query is a row of values too, its t, available and value columns. Sums are decimals, 0 when empty;
     maxima are null when empty.
     """
-    out, many = None, 4 * queries.count() + (2 + len({f.width for f in features.values()})) * values.count()  # no fewer than any table of marks has
+    out, weight = None, 2 + len({f.width for f in features.values()})
+    many = 4 * queries.count() + weight * values.count()  # no fewer than any table of marks has
+    # A key's marks are no more than this either, so one look at the keys may spare a look at each table of marks.
+    cuts = "find" if many > running.PART_ROWS and _any_hot(values, queries, by, weight, many) else None
     additive = {n: f for n, f in features.items() if f.kind in ("count", "sum")}
-    parts = [_additive(values, queries, by, additive, id_, many)] if additive else []
+    parts = [_additive(values, queries, by, additive, id_, many, cuts)] if additive else []
     for value in dict.fromkeys(f.value for f in features.values() if f.kind in ("distinct", "seen")):
-        parts.append(_distinct(values, queries, by, value, {n: f for n, f in features.items() if f.value == value and f.kind in ("distinct", "seen")}, id_, many))
-    parts += [_max(values, queries, by, n, f, id_, many) for n, f in features.items() if f.kind == "max"]
+        parts.append(_distinct(values, queries, by, value, {n: f for n, f in features.items() if f.value == value and f.kind in ("distinct", "seen")}, id_, many, cuts))
+    parts += [_max(values, queries, by, n, f, id_, many, cuts) for n, f in features.items() if f.kind == "max"]
+    if many > running.PART_ROWS and len(parts) > 1:
+        parts = [stored(part, "frames") for part in parts]  # one plan of them all takes the driver longer than the rows take
     for part in parts:
         out = part if out is None else out.join(part, id_)
     return out.select(id_, *features)
 
 
+def _any_hot(values: DataFrame, queries: DataFrame, by: Sequence[str], weight: int, many: int) -> bool:
+    """Whether a key may have enough marks to be cut."""
+    sizes = values.select(*by, F.lit(weight).alias("_w")).unionByName(queries.select(*by, F.lit(4).alias("_w"))).groupBy(*by).agg(F.sum("_w").alias("_n"))
+    return bool(sizes.where(F.col("_n") > running.PART_ROWS).limit(1).count())
+
+
 def _queries(queries: DataFrame, by: Sequence[str], keep: Sequence[str], id_: str) -> DataFrame:
     own = "t" in queries.columns
     t, start = (F.col("t"), _start()) if own else (F.lit(None).cast("long"), F.lit(None).cast("long"))
     return queries.select(*by, F.col(id_).alias("id"), F.col("now").alias("at"), F.lit(1).alias("q"), t.alias("own_t"), start.alias("own_start"), *[(F.col(c) if c in queries.columns else F.lit(None)).alias(f"own_{c}") for c in keep])
 
 
-def _additive(values: DataFrame, queries: DataFrame, by: Sequence[str], features: dict[str, Frame], id_: str, many: int) -> DataFrame:
+def _additive(values: DataFrame, queries: DataFrame, by: Sequence[str], features: dict[str, Frame], id_: str, many: int, cuts: str | None) -> DataFrame:
     amounts = {n: F.lit(1).cast("long") if f.kind == "count" else F.coalesce(F.col(f.value).cast(MONEY), F.lit(0).cast(MONEY)) for n, f in features.items()}
     zero = {n: F.lit(0).cast("long") if f.kind == "count" else F.lit(0).cast(MONEY) for n, f in features.items()}
     mark = lambda at, chosen: F.struct(at.alias("at"), *[chosen(n, f).alias(n) for n, f in features.items()])
@@ -81,12 +93,12 @@ def _additive(values: DataFrame, queries: DataFrame, by: Sequence[str], features
         marks.append(F.when(_visible(w), mark(F.col("t") + w + 1, lambda n, f, w=w: -amounts[n] if f.width == w else zero[n])))
     given = values.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*by, F.lit(0).alias("q"), "m.*")
     asked = _queries(queries, by, list(dict.fromkeys(f.value for f in features.values() if f.value)), id_).withColumns(zero)
-    run = running(given.unionByName(asked, allowMissingColumns=True), by, ["at", "q"], {f"_{n}": ("sum", n) for n in features}, many)
+    run = running.running(given.unionByName(asked, allowMissingColumns=True), by, ["at", "q"], {f"_{n}": ("sum", n) for n in features}, many, cuts)
     own = {n: F.lit(1).cast("long") if f.kind == "count" else F.coalesce(F.col(f"own_{f.value}").cast(MONEY), zero[n]) for n, f in features.items()}
     return run.where("q = 1").select(F.col("id").alias(id_), *[(F.col(f"_{n}") - F.when(_own_visible(f.width), own[n]).otherwise(zero[n])).alias(n) for n, f in features.items()])
 
 
-def _distinct(values: DataFrame, queries: DataFrame, by: Sequence[str], value: str, features: dict[str, Frame], id_: str, many: int) -> DataFrame:
+def _distinct(values: DataFrame, queries: DataFrame, by: Sequence[str], value: str, features: dict[str, Frame], id_: str, many: int, cuts: str | None) -> DataFrame:
     widths = list(dict.fromkeys(f.width for f in features.values()))
     mark = lambda at, chosen: F.struct(at.alias("at"), *[chosen(w).cast("long").alias(f"d{k}") for k, w in enumerate(widths)])
     marks = [mark(_start(), lambda w: F.when(_visible(w), 1).otherwise(0))]
@@ -94,11 +106,13 @@ def _distinct(values: DataFrame, queries: DataFrame, by: Sequence[str], value: s
     given = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*by, "v", F.lit(0).alias("q"), "m.*")
     asked = _queries(queries, by, [value], id_).withColumnRenamed(f"own_{value}", "v").withColumns({f"d{k}": F.lit(0).cast("long") for k in range(len(widths))})
     # How many visible rows have the value; a value comes into the frame where this leaves 0, and goes where it comes back to 0.
-    of_value = running(given.unionByName(asked, allowMissingColumns=True), [*by, "v"], ["at", "q"], {f"c{k}": ("sum", f"d{k}") for k in range(len(widths))}, many)
+    marked = given.unionByName(asked, allowMissingColumns=True)
+    of_value = running.running(marked, [*by, "v"], ["at", "q"], {f"c{k}": ("sum", f"d{k}") for k in range(len(widths))}, many, cuts)
     turns = {f"e{k}": (F.col(f"c{k}") > 0).cast("long") - (F.col(f"c{k}") - F.col(f"d{k}") > 0).cast("long") for k in range(len(widths))}
     run = of_value.withColumns(turns)
     if any(f.kind == "distinct" for f in features.values()):
-        run = running(run, by, ["at", "q"], {f"n{k}": ("sum", f"e{k}") for k in range(len(widths))}, many)
+        found = cuts and running.find_cuts(marked, by, "at", many)  # of the same rows before their columns
+        run = running.running(run, by, ["at", "q"], {f"n{k}": ("sum", f"e{k}") for k in range(len(widths))}, many, found)
 
     def result(f: Frame) -> Column:
         k = widths.index(f.width)
@@ -110,7 +124,7 @@ def _distinct(values: DataFrame, queries: DataFrame, by: Sequence[str], value: s
     return run.where("q = 1").select(F.col("id").alias(id_), *[result(f).alias(n) for n, f in features.items()])
 
 
-def _max(values: DataFrame, queries: DataFrame, by: Sequence[str], name: str, f: Frame, id_: str, many: int) -> DataFrame:
+def _max(values: DataFrame, queries: DataFrame, by: Sequence[str], name: str, f: Frame, id_: str, many: int, cuts: str | None) -> DataFrame:
     w, start, end = f.width, _start(), F.col("t") + (f.width or 0)
     place = lambda grid, cell, falling, o: F.struct(F.lit(grid).alias("grid"), cell.cast("long").alias("cell"), F.lit(falling).alias("falling"), o.alias("o"))
     cell = lambda at, grid: F.floor((at + (w // 2) * grid) / F.lit(w)) if w else F.lit(0)
@@ -126,10 +140,12 @@ def _max(values: DataFrame, queries: DataFrame, by: Sequence[str], name: str, f:
     given = known.select(*by, top.alias("top"), F.explode(places).alias("p")).select(*by, "p.*", F.lit(0).alias("q"), "top")
     asked = queries.select(*by, F.col(id_).alias("id"), F.explode(spots(F.col("now"))).alias("p")).select(*by, "id", "p.*", F.lit(1).alias("q"))
     keys, order = [*by, "grid", "cell", "falling"], ["o", "q"]
-    run = running(given.unionByName(asked, allowMissingColumns=True), keys, order, {"m1": ("max", "top"), "b1": ("max_before", "top")}, many)
+    marked = given.unionByName(asked, allowMissingColumns=True)
+    found = cuts and running.find_cuts(marked, keys, "o", many)
+    run = running.running(marked, keys, order, {"m1": ("max", "top"), "b1": ("max_before", "top")}, many, found)
     # The second largest so far: what was largest before a larger one came, or came after a larger one.
     run = run.withColumn("second", F.when((F.col("q") == 0) & F.col("b1").isNotNull(), F.least("top", "b1")))
-    run = running(run, keys, order, {"m2": ("max", "second")}, many)
+    run = running.running(run, keys, order, {"m2": ("max", "second")}, many, found)
     best = F.when(F.col("m1")["i"] == F.col("id"), F.col("m2")["x"]).otherwise(F.col("m1")["x"])
     out = run.where("q = 1").groupBy("id").agg(F.max(best).alias(name))
     if w is not None and (values.agg(F.max(F.col("available") - F.col("t"))).first()[0] or 0) > w // 2:
