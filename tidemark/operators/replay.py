@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import hash_uniform
+from tidemark.functions.shipping import stored
 from tidemark.operators.evaluation import global_rank
 
 
@@ -55,7 +56,7 @@ def replay(tables: dict[str, DataFrame], start: int, end: int, order: str) -> Da
         raise ValueError(f"unknown order {order!r}")
     if end <= start:
         raise ValueError("the end must come after the start")
-    rows = envelopes(tables, start, end)
+    rows = stored(envelopes(tables, start, end), "replay")  # numbered over the whole tables; read by each step of the rank
     if order == "original_delivery" and rows.where("ingested_at is null or processed_at is null").limit(1).count():
         order = "delivery_fallback"
     return global_rank(rows, [F.col(c) for c in ORDERS[order]], "replay_sequence")
