@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph
 from tidemark.streaming import velocity as stream
 
 
@@ -28,3 +31,20 @@ def test_state_of_a_stream_is_on_disk_and_has_no_sketches(spark, tmp_path):
     got = {(r.window_start, r.customer, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = stream.velocity(made, device=None).where(f"window_end <= timestamp_seconds({start + 199 * 60 - 600})")
     assert got == {(r.window_start, r.customer, r.n) for r in want.collect()} != set()
+
+
+def test_pairs_of_members_are_not_shuffled(spark, monkeypatch):
+    """One shuffle, of uses; the pairs of each cell are found and counted where they are."""
+    monkeypatch.setattr(graph, "CELL_PAIRS", 500, raising=False)
+    rng = random.Random(3)
+    uses = [(rng.randrange(40), f"r{rng.randrange(4)}", rng.randrange(300)) for _ in range(400)]
+    out = graph.shared_pairs(spark.createDataFrame(uses, "m long, r string, t long"), "m", "r", "t", 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    want = {}
+    for m, r, t in uses:
+        for n, s, v in uses:
+            if r == s and m < n and abs(t - v) <= 10:
+                want.setdefault((m, n), {}).setdefault(r, []).append(max(t, v))
+    assert {(x.a, x.b): (x.resource, x.shared, x.since) for x in out.collect()} == {k: (min(v), len(v), min(map(min, v.values()))) for k, v in want.items()}
+    assert out.count() == len(want)
