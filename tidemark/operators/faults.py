@@ -56,9 +56,11 @@ class Settings:
         return self.probability.get(fault, 0.0)
 
 
-def inject(events: DataFrame, settings: Settings, optional: Sequence[str] = ()) -> DataFrame:
+def inject(events: DataFrame, settings: Settings, optional: Sequence[str] = (), placed: bool = True) -> DataFrame:
     """events with faults, `faults` (an array of names), `copy` (0 for the row itself), `delivery` and `raw_payload`.
 
+    placed: False leaves `delivery` out, which takes an order of each payment's rows; all else is the same.
+
     events: event_id, payment_id, event_type, event_time, source_available_at, ingested_at, processed_at (microseconds),
     schema_version, amount, scenario_id, and `optional` columns that may go missing, each by a draw of its own.
     """
@@ -112,16 +114,21 @@ def inject(events: DataFrame, settings: Settings, optional: Sequence[str] = ())
         times = times * F.when(chosen, factor).otherwise(1)
         found.append(F.when(chosen, fault))
     out = out.withColumn("faults", F.array_compact(F.array(*found)))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    # Never empty; for a plain explode the optimizer would filter by its size, and work all draws out once more.
+    out = out.withColumn("copy", F.explode_outer(F.sequence(F.lit(0), times - 1)))
     chosen = hit("out_of_order_events", F.col("payment_id"))
-    placed = rotated(out.withColumn("_chosen", chosen), "payment_id", ["event_time", "event_id", "copy"], settings.shift)
     plain = F.when(F.col("_chosen"), F.array_append("faults", F.lit("out_of_order_events"))).otherwise(F.col("faults"))
-    return placed.withColumns({"faults": plain, "delivery": F.when(F.col("_chosen"), F.col("delivery"))}).select(*events.columns, "timezone", "raw_payload", "transport_partition", "faults", "copy", "delivery")
+    out = out.withColumn("_chosen", chosen)
+    columns = [*events.columns, "timezone", "raw_payload", "transport_partition", "faults", "copy"]
+    if not placed:
+        return out.withColumn("faults", plain).select(*columns)
+    out = rotated(out, "payment_id", ["event_time", "event_id", "copy"], settings.shift)
+    return out.withColumns({"faults": plain, "delivery": F.when(F.col("_chosen"), F.col("delivery"))}).select(*columns, "delivery")
 
 
 def counts(faulty: DataFrame) -> DataFrame:
     """(fault, rows) for every fault, 0 where there is none: rows that it hit, copies included."""
-    per = faulty.select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("rows"))
+    per = faulty.select(F.explode_outer("faults").alias("fault")).where("fault is not null").groupBy("fault").agg(F.count("*").alias("rows"))
     names = faulty.sparkSession.createDataFrame([(f,) for f in FAULTS], "fault string")
     return names.join(per, "fault", "left").select("fault", F.coalesce("rows", F.lit(0)).alias("rows"))
 

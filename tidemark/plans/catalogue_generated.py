@@ -173,14 +173,14 @@ e2 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_f(f)} THEN '{f}' END" for
 
 @query("n09_faults", f"WITH {FAULTY_SQL}, x AS (SELECT unnest(faults) AS fault, times FROM e2), names(fault) AS (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in faults.FAULTS)}) SELECT names.fault, coalesce(sum(times), 0)::BIGINT AS rows FROM names LEFT JOIN x USING (fault) GROUP BY 1")
 def n09_faults(spark, d):
-    return faults.counts(faults.inject(_events(spark, d), FAULTY, ["device_id"]))
+    return faults.counts(faults.inject(_events(spark, d), FAULTY, ["device_id"], placed=False))
 
 
 @query("n09_faulty_events", f"""WITH {FAULTY_SQL} SELECT event_id, unnest(range(times)) AS copy, pid AS payment_id, CASE WHEN {_f('invalid_enums')} THEN 'INVALID_ENUM:' || event_id ELSE category END AS event_type,
  CASE WHEN {_f('extreme_values')} THEN 1e15 WHEN {_f('negative_amounts')} OR {_f('invalid_values')} THEN -abs(amount) ELSE amount END AS amount, CASE WHEN {_f('corrupted_timestamps')} THEN t - 1000000 ELSE available END + 7000000 + CASE WHEN {_f('late_events')} THEN 900000000 ELSE 0 END AS source_available_at,
  CASE WHEN {_f('partition_skews', 'pid')} THEN 0 ELSE CAST(('0x' || substr(sha256('"' || pid || '"'), 1, 8))::BIGINT % 16 AS INT) END AS transport_partition, len(faults) AS n_faults FROM e2""")
 def n09_faulty_events(spark, d):
-    out = faults.inject(_events(spark, d), FAULTY, ["device_id"])
+    out = faults.inject(_events(spark, d), FAULTY, ["device_id"], placed=False)
     return out.select("event_id", F.col("copy").cast("long").alias("copy"), "payment_id", "event_type", "amount", "source_available_at", "transport_partition", F.size("faults").cast("long").alias("n_faults"))
 
 
@@ -188,7 +188,7 @@ def n09_faulty_events(spark, d):
 SELECT ev.event_id, greatest(ev.t + 5000000, m.latest) AS posted_at FROM ev JOIN m ON m.event_id = ev.event_id WHERE ev.category = 'purchase'""")
 def n11_realign(spark, d):
     entries = payment_events(spark, d).where("category = 'purchase'").select("event_id", (F.col("t") + 5 * MICROS).alias("posted_at"))
-    return faults.realign(entries, faults.inject(_events(spark, d), FAULTY, ["device_id"]), "event_id", ["posted_at"])
+    return faults.realign(entries, faults.inject(_events(spark, d), FAULTY, ["device_id"], placed=False), "event_id", ["posted_at"])
 
 
 OUTAGES = (faults.Outage(MID, MID + 6 * HOUR, "DROP"), faults.Outage(MID + DAY, MID + DAY + 5 * HOUR, "BUFFER_AND_FLUSH"), faults.Outage(MID + 2 * DAY, MID + 2 * DAY + 9 * HOUR, "DELAY", delay=120), faults.Outage(MID + 3 * DAY, MID + 4 * DAY, "PARTIAL_REJECT"))
@@ -223,7 +223,7 @@ def a40_delivery_counts(spark, d):
 @query("v08_contract_violations", f"""WITH {FAULTY_SQL}, x AS (SELECT event_id, unnest([CASE WHEN {_f('invalid_enums')} THEN 'enum:event_type' END, CASE WHEN {_f('schema_mismatches')} THEN 'version' END, CASE WHEN device IS NULL OR {U.format('missing/device_id', 'event_id')} < 0.04 THEN 'missing:device_id' END]) AS rule, times FROM e2)
 SELECT rule, count(*) AS events FROM x WHERE rule IS NOT NULL GROUP BY 1""")
 def v08_contract_violations(spark, d):
-    rows = faults.inject(_events(spark, d), FAULTY, ["device_id"]).where("copy = 0")
+    rows = faults.inject(_events(spark, d), FAULTY, ["device_id"], placed=False).where("copy = 0")
     found = contracts.contract_violations(rows, "event_id", {"device_id": "long", "amount": "double"}, {"event_type": ["click", "view", "signup", "purchase", "error"]}, ["1.0.0"])
     return found.groupBy("rule").agg(F.count("*").alias("events"))
 
@@ -245,7 +245,7 @@ def v10_schema_compatibility(spark, d):
 
 @query("a07_versions_and_extremes", f"""WITH {FAULTY_SQL} SELECT 'unregistered' AS what, count(*) FILTER ({_f('schema_mismatches')}) AS n FROM e2 UNION ALL SELECT 'extreme', count(*) FILTER (CASE WHEN {_f('extreme_values')} THEN 1e15 WHEN {_f('negative_amounts')} OR {_f('invalid_values')} THEN -abs(amount) ELSE amount END NOT BETWEEN 0 AND 1000000) FROM e2""")
 def a07_versions_and_extremes(spark, d):
-    rows = faults.inject(_events(spark, d), FAULTY, ["device_id"]).where("copy = 0")
+    rows = faults.inject(_events(spark, d), FAULTY, ["device_id"], placed=False).where("copy = 0")
     other = contracts.version_histogram(rows).where("version <> '1.0.0'").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).select(F.lit("unregistered").alias("what"), "n")
     return other.unionByName(contracts.extreme_values(rows, "amount", 0.0, 1e6).select(F.lit("extreme").alias("what"), F.col("extreme").alias("n")))
 
