@@ -94,8 +94,8 @@ def j15_lifecycle_violations(spark, d):
     start = F.col("event_time") - generate.SECONDS["CARD_AUTHORIZATION_REQUESTED"] * MICROS  # both rails' second event comes a second after the first
     e = e.withColumns({"event_type": F.when(between(0.05, 0.10, 1), "UNKNOWN").otherwise(F.col("event_type")), "event_time": F.when(between(0.10, 0.15, 1), start).otherwise(F.col("event_time"))})
     e = e.withColumn("causation_id", F.when(between(0.20, 0.25, 0), "X").when(~between(0.15, 0.20, 1), F.col("causation_id")))
-    card = quality.lifecycle_violations(e.where("payment_rail = 'CARD'"), quality.CARD, quality.FIRST["CARD"])
-    return card.unionByName(quality.lifecycle_violations(e.where("payment_rail = 'PIX'"), quality.PIX, quality.FIRST["PIX"]))
+    card = quality.lifecycle_violations(e.where("payment_rail = 'CARD'"), quality.CARD, quality.FIRST["CARD"], cuts=None)
+    return card.unionByName(quality.lifecycle_violations(e.where("payment_rail = 'PIX'"), quality.PIX, quality.FIRST["PIX"], cuts=None))
 
 
 def _wait(stream: str) -> str:
