@@ -6,10 +6,14 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph
+from tidemark.operators import graph, running
+from tidemark.plans import catalogue, catalogue_generated  # noqa: F401
 from tidemark.streaming import velocity as stream
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -48,3 +52,38 @@ def test_pairs_of_members_are_not_shuffled(spark, monkeypatch):
                 want.setdefault((m, n), {}).setdefault(r, []).append(max(t, v))
     assert {(x.a, x.b): (x.resource, x.shared, x.since) for x in out.collect()} == {k: (min(v), len(v), min(map(min, v.values()))) for k, v in want.items()}
     assert out.count() == len(want)
+
+
+def asked(monkeypatch) -> list:
+    """The plans of the rows in which hot keys are looked for from now on; each is a pass of its own."""
+    found, find = [], running.find_cuts
+    monkeypatch.setattr(running, "find_cuts", lambda rows, *a, **b: found.append(optimized(rows)) or find(rows, *a, **b))
+    return found
+
+
+def test_generated_lifecycles_are_worked_out_once(spark, monkeypatch):
+    seen = asked(monkeypatch)
+    assert catalogue.QUERIES["j15_lifecycle_violations"](spark, SF).count() > 0
+    assert seen == []
+
+
+def test_faults_are_counted_without_an_order_and_drawn_once(spark, monkeypatch):
+    seen = asked(monkeypatch)
+    assert optimized(catalogue.QUERIES["n09_faults"](spark, SF)).count("sha2(") <= 25
+    assert seen == []
+
+
+def test_edge_ids_are_worked_out_before_they_are_looked_through(spark, monkeypatch):
+    seen = asked(monkeypatch)
+    catalogue.QUERIES["w07_edge_ids"](spark, SF)
+    assert len(seen) == 1 and "sha2(" not in seen[0]
+
+
+def test_where_no_key_is_large_the_rows_are_counted_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(running, "PART_ROWS", 50)
+    passes = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    assert running.find_cuts(spark.range(1000).select((F.col("id") % 100).alias("k"), "id"), ["k"], "id") is None
+    one = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - passes
+    passes += one
+    spark.range(1000).groupBy(F.col("id") % 100).count().where("count > 50").collect()
+    assert one <= spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - passes
