@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, running
-from tidemark.plans import catalogue, catalogue_generated  # noqa: F401
+from tidemark.plans import catalogue, catalogue_generated, catalogue_more  # noqa: F401
 from tidemark.streaming import velocity as stream
 
 
@@ -87,3 +87,10 @@ def test_where_no_key_is_large_the_rows_are_counted_in_one_pass(spark, monkeypat
     passes += one
     spark.range(1000).groupBy(F.col("id") % 100).count().where("count > 50").collect()
     assert one <= spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - passes
+
+
+def test_a_join_by_key_has_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(catalogue_more, "KEYED_ROWS", 300, raising=False)
+    plan = catalogue.QUERIES["j17_workflow_checks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert plan.count(f", {-(-rows // 300)}), REPARTITION_BY_NUM") >= 2

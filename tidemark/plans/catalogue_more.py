@@ -251,10 +251,16 @@ def u05_baseline_model(spark, d):
     return predictions.predict(model, rows, features).select("event_id", F.round("score", 6).alias("score"))
 
 
+#: Rows that a task joins by their key.
+KEYED_ROWS = 500_000
+
+
 @query("j17_workflow_checks", """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 3) SELECT 'dangling' AS rule, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
 UNION ALL SELECT 'order', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE epoch_us(l_shipdate) < epoch_us(o_orderdate)""")
 def j17_workflow_checks(spark, d):
-    o, l = read(spark, d, "orders"), read(spark, d, "lineitem")
+    o, l = read(spark, d, "orders").select("o_orderkey", "o_orderdate"), read(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    parts = max(spark.sparkContext.defaultParallelism, -(-l.count() // KEYED_ROWS))  # as many as the rows need, which are not put together again
+    o, l = o.repartition(parts, "o_orderkey"), l.repartition(parts, "l_orderkey")
     lost = workflow.dangling(l, "l_orderkey", o.where("o_orderkey % 10 <> 3"), "o_orderkey", "dangling")
     both = l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", micros(F.col("o_orderdate")).alias("a"), micros(F.col("l_shipdate")).alias("b"))
     found = lost.unionByName(workflow.out_of_order(both, "l_orderkey", ["a", "b"], "order"))
