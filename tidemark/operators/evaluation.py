@@ -27,7 +27,7 @@ def global_rank(rows: DataFrame, order: Sequence[Column], out: str, hits: dict[s
     before = sizes.select("_r", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), *[(F.sum(f"_s{m}").over(earlier) - F.col(f"_s{m}")).alias(f"_b{m}") for m in marks])  # a row for each range
     here = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranged.withColumns({"_in": F.row_number().over(within)} | {f"_i{m}": F.sum(m).over(here) for m in marks})
-    both = ranked.join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    both = ranked.join(F.broadcast(before), F.col("_range") == F.col("_r"), "left")  # all have one; an inner join would look for null ranges first, and work each out twice
     return both.select(*rows.columns, (F.col("_in") + F.col("_before")).cast("long").alias(out), *[(F.col(f"_i_m_{n}") + F.col(f"_b_m_{n}")).alias(n) for n in hits or {}])
 
 
@@ -38,7 +38,7 @@ def running_totals(groups: DataFrame, key: str, sums: dict[str, str], *, descend
     carried = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = totals.select("_r", *[F.sum(f"_t_{n}").over(carried).alias(f"_b_{n}") for n in sums])
     inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), F.col("_range") == F.col("_r"), "left")  # as in global_rank
     return out.select(*groups.columns, *[(F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums])
 
 

@@ -69,7 +69,7 @@ def running_max(rows: DataFrame, order: str, value: str, out: str, *, id_: str)
     most = ranged.groupBy(F.col("_range").alias("_r")).agg(F.max("_x").alias("_m"))
     before = most.select("_r", F.max("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for each range
     inside = F.max("_x").over(Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    both = ranged.withColumn("_in", inside).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    both = ranged.withColumn("_in", inside).join(F.broadcast(before), F.col("_range") == F.col("_r"), "left")  # as in global_rank
     return both.select(id_, F.greatest("_in", "_before").alias(out))
 
 
