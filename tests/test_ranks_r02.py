@@ -83,3 +83,22 @@ def test_the_second_order_reads_what_the_first_wrote(spark, monkeypatch):
     out = catalogue.QUERIES["o01_replay_sequence"](spark, SF)
     assert optimized(out).count("sha2(") == 0 and optimized(out).count("Window") <= 2
     assert sorted(map(tuple, out.collect())) == sorted(oracle("o01_replay_sequence"))
+
+
+def test_auc_sums_ranks_in_the_pass_that_orders_them(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    out = catalogue.QUERIES["a12_auc"](spark, SF)
+    assert optimized(out).count("Relation") == 1 and "Join" not in optimized(out)
+    assert list(map(tuple, out.collect())) == oracle("a12_auc")
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 700])
+def test_auc_of_ties_and_unknown_labels(spark, monkeypatch, n):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 25)
+    rows, df = scored(spark, n)
+    got = evaluation.auc(df, "s", "y", "i").first()
+    order = sorted(rows, key=lambda r: r[:2])
+    p, q = [sum(r[2] is v for r in rows) for v in (True, False)]
+    ranks = sum(k for k, r in enumerate(order, 1) if r[2])
+    assert (got.positives or 0, got.negatives or 0) == (p, q)
+    assert got.auc == (pytest.approx((ranks - p * (p + 1) / 2) / (p * q)) if p and q else None)

@@ -43,11 +43,18 @@ def running_totals(groups: DataFrame, key: str, sums: dict[str, str], *, descend
 
 
 def auc(rows: DataFrame, score: str, label: str, id_: str) -> DataFrame:
-    """One row: the rank-sum AUC by (score, id), without tie averaging; null with one class only."""
-    ranked = global_rank(rows, [F.col(score), F.col(id_)], "_rank")
-    p, n = F.sum(F.col(label).cast("long")), F.sum(1 - F.col(label).cast("long"))
-    ranks = F.sum(F.when(F.col(label).cast("int") == 1, F.col("_rank")).otherwise(0))
-    both = ranked.agg(p.alias("positives"), n.alias("negatives"), ranks.alias("_s"))
+    """One row: the rank-sum AUC by (score, id), without tie averaging; null with one class only.
+
+    A range's ranks are summed from 1 in the pass that orders it; the ranges before it are added once for each of its positives.
+    """
+    mark = F.col(label).cast("long")
+    cut = with_range(rows.select(F.col(score).alias("_o0"), F.col(id_).alias("_o1"), mark.alias("_p")), ["_o0", "_o1"])
+    placed = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy("_o0", "_o1")))
+    hit = F.col("_p") == 1
+    per = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.sum("_p").alias("_p"), F.sum(1 - F.col("_p")).alias("_q"), F.count_if(hit).alias("_h"), F.sum(F.when(hit, F.col("_in")).otherwise(0)).alias("_s"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")  # a row for each range
+    ranks = F.sum(F.col("_s") + F.col("_h") * F.col("_before"))
+    both = per.withColumn("_before", before).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), ranks.alias("_s"))
     value = (F.col("_s") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))
     return both.select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), value).alias("auc"))
 
