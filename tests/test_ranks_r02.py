@@ -102,3 +102,22 @@ def test_auc_of_ties_and_unknown_labels(spark, monkeypatch, n):
     ranks = sum(k for k, r in enumerate(order, 1) if r[2])
     assert (got.positives or 0, got.negatives or 0) == (p, q)
     assert got.auc == (pytest.approx((ranks - p * (p + 1) / 2) / (p * q)) if p and q else None)
+
+
+def test_only_the_range_of_the_last_row_is_ordered(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    out = catalogue.QUERIES["a15_precision_at_k"](spark, SF)
+    assert "Join" not in optimized(out) and optimized(out).count("Relation") == 1
+    assert list(map(tuple, out.collect())) == [pytest.approx(r) for r in oracle("a15_precision_at_k")]
+
+
+@pytest.mark.parametrize("n, fraction", [(0, 0.1), (1, 0.01), (700, 0.001), (700, 0.05), (700, 0.5), (700, 1.0)])
+def test_top_fraction_of_ties_and_unknown_labels(spark, monkeypatch, n, fraction):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 25)
+    rows, df = scored(spark, n)
+    top = sorted(rows, key=lambda r: (-r[0], r[1]))[: max(1, math.ceil(n * fraction))]
+    known, positives = [r[2] for r in top if r[2] is not None], sum(bool(r[2]) for r in rows)
+    got = evaluation.top_fraction(df, "s", "y", "i", fraction).first()
+    assert got.k == len(top)
+    assert got.precision_at_k == (pytest.approx(sum(known) / len(top)) if known else None)
+    assert got.recall_at_k == (pytest.approx(sum(known) / positives) if known and positives else None)

@@ -84,12 +84,24 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, fpr: float, recall:
 
 
 def top_fraction(rows: DataFrame, score: str, label: str, id_: str, fraction: float) -> DataFrame:
-    """One row: precision and recall among the max(1, ceil(n * fraction)) best rows by (score descending, id)."""
-    n, positives = rows.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
-    k = max(1, math.ceil(n * fraction))
-    top = global_rank(rows.withColumn("_neg", -F.col(score)), [F.col("_neg"), F.col(id_)], "_rank").where(F.col("_rank") <= k)
-    hits = F.sum(F.col(label).cast("long"))
-    return top.agg(F.count("*").alias("k"), (hits / F.count("*")).alias("precision_at_k"), (hits / F.lit(positives or None)).alias("recall_at_k"))
+    """One row: precision and recall among the max(1, ceil(n * fraction)) best rows by (score descending, id).
+
+    Ranges before the last of these rows count as a whole; only the range where it lies is put in order.
+    """
+    rows = rows.select((-F.col(score)).alias("_o0"), F.col(id_).alias("_o1"), F.col(label).cast("long").alias("_p"))
+    cut = with_range(rows, ["_o0", "_o1"])
+    per = sorted(cut.groupBy("_range").agg(F.count("*"), F.sum("_p")).collect())  # a row for each range
+    k, positives = max(1, math.ceil(sum(n for _, n, _ in per) * fraction)), sum(p or 0 for *_, p in per)
+    last, whole, found = 0, 0, None
+    for last, n, p in per:
+        if whole + n >= k:
+            break
+        whole, found = whole + n, found if p is None else (found or 0) + p
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_o0", "_o1"))
+    rest = cut.where(F.col("_range") == last).withColumn("_in", place).where(F.col("_in") <= k - whole)
+    both = rest.agg((F.count("*") + whole).alias("k"), F.sum("_p").alias("_r")).withColumn("_f", F.lit(found).cast("long"))
+    hits = F.coalesce(F.col("_r") + F.col("_f"), "_r", "_f")
+    return both.select("k", (hits / F.col("k")).alias("precision_at_k"), (hits / F.lit(positives or None)).alias("recall_at_k"))
 
 
 def confusion(score: Column, label: Column, threshold: float) -> list[Column]:
